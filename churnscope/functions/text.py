@@ -30,6 +30,7 @@ def _ws_class(fmt) -> str:
 WS_RUN_JAVA = _ws_class(lambda c: f"\\x{{{c:X}}}")
 WS_RUN_RE2 = _ws_class(lambda c: f"\\x{{{c:X}}}")
 NULL_TOKENS = ["nan", "none", "null", "nat"]
+NULL_TOKEN_JAVA = "^(?i:nan|none|null|nat)$"
 # Identifier characters kept by normalize_identifier: CJK block + ASCII alnum.
 NON_IDENT_JAVA = "[^\\u4e00-\\u9fa5a-zA-Z0-9]+"
 NON_IDENT_RE2 = "[^\\x{4E00}-\\x{9FA5}a-zA-Z0-9]+"
@@ -41,9 +42,12 @@ def _col(c) -> Column:
 
 
 def clean_text(c) -> Column:
-    """Null / null-token -> '', whitespace runs -> one space, trimmed."""
-    s = F.trim(F.regexp_replace(_col(c).cast("string"), WS_RUN_JAVA, " "))
-    return F.when(s.isNull() | F.lower(s).isin(NULL_TOKENS), F.lit("")).otherwise(s)
+    """Null / null-token -> '', whitespace runs -> one space, trimmed.
+
+    The input is referenced once (nested cleaning must not grow the plan).
+    """
+    s = F.trim(F.regexp_replace(F.coalesce(_col(c).cast("string"), F.lit("")), WS_RUN_JAVA, " "))
+    return F.regexp_replace(s, NULL_TOKEN_JAVA, "")
 
 
 def normalize_identifier(c) -> Column:
@@ -105,26 +109,36 @@ def canonical_key(c, alias_map: Mapping[str, str]) -> Column:
     return normalize_identifier(canonicalize(c, alias_map))
 
 
-def alias_matches(text, alias_map: Mapping[str, str]) -> Column:
-    """Canonical names whose alias occurs in the normalised text, dictionary order.
+def alias_matches(norm_text, alias_map: Mapping[str, str]) -> Column:
+    """Canonical names whose alias occurs in the NORMALISED text, dictionary order.
 
+    ``norm_text`` must already be ``normalize_identifier(text)`` (a column), so
+    the lambda below does not re-normalise the text per dictionary entry.
     Aliases of at most two characters must equal the whole normalised text.
     """
     entries = [(k, v) for k, v in alias_map.items() if k]
     if not entries:
         return F.array().cast("array<string>")
-    norm = normalize_identifier(text)
+    norm = _col(norm_text)
     arr = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(v).alias("v")) for k, v in entries])
     hits = F.filter(arr, lambda e: F.when(F.length(e["k"]) <= 2, norm == e["k"])
                     .otherwise(F.instr(norm, e["k"]) > 0))
     return F.array_distinct(F.transform(hits, lambda e: e["v"]))
 
 
-def target_labels(explicit, fallback_text, alias_map: Mapping[str, str]) -> Column:
-    """B21 labels: structured field first, free-text alias search when it yields nothing."""
-    from_field = F.filter(F.transform(split_multi_value(explicit), lambda x: canonicalize(x, alias_map)),
-                          lambda x: x != "")
-    labels = F.when(F.size(from_field) > 0, from_field).otherwise(alias_matches(fallback_text, alias_map))
+def field_labels(explicit, alias_map: Mapping[str, str]) -> Column:
+    """B21 step 1: canonical labels from the structured field (split, canonicalise, drop empty)."""
+    return F.filter(F.transform(split_multi_value(explicit), lambda x: canonicalize(x, alias_map)),
+                    lambda x: x != "")
+
+
+def target_labels(from_field, norm_text, alias_map: Mapping[str, str]) -> Column:
+    """B21 labels: structured field first, free-text alias search when it yields nothing.
+
+    ``from_field`` is the (materialised) output of ``field_labels``.
+    """
+    ff = _col(from_field)
+    labels = F.when(F.size(ff) > 0, ff).otherwise(alias_matches(norm_text, alias_map))
     return dedupe_keep_order(labels)
 
 
@@ -144,12 +158,13 @@ def keyword_count(text, words: Sequence[str]) -> Column:
 
 
 def char_ngrams(text, n_min: int = 2, n_max: int = 4) -> Column:
-    """Character n-grams of a string, n in [n_min, n_max], position order per n (T27 guard)."""
+    """Character n-grams of a string for n in [n_min, n_max] (all positions, n-major order).
+
+    A zero-width look-ahead regex yields every overlapping n-gram in one linear
+    pass per n (``substring`` by code-point offset would rescan the UTF-8
+    string for every position: quadratic on long documents).  Texts shorter
+    than n yield nothing (trap T27).
+    """
     t = _col(text)
-    grams = []
-    for n in range(n_min, n_max + 1):
-        grams.append(F.when(F.length(t) >= n,
-                            F.transform(F.sequence(F.lit(1), F.length(t) - n + 1),
-                                        lambda i, n=n: F.substring(t, i, n)))
-                     .otherwise(F.array().cast("array<string>")))
-    return F.flatten(F.array(*grams))
+    return F.flatten(F.array(*[F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+                               for n in range(n_min, n_max + 1)]))
