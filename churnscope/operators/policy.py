@@ -162,7 +162,9 @@ def prepare_policies(df: DataFrame, columns: Mapping[str, str] | None = None, id
     """Prepared policy table; an already prepared table is returned unchanged."""
     if PREPARED_COLUMNS.issubset(df.columns):
         return df
-    base = policy_base(df, columns, id_col, **kw)
+    # The base table feeds the corpus, several scalar statistics and the final join:
+    # computed once (regex cleaning and topic scoring run once per document).
+    base = policy_base(df, columns, id_col, **kw).persist()
     corpus = base.select(F.col("_pid").alias("id"),
                          F.when(F.col("semantic_text") == "", F.lit(P.EMPTY_TEXT)).otherwise(F.col("semantic_text"))
                          .alias("text"))
@@ -186,9 +188,10 @@ def prepare_policies(df: DataFrame, columns: Mapping[str, str] | None = None, id
     bias = F.least(F.greatest((F.col("policy_sentiment") + 1.0) / 2.0, F.lit(0.0)), F.lit(1.0))
     score = 100.0 * (wh * F.col("policy_hotness") + ws * F.col("semantic_score") + wt * F.col("time_weight")
                      + wst * F.col("topic_strength") + wb * bias)
+    # persisted: downstream operators (macro index, gaps, matching) read it several times
     return (out.withColumnRenamed("hotness", "policy_hotness")
             .withColumn("policy_score", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
-            .drop("_pid"))
+            .drop("_pid").persist())
 
 
 # ------------------------------------------------------------------ E18/E19 --
@@ -228,7 +231,7 @@ def join_macro_index(employees: DataFrame, prepared: DataFrame, role_aliases=P.J
     """
     from ..functions.text import canonical_key
     emp = employees.withColumn("JobRoleKey", canonical_key("JobRole", alias_dictionary(role_aliases)))
-    macro = macro_index(prepared)
+    macro = macro_index(prepared).persist()  # one row per (role key, role): bounded by the role dimension
     n_macro = macro.select(F.count(F.lit(1))).scalar()
     mean_macro = macro.select(F.avg("macro_index")).scalar()
     mean_score = prepared.select(F.avg("policy_score")).scalar()
