@@ -102,6 +102,11 @@ def policy_base(df: DataFrame, columns: Mapping[str, str] | None = None, id_col:
     if cols["title"] is None and cols["content"] is None and "full_text" not in df.columns:
         raise ValueError("policy table has no usable text column (title / content / full_text)")
 
+    # Per-document regex work is CPU-bound and a document file is often one input
+    # split: hash-spread the rows over tasks first (AQE coalesces tiny partitions).
+    if id_col in df.columns:
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(id_col))
+
     def text(key):
         c = cols[key]
         return clean_text(c) if c else F.lit("")
