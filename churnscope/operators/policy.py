@@ -193,10 +193,18 @@ def prepare_policies(df: DataFrame, columns: Mapping[str, str] | None = None, id
     bias = F.least(F.greatest((F.col("policy_sentiment") + 1.0) / 2.0, F.lit(0.0)), F.lit(1.0))
     score = 100.0 * (wh * F.col("policy_hotness") + ws * F.col("semantic_score") + wt * F.col("time_weight")
                      + wst * F.col("topic_strength") + wb * bias)
-    # persisted: downstream operators (macro index, gaps, matching) read it several times
-    return (out.withColumnRenamed("hotness", "policy_hotness")
-            .withColumn("policy_score", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
-            .drop("_pid").persist())
+    # Downstream operators (macro index, gaps, matching) read it several times and
+    # embed it in scalar subqueries: a reliable checkpoint (shared checkpoint dir)
+    # computes it once and gives every later plan a small leaf instead of the
+    # whole text-analytics lineage.
+    from ..session import cut_lineage
+    out = (out.withColumnRenamed("hotness", "policy_hotness")
+           .withColumn("policy_score", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)))
+           .drop("_pid"))
+    prepared = cut_lineage(out)
+    base.unpersist()
+    counts.unpersist()
+    return prepared
 
 
 # ------------------------------------------------------------------ E18/E19 --

@@ -299,3 +299,56 @@ SELECT EmployeeNumber, {', '.join(sel)} FROM i"""
 def standardize(spark, sf):
     wf = FX.workforce(spark, sf).select("EmployeeNumber", *STD_COLS)
     return EV.standardize(wf, STD_COLS)
+
+
+# -------------------------------------------------------------- E20/E21 ----
+
+_APPLIED_SQL = f"""{WF}, {SEG_FEATURES_SQL}, {_segment_thresholds_sql(SEGMENT_BASE)},
+applied AS (
+  SELECT s.EmployeeNumber, s.p, c.type,
+         CASE WHEN s.p >= CASE WHEN c.type = 'segment' THEN CASE WHEN s.segment = 'high_risk' THEN c.high_risk ELSE c.standard END
+              ELSE c.base_threshold END THEN 1 ELSE 0 END AS predicted
+  FROM seg s, cfg c)"""
+
+
+def _applied(spark, sf):
+    seg = _segmented(spark, sf).persist()
+    cfg = EV.segment_thresholds(seg, SEGMENT_BASE, "y", "p")
+    out = EV.apply_thresholds(seg, cfg)
+    out = out.withColumn("predicted", F.when(F.col("p") >= F.col("threshold"), 1).otherwise(0))
+    return out, cfg
+
+
+@q("result_summary", f"""WITH {_APPLIED_SQL}
+SELECT 'sample_count' AS metric, CAST(COUNT(*) AS DOUBLE) AS value, CAST(NULL AS VARCHAR) AS text FROM applied
+UNION ALL SELECT 'predicted_high_risk', CAST(SUM(predicted) AS DOUBLE), NULL FROM applied
+UNION ALL SELECT 'predicted_high_risk_share', AVG(CAST(predicted AS DOUBLE)), NULL FROM applied
+UNION ALL SELECT 'mean_probability', AVG(p), NULL FROM applied
+UNION ALL SELECT 'threshold_strategy', NULL, (SELECT type FROM cfg)""")
+def result_summary(spark, sf):
+    """Run summary in long form (metric, value, text); one aggregate + the config row."""
+    out, cfg = _applied(spark, sf)
+    a = out.agg(F.count(F.lit(1)).cast("double").alias("sample_count"),
+                F.sum("predicted").cast("double").alias("predicted_high_risk"),
+                F.avg(F.col("predicted").cast("double")).alias("predicted_high_risk_share"),
+                F.avg("p").alias("mean_probability"))
+    a = EV.with_scalars(a, cfg.select("type"))
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(None).cast("string").alias("text"))
+                     for m in ("sample_count", "predicted_high_risk", "predicted_high_risk_share", "mean_probability")],
+                   F.struct(F.lit("threshold_strategy").alias("metric"), F.lit(None).cast("double").alias("value"),
+                            F.col("type").alias("text")))
+    return a.select(F.inline(rows))
+
+
+@q("decision_share", f"""WITH {_APPLIED_SQL}
+SELECT COUNT(*) - SUM(predicted) AS stay_count, SUM(predicted) AS leave_count,
+       CAST(COUNT(*) - SUM(predicted) AS DOUBLE) / COUNT(*) AS stay_share,
+       CAST(SUM(predicted) AS DOUBLE) / COUNT(*) AS leave_share
+FROM applied""")
+def decision_share(spark, sf):
+    """Predicted stay / leave counts and shares (one aggregate)."""
+    out, _ = _applied(spark, sf)
+    a = out.agg(F.count(F.lit(1)).alias("n"), F.sum("predicted").alias("leave_count"))
+    return a.select((F.col("n") - F.col("leave_count")).alias("stay_count"), "leave_count",
+                    ((F.col("n") - F.col("leave_count")) / F.col("n")).alias("stay_share"),
+                    (F.col("leave_count") / F.col("n")).alias("leave_share"))

@@ -51,6 +51,14 @@ def employees(spark, sf):
     return FE.add_interaction_features(N.normalize_workforce(FX.workforce(spark, sf)))
 
 
+# ------------------------------------------------------------------- A2 ----
+
+@q("scan_policies", f"SELECT * FROM ({FX.POLICIES_SQL}) AS policies")
+def scan_policies(spark, sf):
+    """A2: the policy table (every document, whole text) with its explicit schema."""
+    return FX.policies(spark, sf)
+
+
 # ------------------------------------------------------------ text operators
 
 @q("clean_text")
