@@ -352,3 +352,62 @@ def decision_share(spark, sf):
     return a.select((F.col("n") - F.col("leave_count")).alias("stay_count"), "leave_count",
                     ((F.col("n") - F.col("leave_count")) / F.col("n")).alias("stay_share"),
                     (F.col("leave_count") / F.col("n")).alias("leave_share"))
+
+
+# ------------------------------------------------------------------ L26 ----
+
+@q("prediction_detail", f"""WITH {_APPLIED_SQL},
+thr AS (
+  SELECT s.EmployeeNumber, s.y, s.segment,
+         CASE WHEN c.type = 'segment' THEN CASE WHEN s.segment = 'high_risk' THEN c.high_risk ELSE c.standard END
+              ELSE c.base_threshold END AS threshold
+  FROM seg s, cfg c)
+SELECT a.EmployeeNumber, ROUND(a.p, 3) AS probability, a.predicted, t.y AS actual, t.threshold, t.segment
+FROM applied a JOIN thr t ON a.EmployeeNumber = t.EmployeeNumber""")
+def prediction_detail(spark, sf):
+    """Per-employee probability (3 dp), predicted / actual label, threshold and segment,
+    ordered by probability descending (the written sheet's order)."""
+    out, _ = _applied(spark, sf)
+    return (out.select("EmployeeNumber", F.round("p", 3).alias("probability"), "predicted", F.col("y").alias("actual"),
+                       "threshold", "segment")
+            .orderBy(F.desc("probability"), F.asc("EmployeeNumber")))
+
+
+# --------------------------------------------------------------- I3/I4 -----
+
+_SPLIT_SQL = f"""{MS}, {_RANK_SQL},
+sp AS (SELECT m.*, CASE WHEN r.class_rank <= ROUND(r.n_class * 0.2) THEN 'test' ELSE 'train' END AS split
+       FROM model_scores m JOIN r ON m.id = r.id)"""
+
+
+def _split_metrics_sql(split: str) -> str:
+    auc = f"""(SELECT CASE WHEN SUM(pos) > 0 AND SUM(neg) > 0 THEN
+                SUM(pos * (below + 0.5 * neg)) / (CAST(SUM(pos) AS DOUBLE) * SUM(neg)) END
+         FROM (SELECT pos, neg, COALESCE(SUM(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below
+               FROM (SELECT p_b AS s, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y <> 1) AS neg
+                     FROM sp WHERE split = '{split}' GROUP BY p_b)))"""
+    return f"""(SELECT '{split}' AS split, {auc} AS auc, m.* FROM (
+  SELECT {_metrics_sql('tp', 'pp', 'pos', 'n')}
+  FROM (SELECT COUNT(*) FILTER (WHERE p_b >= 0.5 AND y = 1) AS tp, COUNT(*) FILTER (WHERE p_b >= 0.5) AS pp,
+               COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) AS n FROM sp WHERE split = '{split}')) m)"""
+
+
+@q("metrics_long", f"""WITH {_SPLIT_SQL},
+w AS ({_split_metrics_sql('train')} UNION ALL {_split_metrics_sql('test')})
+SELECT split, metric, value FROM (
+  SELECT split, 'auc' AS metric, auc AS value FROM w UNION ALL SELECT split, 'acc', acc FROM w
+  UNION ALL SELECT split, 'precision', precision FROM w UNION ALL SELECT split, 'recall', recall FROM w
+  UNION ALL SELECT split, 'f1', f1 FROM w)""")
+def metrics_long(spark, sf):
+    """Long form (split, metric, value) of auc / acc / precision / recall / f1 at 0.5
+    for the stratified train and test splits (one metric row set per split)."""
+    s = EV.stratified_split(scores(spark, sf), "y", "id", 0.2, 42)
+    s = s.withColumn("split", F.when(F.col("is_test"), "test").otherwise("train")).persist()
+    parts = []
+    for name in ("train", "test"):
+        part = s.where(F.col("split") == name)
+        m = EV.with_scalars(EV.binary_metrics(part, "y", "p_b", 0.5), EV.roc_auc(part, "y", "p_b"))
+        parts.append(m.select(F.lit(name).alias("split"), F.inline(F.array(*[
+            F.struct(F.lit(k).alias("metric"), F.col(k).alias("value"))
+            for k in ("auc", "acc", "precision", "recall", "f1")]))))
+    return parts[0].unionByName(parts[1])

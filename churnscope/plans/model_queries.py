@@ -84,3 +84,31 @@ def one_hot(spark, sf):
     arr = vector_to_array(F.col("features"))
     slots = F.array(*[F.struct(F.lit(n).alias("feature"), arr[i].alias("value")) for i, n in enumerate(names)])
     return x.select("EmployeeNumber", F.inline(slots)).where(F.col("value") != 0)
+
+
+def _lr_importance(spark, sf):
+    """Encoded-slot importance |coef| of the balanced logistic model (the reference uses the
+    boosted learner's split importance; re-aimed, SURVEY §8)."""
+    from pyspark.ml.functions import vector_to_array  # noqa: F401
+    d, num, cat = LN.prepare_training(training_table(spark, sf))
+    x = LN.encoder(num, cat).fit(d).transform(d)
+    names = LN.encoded_feature_names(x)
+    sw = x.agg(F.sum("w_balanced")).first()[0] or 0.0
+    coef = LN.logistic(sw).fit(x).coefficients.toArray()
+    rows = [(n, float(abs(c))) for n, c in zip(names, coef)]
+    return spark.createDataFrame(rows, "feature string, importance double")  # one row per encoded slot
+
+
+@q("importance_by_raw_feature")
+def importance_by_raw_feature(spark, sf):
+    """Encoded-slot importance summed back to the raw feature (one-hot slots -> column)."""
+    imp = _lr_importance(spark, sf)
+    raw = F.split(F.col("feature"), "__ohe_").getItem(0)
+    return (imp.groupBy(raw.alias("raw_feature")).agg(F.sum("importance").alias("importance"))
+            .orderBy(F.desc("importance"), F.asc("raw_feature")))
+
+
+@q("top_features")
+def top_features(spark, sf):
+    """Top-20 encoded features by importance (a top-k report)."""
+    return _lr_importance(spark, sf).orderBy(F.desc("importance"), F.asc("feature")).limit(20)
