@@ -61,13 +61,18 @@ def scan_policies(spark, sf):
 
 # ------------------------------------------------------------ text operators
 
-@q("clean_text")
+_CLEAN_SQL = f"""(SELECT doc_id, CASE WHEN regexp_matches(t, '^(?i:nan|none|null|nat)$') THEN '' ELSE t END AS clean
+  FROM (SELECT doc_id, trim(regexp_replace(COALESCE(text, ''), '{T.WS_RUN_RE2}', ' ', 'g')) AS t FROM documents))"""
+
+
+@q("clean_text", f"SELECT doc_id, clean FROM {_CLEAN_SQL} AS c")
 def clean_text(spark, sf):
     d = FX.table(spark, sf, "documents")
     return d.select("doc_id", T.clean_text("text").alias("clean"))
 
 
-@q("normalize_identifier")
+@q("normalize_identifier",
+   f"SELECT doc_id, lower(regexp_replace(clean, '{T.NON_IDENT_RE2}', '', 'g')) AS ident FROM {_CLEAN_SQL} AS c")
 def normalize_identifier(spark, sf):
     d = FX.table(spark, sf, "documents")
     return d.select("doc_id", T.normalize_identifier("text").alias("ident"))
