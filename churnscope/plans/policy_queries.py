@@ -78,7 +78,20 @@ def normalize_identifier(spark, sf):
     return d.select("doc_id", T.normalize_identifier("text").alias("ident"))
 
 
-@q("split_multi_value")
+def _clean_sql(x: str) -> str:
+    t = f"trim(regexp_replace(COALESCE({x}, ''), '{T.WS_RUN_RE2}', ' ', 'g'))"
+    return f"(CASE WHEN regexp_matches({t}, '^(?i:nan|none|null|nat)$') THEN '' ELSE {t} END)"
+
+
+def _split_sql(col: str) -> str:
+    v = _clean_sql(col)
+    parts = (f"list_filter(list_transform(regexp_split_to_array({v}, '{T.MULTI_VALUE_SPLIT}'), lambda x: {_clean_sql('x')}),"
+             f" lambda x: x <> '')")
+    return (f"(CASE WHEN {v} = '' THEN CAST([] AS VARCHAR[]) WHEN len({parts}) = 0 THEN [{v}] ELSE {parts} END)")
+
+
+@q("split_multi_value", f"""WITH p AS ({FX.POLICIES_SQL})
+SELECT policy_id, {_split_sql('roles')} AS role_parts, {_split_sql('departments')} AS department_parts FROM p""")
 def split_multi_value(spark, sf):
     p = FX.policies(spark, sf)
     return p.select("policy_id", T.split_multi_value("roles").alias("role_parts"),
@@ -154,7 +167,12 @@ def policy_sentiment(spark, sf):
     return base_policies(spark, sf).select("policy_id", "policy_sentiment")
 
 
-@q("policy_time_weight")
+@q("policy_time_weight", f"""WITH p AS ({FX.POLICIES_SQL})
+SELECT policy_id, publish_date,
+       CASE WHEN publish_date IS NULL THEN CAST(0.5 AS DOUBLE)
+            ELSE POWER(CAST(0.5 AS DOUBLE), CAST(GREATEST(date_diff('day', publish_date, (SELECT MAX(publish_date) FROM p)), 0) AS DOUBLE)
+                       / {float(max(P.TIME_DECAY_HALF_LIFE_DAYS, 1))!r}) END AS time_weight
+FROM p""")
 def policy_time_weight(spark, sf):
     return base_policies(spark, sf).select("policy_id", F.col("publish_time").cast("date").alias("publish_date"),
                                            "time_weight")
