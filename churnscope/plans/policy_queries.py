@@ -98,7 +98,14 @@ def split_multi_value(spark, sf):
                     T.split_multi_value("departments").alias("department_parts"))
 
 
-@q("dedupe_keep_order")
+def _dedupe_sql(arr: str) -> str:
+    c = f"list_filter(list_transform({arr}, lambda x: {_clean_sql('x')}), lambda x: x <> '')"
+    return f"list_filter({c}, lambda x, i: list_position({c}, x) = i)"  # first occurrence only
+
+
+@q("dedupe_keep_order", f"""WITH p AS ({FX.POLICIES_SQL})
+SELECT policy_id, {_dedupe_sql(f"list_concat({_split_sql('roles')}, {_split_sql('departments')}, {_split_sql('roles')})")} AS "values"
+FROM p""")
 def dedupe_keep_order(spark, sf):
     p = FX.policies(spark, sf)
     parts = F.concat(T.split_multi_value("roles"), T.split_multi_value("departments"), T.split_multi_value("roles"))
