@@ -112,7 +112,17 @@ def dedupe_keep_order(spark, sf):
     return p.select("policy_id", T.dedupe_keep_order(parts).alias("values"))
 
 
-@q("canonical_role")
+def _norm_sql(x: str) -> str:
+    return f"lower(regexp_replace({_clean_sql(x)}, '{T.NON_IDENT_RE2}', '', 'g'))"
+
+
+@q("canonical_role", f"""WITH p AS ({FX.POLICIES_SQL}),
+parts AS (SELECT policy_id, unnest({_split_sql('roles')}) AS part FROM p),
+dict AS (SELECT {_norm_sql('n_name')} AS k, MAX(n_name) AS canonical FROM nation GROUP BY 1),
+c AS (SELECT policy_id, part, CASE WHEN {_clean_sql('part')} = '' THEN ''
+                                   ELSE COALESCE(d.canonical, {_clean_sql('part')}) END AS canonical
+      FROM parts LEFT JOIN dict d ON d.k = {_norm_sql('part')})
+SELECT policy_id, part, canonical, {_norm_sql('canonical')} AS role_key FROM c""")
 def canonical_role(spark, sf):
     ra, _ = _dicts(spark, sf)
     amap = T.alias_dictionary(ra)
