@@ -179,7 +179,20 @@ def topic_strength(spark, sf):
     return base_policies(spark, sf).select("policy_id", "matched_topic_count", "topic_hit_total", "topic_strength")
 
 
-@q("policy_sentiment")
+def _kw_count_sql(t: str, words) -> str:
+    return " + ".join(f"FLOOR((length({t}) - length(replace({t}, '{w}', ''))) / {len(w)})" for w in words)
+
+
+_FULL_SQL = _clean_sql("concat_ws(' ', " + _clean_sql("title") + ", " + _clean_sql("content") + ")")
+
+
+@q("policy_sentiment", f"""WITH p AS ({FX.POLICIES_SQL}),
+f AS (SELECT policy_id, {_FULL_SQL} AS full_text FROM p),
+c AS (SELECT policy_id, CAST({_kw_count_sql('full_text', P.FIXTURE_POSITIVE)} AS DOUBLE) AS pos,
+             CAST({_kw_count_sql('full_text', P.FIXTURE_NEGATIVE)} AS DOUBLE) AS neg FROM f)
+SELECT policy_id, CASE WHEN pos = 0 AND neg = 0 THEN CAST(0.0 AS DOUBLE)
+                       ELSE LEAST(GREATEST((pos - neg) / (pos + neg + 1e-8), -1.0), 1.0) END AS policy_sentiment
+FROM c""")
 def policy_sentiment(spark, sf):
     return base_policies(spark, sf).select("policy_id", "policy_sentiment")
 
