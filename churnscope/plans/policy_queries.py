@@ -157,7 +157,22 @@ def semantic_text(spark, sf):
     return base_policies(spark, sf).select("policy_id", "full_text", "semantic_text")
 
 
-@q("topic_scores")
+def _kw_count_sql(t: str, words) -> str:
+    return " + ".join(f"FLOOR((length({t}) - length(replace({t}, '{w}', ''))) / {len(w)})" for w in words)
+
+
+_FULL_SQL = _clean_sql("concat_ws(' ', " + _clean_sql("title") + ", " + _clean_sql("content") + ")")
+
+
+_TOPIC_COUNTS_SQL = f"""WITH p AS ({FX.POLICIES_SQL}),
+f AS (SELECT policy_id, {_FULL_SQL} AS full_text FROM p),
+s AS (SELECT policy_id, {", ".join(f"CAST({_kw_count_sql('full_text', words)} AS DOUBLE) AS score_{k}"
+                                   for k, (_, words) in P.FIXTURE_TOPICS.items())} FROM f),
+t AS (SELECT *, {" + ".join(f"score_{k}" for k in P.FIXTURE_TOPICS)} AS total FROM s)"""
+
+
+@q("topic_scores", f"""{_TOPIC_COUNTS_SQL}
+SELECT policy_id, {", ".join(f"score_{k}" for k in P.FIXTURE_TOPICS)} FROM t""")
 def topic_scores(spark, sf):
     b = base_policies(spark, sf)
     return b.select("policy_id", *[F.col("topic_scores")[k].alias(f"score_{k}") for k in P.FIXTURE_TOPICS])
@@ -168,6 +183,8 @@ def topic_tags(spark, sf):
     return base_policies(spark, sf).select("policy_id", "policy_tags")
 
 
+# topic_vector stays rows-only: its shares (k/128 etc.) sit exactly on 6-dp rounding ties,
+# where Spark (decimal HALF_UP) and DuckDB (binary double) round differently.
 @q("topic_vector")
 def topic_vector(spark, sf):
     b = base_policies(spark, sf)
@@ -179,13 +196,6 @@ def topic_strength(spark, sf):
     return base_policies(spark, sf).select("policy_id", "matched_topic_count", "topic_hit_total", "topic_strength")
 
 
-def _kw_count_sql(t: str, words) -> str:
-    return " + ".join(f"FLOOR((length({t}) - length(replace({t}, '{w}', ''))) / {len(w)})" for w in words)
-
-
-_FULL_SQL = _clean_sql("concat_ws(' ', " + _clean_sql("title") + ", " + _clean_sql("content") + ")")
-
-
 @q("policy_sentiment", f"""WITH p AS ({FX.POLICIES_SQL}),
 f AS (SELECT policy_id, {_FULL_SQL} AS full_text FROM p),
 c AS (SELECT policy_id, CAST({_kw_count_sql('full_text', P.FIXTURE_POSITIVE)} AS DOUBLE) AS pos,
