@@ -178,7 +178,14 @@ def topic_scores(spark, sf):
     return b.select("policy_id", *[F.col("topic_scores")[k].alias(f"score_{k}") for k in P.FIXTURE_TOPICS])
 
 
-@q("topic_tags")
+def _topic_tags_sql() -> str:
+    parts = ", ".join(f"CASE WHEN score_{k} > 0 THEN '{lab}' END" for k, (lab, _) in P.FIXTURE_TOPICS.items())
+    j = f"concat_ws('{P.TOPIC_LABEL_SEP}', {parts})"
+    return f"CASE WHEN {j} = '' THEN '{P.DEFAULT_TOPIC_LABEL}' ELSE {j} END"
+
+
+@q("topic_tags", f"""{_TOPIC_COUNTS_SQL}
+SELECT policy_id, {_topic_tags_sql()} AS policy_tags FROM t""")
 def topic_tags(spark, sf):
     return base_policies(spark, sf).select("policy_id", "policy_tags")
 
