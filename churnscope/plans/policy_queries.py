@@ -198,7 +198,13 @@ def topic_vector(spark, sf):
     return b.select("policy_id", *[F.col("topic_vector")[i].alias(f"v_{k}") for i, k in enumerate(P.FIXTURE_TOPICS)])
 
 
-@q("topic_strength")
+@q("topic_strength", f"""{_TOPIC_COUNTS_SQL},
+m AS (SELECT policy_id, CAST({" + ".join(f"CASE WHEN score_{k} > 0 THEN 1 ELSE 0 END" for k in P.FIXTURE_TOPICS)} AS INTEGER)
+               AS matched_topic_count, total AS topic_hit_total FROM t)
+SELECT policy_id, matched_topic_count, topic_hit_total,
+       LEAST(GREATEST((matched_topic_count * CAST(0.6 AS DOUBLE) + topic_hit_total * CAST(0.4 AS DOUBLE)) / 4.0, 0.0), 1.0)
+         AS topic_strength
+FROM m""")
 def topic_strength(spark, sf):
     return base_policies(spark, sf).select("policy_id", "matched_topic_count", "topic_hit_total", "topic_strength")
 
