@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import url_filter
+from . import topk_search, url_filter
 
-MODULES = [url_filter]
+MODULES = [url_filter, topk_search]
 
 
 def queries() -> dict:
