@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import topk_search, url_filter
+from . import packing, topk_search, url_filter
 
-MODULES = [url_filter, topk_search]
+MODULES = [url_filter, topk_search, packing]
 
 
 def queries() -> dict:
