@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, topk_search, url_filter
+from . import packing, topk_search, url_filter, warc
 
-MODULES = [url_filter, topk_search, packing]
+MODULES = [url_filter, topk_search, warc, packing]
 
 
 def queries() -> dict:
