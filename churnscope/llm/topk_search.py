@@ -95,12 +95,12 @@ def search_block(qid, q, qr, floor, cid, c, cr, k: int) -> pd.DataFrame:
 
 
 def _search(queries: DataFrame, candidates: DataFrame, dim: int, turn: np.ndarray, k: int) -> DataFrame:
-    """Block joins: queries (qb, cb, query_id, q, floor) with candidates (qb, cb, vec_id, q)."""
+    """Block joins: queries (qb, cb, query_id, asked, floor) with candidates (qb, cb, vec_id, held)."""
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        q, c = _stack(left["q"], dim), _stack(right["q"], dim)
+        q, c = _stack(left["asked"], dim), _stack(right["held"], dim)
         order = np.argsort(-(c**2).sum(1), kind="stable")
         c = c[order]
         cid = right["vec_id"].to_numpy()[order]
@@ -135,8 +135,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     longest = [r["len"] for r in laid.groupBy("cb").agg(F.max("len").alias("len")).orderBy("cb").collect()]  # 8 bytes for each BLOCK rows
     names = [r["cb"] for r in laid.select("cb").distinct().orderBy("cb").collect()]
     number = F.pmod(F.xxhash64("id"), F.lit(qblocks)).cast("int")
-    queries = laid.filter("is_query").select(F.col("id").alias("query_id"), "q", "len", number.alias("qb"))
-    candidates = laid.select(F.col("id").alias("vec_id"), "q", "cb", F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qb"))
+    queries = laid.filter("is_query").select(F.col("id").alias("query_id"), F.col("q").alias("asked"), "len", number.alias("qb"))
+    candidates = laid.select(F.col("id").alias("vec_id"), F.col("q").alias("held"), F.col("cb").alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(qblocks - 1))).alias("qb"))
     if not names:
         return laid.select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score")).limit(0)
 
@@ -150,7 +150,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
         F.arrays_zip(F.lit(names[1:]).cast("array<int>").alias("cb"), F.lit(longest[1:]).cast("array<double>").alias("most")),
         lambda b: F.col("len") * b["most"] * (1 + SLACK) + SLACK >= F.col("floor"),
     )
-    rest = later.withColumn("block", F.explode(reach)).select("query_id", "q", "floor", "qb", F.col("block.cb").alias("cb"))
+    rest = later.withColumn("block", F.explode(reach)).select("query_id", "asked", "floor", "qb", F.col("block.cb").alias("cb"))
     found = start.unionByName(_search(rest, candidates.filter(F.col("cb") != first), dim, turn, k)) if names[1:] else start
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
