@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, topk_search, url_filter, warc
+from . import packing, piece_bpe, topk_search, url_filter, warc
 
-MODULES = [url_filter, topk_search, warc, packing]
+MODULES = [url_filter, topk_search, warc, piece_bpe, packing]
 
 
 def queries() -> dict:
