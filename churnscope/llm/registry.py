@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import packing, piece_bpe, topk_search, url_filter, warc
+from . import language_id, packing, piece_bpe, topk_search, url_filter, warc
 
-MODULES = [url_filter, topk_search, warc, piece_bpe, packing]
+MODULES = [url_filter, topk_search, warc, piece_bpe, packing, language_id]
 
 
 def queries() -> dict:
