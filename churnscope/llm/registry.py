@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, piece_bpe, quality, topk_search, url_filter, warc
+from . import language_id, minhash, packing, piece_bpe, quality, topk_search, url_filter, warc
 
-MODULES = [url_filter, quality, topk_search, warc, piece_bpe, packing, language_id]
+MODULES = [url_filter, quality, topk_search, warc, piece_bpe, minhash, packing, language_id]
 
 
 def queries() -> dict:
