@@ -37,8 +37,7 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch, table
 
 CAPTURE_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
-#: Pages of one archive and index entries of one merge range, about.
-RUN_ROWS = 8_000
+#: Index entries of one merge range, about.
 RANGE_ROWS = 100_000
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "url_key string, capture_ts string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long, length long"
@@ -160,10 +159,9 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     # of ids only, so that the pages themselves are dealt by page id and not by payload
     again = small.join(groups, ["sha", "n_bytes"]).filter(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "sha", F.col("first").alias("refers_to")).distinct()
     again = again.select(F.coalesce("page_id", F.lit(-(2**63))).alias("_page"), F.col("sha").alias("_sha"), "refers_to")
-    runs = max(1, math.ceil(rows.count() / RUN_ROWS))
-    # dealt once, for the join and for the archives
-    left = rows.withColumn("_key", F.coalesce("page_id", F.lit(-(2**63)))).repartition(runs, "_key", "sha")
-    joined = left.join(again.repartition(runs, "_page", "_sha").hint("shuffle_hash"), (F.col("_key") == F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
+    # one exchange deals the pages for the join and for the archives
+    left = rows.withColumn("_key", F.coalesce("page_id", F.lit(-(2**63))))
+    joined = left.join(again, (F.col("_key") == F.col("_page")) & (F.col("sha") == F.col("_sha")), "left")
     joined = joined.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("html")).alias("html"), "sha", "n_bytes", "refers_to")
     folder = scratch(spark, "warc")
 

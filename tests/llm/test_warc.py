@@ -19,13 +19,17 @@ def test_loser_tree_equals_sort(runs):
 
 
 def test_round_trip(spark, monkeypatch):
-    monkeypatch.setattr(warc, "RUN_ROWS", 40)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # else a small table makes one archive
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     monkeypatch.setattr(warc, "RANGE_ROWS", 50)
     rows = [(i, f"http://h{i % 5}.example.org/p?{i}\n", f"<p>é {i // 7}</p>" * (1 + i % 3), None, 1, "x") for i in range(200)]
     rows += [(500, None, None, None, 1, "x"), (501, "", "", None, 1, "x"), (502, "no scheme", "long " * 300_000, None, 1, "x")]
     rows += [(7, rows[7][1], rows[7][2], None, 1, "x"), (None, "http://same.org/", "<p>é 0</p>", None, 1, "x")]
     rows += [(600 + i, "http://hot.org/", "hot", None, 1, "x") for i in range(150)]
     got = warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before[1])
     first = {}
     for i, _, html, *_ in rows:
         if i is not None:
