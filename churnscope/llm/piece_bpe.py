@@ -40,7 +40,7 @@ SPACE = "▁"
 NO_RANK = np.iinfo(np.int32).max
 MAX_ROUNDS = 400
 #: Encoded words that a task keeps, and documents that it encodes together.
-KEEP = 200_000
+KEEP = 400_000
 TOGETHER = 1000
 #: Piece types of the model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -107,29 +107,52 @@ def load_model(path: str) -> dict:
                 keys.append(a << 32 | b)
                 ranks.append(order[scores[i]])
                 merged.append(i)
-    by = np.argsort(keys, kind="stable")
-    keys, ranks, merged = np.array(keys, np.int64)[by], np.array(ranks, np.int32)[by], np.array(merged, np.int32)[by]
+    slots = 1 << max(4, (4 * len(keys)).bit_length())
+    table = _hash_table(np.array(keys, np.int64), slots)
     # a rank must be merged one place at a time if pieces share it, or if its piece can be part of one as good or better
     n_of_rank = np.bincount([order[scores[i]] for i in usable.values()], minlength=len(order))
     careful = n_of_rank > 1
     own = {i: order[scores[i]] for i in usable.values()}
-    for key, rank in zip(keys.tolist(), ranks.tolist()):
+    for key, rank in zip(keys, ranks):
         for part in (key >> 32, key & 0xFFFFFFFF):
             if own.get(part, -1) >= rank:
                 careful[own[part]] = True
     return {
-        "pieces": pieces, "types": types, "symbols": symbols, "usable": frozenset(usable.values()), "keys": keys, "ranks": ranks, "merged": merged, "careful": careful,
+        "pieces": pieces, "types": types, "symbols": symbols, "usable": frozenset(usable.values()), "keys": np.array([*keys, -1], np.int64), "ranks": np.array([*ranks, NO_RANK], np.int32), "merged": np.array([*merged, -1], np.int32),
+        "table": table, "careful": careful, "text": [str(i) for i in range(len(pieces))], "plain": [p.replace(SPACE, " ") if t == NORMAL else None for p, t in zip(pieces, types)],
         "byte": [pieces.index(f"<0x{b:02X}>") for b in range(256)] if trainer.get(35) else None, "unknown": types.index(UNKNOWN),
         "prefix": bool(normal.get(3, 1)), "unknown_text": trainer.get(44, " ⁇ ".encode()).decode(),
     }
 
 
+def _slot(keys: np.ndarray, slots: int) -> np.ndarray:
+    return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(65 - slots.bit_length())).astype(np.int64)
+
+
+def _hash_table(keys: np.ndarray, slots: int) -> np.ndarray:
+    """Places of the keys by hash, with linear probing; len(keys) where a slot is empty."""
+    table = np.full(slots, len(keys), np.int32)
+    for place, at in enumerate(_slot(keys, slots).tolist()):
+        while table[at] != len(keys):
+            at = (at + 1) % slots
+        table[at] = place
+    return table
+
+
 def _pair_ranks(model: dict, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rank and merged piece of pairs of symbols; NO_RANK where they make no piece."""
-    key = left.astype(np.int64) << 32 | right
-    at = np.minimum(np.searchsorted(model["keys"], key), len(model["keys"]) - 1)
-    hit = (model["keys"][at] == key) & (left >= 0) & (right >= 0)
-    return np.where(hit, model["ranks"][at], NO_RANK), model["merged"][at]
+    keys, table = model["keys"], model["table"]
+    key = left << 32 | right
+    at = _slot(key, len(table))
+    place = table[at]
+    none = len(keys) - 1  # its key is -1, which no pair has
+    todo = np.flatnonzero((keys[place] != key) & (place != none))
+    while len(todo):
+        at[todo] = (at[todo] + 1) % len(table)
+        place[todo] = table[at[todo]]
+        todo = todo[(keys[place[todo]] != key[todo]) & (place[todo] != none)]
+    place[(left < 0) | (right < 0)] = none
+    return model["ranks"][place], model["merged"][place]
 
 
 def _heap_merge(model: dict, symbols: list[int]) -> list[int]:
@@ -171,36 +194,51 @@ def merge_words(model: dict, words: list[str]) -> list[list[int]]:
     sizes = np.array([len(w) for w in words], np.int64)
     chars = "".join(words)
     codes = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    known, where = np.unique(codes, return_inverse=True)
-    sym = np.array([symbol.get(chr(c), -1 - c) for c in known.tolist()], np.int64)[where] if len(codes) else codes
+    seen = np.zeros(0x110000, bool)
+    seen[codes] = True
+    known = np.flatnonzero(seen)
+    to_symbol = np.empty(0x110000, np.int64)
+    to_symbol[known] = [symbol.get(chr(c), -1 - c) for c in known.tolist()]
+    sym = to_symbol[codes]
     word = np.repeat(np.arange(len(words)), sizes)
     done_sym, done_word = [], []
     out: list[list[int] | None] = [None] * len(words)
+    # rank and piece of each symbol with its successor; only those next to a merge change
+    rank, piece = np.full(len(sym), NO_RANK, np.int32), np.full(len(sym), -1, np.int32)
+    inner = np.flatnonzero(word[1:] == word[:-1])
+    rank[inner], piece[inner] = _pair_ranks(model, sym[inner], sym[inner + 1])
     rounds = 0
     while len(sym):
         first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-        rank, piece = _pair_ranks(model, sym[:-1], sym[1:])
-        rank = np.append(np.where(word[1:] == word[:-1], rank, NO_RANK), NO_RANK)
         best = np.minimum.reduceat(rank, first)
-        size = np.diff(np.append(first, len(sym)))
-        best_here = np.repeat(best, size)
+        best_here = np.repeat(best, np.diff(np.append(first, len(sym))))
         active = best_here != NO_RANK
-        take = active & (rank == best_here)
+        if not active.all():
+            done_sym.append(sym[~active])
+            done_word.append(word[~active])
+            sym, word, rank, piece, best_here = sym[active], word[active], rank[active], piece[active], best_here[active]
+            if not len(sym):
+                break
         # consecutive places overlap: every other one, from the left
-        place = np.flatnonzero(take)
-        run = np.flatnonzero(np.r_[True, np.diff(place) != 1]) if len(place) else place
-        start = np.repeat(place[run], np.diff(np.append(run, len(place)))) if len(place) else place
+        place = np.flatnonzero(rank == best_here)
+        run = np.flatnonzero(np.r_[True, np.diff(place) != 1])
+        start = np.repeat(place[run], np.diff(np.append(run, len(place))))
         place = place[(place - start) % 2 == 0]
-        if len(place):
-            one = model["careful"][best_here[place]]
+        one = model["careful"][best_here[place]]
+        if one.any():
             place = place[~one | np.r_[True, word[place][1:] != word[place][:-1]]]
         sym[place] = piece[place]
         keep = np.ones(len(sym), bool)
         keep[place + 1] = False
-        done_sym.append(sym[~active])
-        done_word.append(word[~active])
-        keep &= active
-        sym, word = sym[keep], word[keep]
+        now = place - np.arange(len(place))  # where the merged symbols are after compaction
+        sym, word, rank, piece = sym[keep], word[keep], rank[keep], piece[keep]
+        near = np.zeros(len(sym) + 1, bool)
+        near[now] = near[now - 1] = True  # now - 1 may be the spare last place
+        changed = np.flatnonzero(near[:-1])
+        rank[changed] = NO_RANK
+        changed = changed[changed < len(sym) - 1]
+        changed = changed[word[changed] == word[changed + 1]]
+        rank[changed], piece[changed] = _pair_ranks(model, sym[changed], sym[changed + 1])
         rounds += 1
         if rounds >= MAX_ROUNDS and len(sym):
             for w in np.unique(word).tolist():
@@ -219,8 +257,10 @@ def merge_words(model: dict, words: list[str]) -> list[list[int]]:
     return [x or [] for x in out]
 
 
-def _to_ids(model: dict, symbols: Iterable[int]) -> list[int]:
+def _to_ids(model: dict, symbols: list[int]) -> list[int]:
     """Piece ids of symbols; those outside the vocabulary as bytes or as one unknown id."""
+    if not symbols or min(symbols) >= 0 and max(symbols) < len(model["pieces"]):
+        return symbols
     ids: list[int] = []
     names = None
     for s in symbols:
@@ -305,9 +345,11 @@ def encode_documents(docs: DataFrame, model_path: str, with_ids: bool = False) -
                 if len(known) > KEEP:
                     known.clear()
                 new = list({w for ws in words for w in ws if w not in known})
+                text, plain = m["text"], m["plain"]
                 for w, symbols in zip(new, merge_words(m, new)):
                     ids = _to_ids(m, symbols)
-                    known[w] = ",".join(map(str, ids)), len(ids), decode(m, ids, beginning=False)
+                    parts = [plain[i] for i in ids]
+                    known[w] = ",".join([text[i] for i in ids]), len(ids), decode(m, ids, beginning=False) if None in parts else "".join(parts)
                 rows = []
                 for doc_id, ws in zip(part["doc_id"], words):
                     own = [known[w] for w in ws]
