@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, minhash, packing, piece_bpe, quality, topk_search, url_filter, warc
+from . import embedding_dedup, gru_lm, language_id, minhash, packing, piece_bpe, quality, topk_search, url_filter, warc
 
-MODULES = [url_filter, quality, embedding_dedup, topk_search, warc, piece_bpe, minhash, packing, language_id]
+MODULES = [url_filter, quality, embedding_dedup, topk_search, warc, gru_lm, piece_bpe, minhash, packing, language_id]
 
 
 def queries() -> dict:
