@@ -257,20 +257,22 @@ def learn(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> di
     return model
 
 
+def identifier(spark: SparkSession, model: dict):
+    """A column function: text -> struct of lang_pred, score, cross_entropy, rejected."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, score double, cross_entropy double, rejected boolean")
+    def run(text: pd.Series) -> pd.DataFrame:
+        parts = [decide(shared.value, *score_texts(shared.value, text.iloc[at : at + TOGETHER].tolist())) for at in range(0, max(1, len(text)), TOGETHER)]
+        return pd.concat(parts, ignore_index=True).astype({"cross_entropy": "float64"})
+
+    return lambda text: run(F.col(text).cast("string"))
+
+
 def identify(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, lang_pred, score, cross_entropy, rejected for every row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for pdf in batches:
-            for at in range(0, len(pdf), TOGETHER):
-                part = pdf.iloc[at : at + TOGETHER]
-                out = decide(shared.value, *score_texts(shared.value, part["text"].tolist()))
-                out.insert(0, "doc_id", part["doc_id"].to_numpy())
-                yield out.astype({"doc_id": "string", "cross_entropy": "float64"}).astype({"doc_id": "Int64"})
-
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), identifier(docs.sparkSession, model)("text").alias("found"))
+    return found.select("doc_id", "found.lang_pred", "found.score", "found.cross_entropy", "found.rejected")
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -184,19 +184,24 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = S
     return fit(x[trusted], x[taken])
 
 
-def score(docs: DataFrame, model: dict | None) -> DataFrame:
-    """doc_id, score, predicted for every row of (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def scorer(spark: SparkSession, model: dict | None):
+    """A column function: text -> score."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def run(batches):
+    @F.pandas_udf("double")
+    def run(text: pd.Series) -> pd.Series:
         m = shared.value
-        for pdf in batches:
-            if len(pdf):
-                s = np.full(len(pdf), 0.5) if m is None else _sigmoid(_logits(m["weights"], _binned(np.stack([features(t) for t in pdf["text"]]), m["edges"])))
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("string").astype("Int64"), "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+        if m is None or not len(text):
+            return pd.Series(np.full(len(text), 0.5))
+        return pd.Series(_sigmoid(_logits(m["weights"], _binned(np.stack([features(t) for t in text]), m["edges"]))))
+
+    return lambda text: run(F.col(text).cast("string"))
 
-    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(run, "doc_id long, score double, predicted int")
+
+def score(docs: DataFrame, model: dict | None) -> DataFrame:
+    """doc_id, score, predicted for every row of (doc_id, text)."""
+    scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), scorer(docs.sparkSession, model)("text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
