@@ -1,22 +1,25 @@
 """Near-duplicate documents by fast similarity sketching (operator 8).
 
-A document's set holds the 64-bit hashes of its distinct word shingles.  Its sketch has BANDS * ROWS
+A document's set holds the 64-bit hashes of its distinct word shingles.  Its sketch has SIZE
 coordinates, filled in rounds: in each of the first t rounds every element is hashed into one bin with a value, a
 round counts less than all later ones, and a bin keeps its least value.  Most sets fill all bins in a
 round or two; round t + i puts every element into bin i, so after 2t rounds no coordinate is empty.  Two sets
 agree in a coordinate with about the probability of their similarity, and the share that agrees concentrates
 as it does for independent hashes, at a fraction of the cost.
 
-ROWS coordinates make a band.  Documents that share a band are candidates, and links are confirmed on the full sets:
+ROWS coordinates make a band, BANDS bands are used.  Documents that share a band are candidates, and links are confirmed on the full sets:
 
 1. Copies (equal sets) are one node, named by the smallest id.
 2. In each bucket (documents of equal band) every node is checked against the bucket's smallest node, and the
    confirmed links are joined to components.  A large group of near copies becomes one component here,
    with a number of checks linear in its size.
-3. Only pairs that share a bucket and are still in different components are then checked one by one, so
-   no link between different texts is lost, and no bucket expands to the pairs inside a component.
+3. Only pairs that share a bucket and are still in different components are then looked at.  Buckets of up to SMALL nodes
+   give them as rows; larger ones are compared in tasks, block by block, where a pair becomes a row only if
+   the share of equal coordinates isn't more than SIGMAS standard errors below the least similarity, and only in the
+   first bucket that it shares.  These pairs' full sets decide, so no bucket expands to all of its pairs.
 
-A pair at the least similarity of 0.8 shares no band with a probability of (1 - 0.8**6)**40, about 5e-6.
+A pair at the least similarity of 0.8 shares no band with a probability of (1 - 0.8**6)**40, about 5e-6; step 3 passes
+it over with a probability of about 3e-5 if it meets in large buckets only and nothing else joins the two.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row without id takes no part in links and keeps a null component; rows
@@ -36,7 +39,8 @@ from .components import connected_components
 
 WORDS = 4
 PERCENT = 80
-BANDS, ROWS = 40, 6
+BANDS, ROWS, SIZE = 40, 6, 480
+SMALL, SIDE, SIGMAS = 16, 500, 4.0
 TOGETHER = 1000
 EMPTY = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -98,7 +102,8 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, print (equal for equal sets; null for an empty one), bands."""
+    """doc_id, n_shingles, print (equal for equal sets; null for an empty one), bands, coordinates (16 bits of
+    each one in a band, 8 bits of the others)."""
 
     def run(batches):
         for pdf in batches:
@@ -106,14 +111,16 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 part = pdf.iloc[at : at + TOGETHER]
                 sets = shingle_sets(part["text"].tolist(), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys(sketches([sets[i] for i in full], BANDS * ROWS), BANDS, ROWS)
-                bands: list = [None] * len(sets)
-                prints: list = [None] * len(sets)
-                for i, k in zip(full, keys):
-                    bands[i], prints[i] = k, xxhash.xxh3_128_hexdigest(sets[i].tobytes())
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("string").astype("Int64"), "n_shingles": [len(s) for s in sets], "print": prints, "bands": bands})
+                sketch = sketches([sets[i] for i in full], SIZE)
+                banded, more = sketch[:, : BANDS * ROWS], sketch[:, BANDS * ROWS :]
+                keys = band_keys(banded, BANDS, ROWS)
+                short = np.hstack([mix64(banded).astype(np.uint16).view(np.uint8), mix64(more).astype(np.uint8)])
+                bands, prints, coordinates = ([None] * len(sets) for _ in range(3))
+                for i, k, c in zip(full, keys, short):
+                    bands[i], prints[i], coordinates[i] = k, xxhash.xxh3_128_hexdigest(sets[i].tobytes()), c.tobytes()
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("string").astype("Int64"), "n_shingles": [len(s) for s in sets], "print": prints, "bands": bands, "coordinates": coordinates})
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, print string, bands array<long>")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, print string, bands array<long>, coordinates binary")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -136,14 +143,49 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(near).select("a", "b")
 
 
+def _likely(large: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``large`` bucket rows (key, band, node, component, m) whose sketches are similar enough."""
+    blocks = F.ceil(F.col("m") / SIDE).cast("int")
+    rows = large.join(sketches, "node").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(51)), blocks).cast("int")})
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "node", "component", "coordinates")
+    banded = BANDS * ROWS
+    least = SIZE * percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) * SIZE)
+
+    def compare(key, pdf):
+        _, low, high = key
+        both = np.frombuffer(b"".join(pdf["coordinates"]), np.uint8).reshape(len(pdf), -1)
+        c, more = np.ascontiguousarray(both[:, : 2 * banded]).view(np.uint16), both[:, 2 * banded :]
+        node, component, block, band = (pdf[x].to_numpy() for x in ("node", "component", "block", "band"))
+        left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        found = []
+        for at in range(0, len(left), 64):
+            own = left[at : at + 64]
+            may = component[own][:, None] != component[right][None, :]
+            if low == high:
+                may &= node[own][:, None] < node[right][None, :]
+            i, j = np.nonzero(may)
+            for s in range(0, len(i), 20_000):
+                p, q = own[i[s : s + 20_000]], right[j[s : s + 20_000]]
+                same = c[p] == c[q]
+                near = same.sum(1) + (more[p] == more[q]).sum(1) >= least
+                first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
+                p, q = p[near][first == band[0]], q[near][first == band[0]]
+                found.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], 1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = materialise(_sketched(docs, words), "sketched")
     linked = all_rows.filter("doc_id is not null and print is not null")
-    nodes = linked.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"))
+    nodes = linked.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
     nodes = materialise(nodes, "nodes")
-    members = nodes.select("node", "n_shingles", F.explode("bands").alias("key"))
+    members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     crowded = materialise(members.join(buckets, "key"), "buckets")
     # the sets of all that meet anyone, made once for both rounds of checks
@@ -154,16 +196,16 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = materialise(stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct(), "stars")
     joined = connected_components(_confirmed(stars, sets, percent))
 
-    placed = crowded.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    placed = crowded.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
     placed = materialise(placed, "placed")
-    groups = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-    open_rows = materialise(placed.join(groups, "key", "left_semi"), "open")
-    kinds = open_rows.select("key", "component").distinct()
-    kinds = kinds.join(kinds.withColumnRenamed("component", "other"), "key").filter("component < other")
-    left = open_rows.select("key", "component", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
-    right = open_rows.select("key", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-    rest = kinds.join(left, ["key", "component"]).join(right, ["key", "other"]).filter(alike(F.col("n_a"), F.col("n_b"))).select("a", "b").distinct()
-    rest = rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")).unionByName(stars), ["a", "b"], "left_anti")
+    groups = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
+    open_rows = materialise(placed.join(groups, "key"), "open")
+    small = open_rows.filter(F.col("m") <= SMALL)
+    left = small.select("key", "component", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+    right = small.select("key", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
+    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & alike(F.col("n_a"), F.col("n_b"))).select("a", "b")
+    rest = rest.unionByName(_likely(open_rows.filter(F.col("m") > SMALL), nodes.select("node", "coordinates"), percent)).distinct()
+    rest = materialise(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = _confirmed(rest, sets, percent)
     final = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 

@@ -59,7 +59,9 @@ def make(rng):
     return [(int(order[k]) + 2**55, t, "k", "n", "c") for k, t in enumerate(rows)]
 
 
-def test_equals_all_pairs(spark):
+def test_equals_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", 3)  # so that larger buckets, in several blocks, occur
+    monkeypatch.setattr(M, "SIDE", 7)
     rows = make(np.random.default_rng(5))
     for words in (4, 5):
         got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(spark.createDataFrame(rows, SCHEMA), words).collect()}
