@@ -30,16 +30,6 @@ def clip(c, lo=None, hi=None) -> Column:
     return F.when(x.isNull(), F.lit(None).cast("double")).otherwise(out)
 
 
-def safe_div(num, den) -> Column:
-    """Division that yields NULL on a zero denominator."""
-    return _col(num) / F.nullif(_col(den), F.lit(0.0))
-
-
-def r6(c) -> Column:
-    """Comparison rounding for hash-compared doubles (6 decimals)."""
-    return F.round(_col(c), 6)
-
-
 def with_scalars(df, stats):
     """Attach the columns of a ONE-ROW aggregate to every row of ``df``.
 

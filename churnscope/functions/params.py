@@ -226,3 +226,6 @@ FIXTURE_TOPICS = {
 }
 FIXTURE_POSITIVE = ["to", "en"]
 FIXTURE_NEGATIVE = ["er", "on"]
+
+# FIXED VALUE: how a missing category is shown
+MISSING_CATEGORY = "nan"

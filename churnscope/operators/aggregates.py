@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
+from ..functions.numeric import with_scalars
 from .binning import tenure_bucket
 
 
@@ -119,9 +120,14 @@ def overtime_attrition_crosstab(df: DataFrame) -> DataFrame:
         F.col("row_value").alias("OverTime"), F.col("col_value").alias("Attrition"), F.col("n").alias("headcount"))
 
 
+def named(df: DataFrame, col: str) -> DataFrame:
+    """A missing category counts as one of its own, named like the missing value's text."""
+    return df.withColumn(col, F.coalesce(F.col(col).cast("string"), F.lit(P.MISSING_CATEGORY)))
+
+
 def dept_risk_heatmap(df: DataFrame) -> DataFrame:
     """Department x RiskLevel counts with intensity 0.15 + 0.85 * v / max."""
-    ct = crosstab(df, "Department", "RiskLevel", None, P.RISK_LEVELS)
+    ct = crosstab(named(df, "Department"), "Department", "RiskLevel", None, P.RISK_LEVELS)
     vmax = ct.select(F.max("n")).scalar()
     m = F.when(F.coalesce(vmax, F.lit(0)) <= 0, F.lit(1.0)).otherwise(vmax.cast("double"))
     return ct.select(F.col("row_value").alias("Department"), F.col("col_value").alias("RiskLevel"),
@@ -135,7 +141,8 @@ def role_tenure_heatmap(df: DataFrame, top_k: int = 10) -> DataFrame:
     The top-k role list is a k-row table (bounded by k), so the semi join that
     keeps those roles is a broadcast.
     """
-    top = (df.where(F.col("JobRole").isNotNull()).groupBy("JobRole").agg(F.count(F.lit(1)).alias("_c"))
+    df = named(df, "JobRole")
+    top = (df.groupBy("JobRole").agg(F.count(F.lit(1)).alias("_c"))
            .orderBy(F.desc("_c"), F.asc("JobRole")).limit(top_k).select("JobRole"))
     sub = df.join(F.broadcast(top), "JobRole", "left_semi").withColumn("_tb", tenure_bucket("YearsAtCompany"))
     counts = (sub.groupBy(F.col("JobRole").cast("string").alias("JobRole"))
@@ -255,27 +262,21 @@ def risk_profile_segments(df: DataFrame) -> DataFrame:
 
 
 def decision_share(df: DataFrame, predicted: str = "predicted") -> DataFrame:
-    """Stay / leave counts and shares of a predicted label."""
-    c = df.agg(F.count_if(F.col(predicted) == 0).alias("stay"), F.count_if(F.col(predicted) == 1).alias("leave"))
-    tot = F.greatest(F.col("stay") + F.col("leave"), F.lit(1))
-    cells = F.array(F.struct(F.lit("stay").alias("decision"), F.col("stay").alias("n")),
-                    F.struct(F.lit("leave").alias("decision"), F.col("leave").alias("n")))
-    return c.select(F.inline(cells), tot.alias("_t")).select("decision", "n", (F.col("n") / F.col("_t")).alias("share"))
-
-
-def result_summary(df: DataFrame, prob: str = "probability", predicted: str = "predicted",
-                   strategy: str = "global") -> DataFrame:
-    """Test sample count, predicted positives, share, mean probability, threshold strategy (long form)."""
-    a = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(predicted)).cast("bigint").alias("pos"),
-               F.avg(F.col(predicted).cast("double")).alias("share"), F.avg(prob).alias("mean_prob"))
-    cells = F.array(
-        F.struct(F.lit("test_samples").alias("metric"), F.col("n").cast("string").alias("value")),
-        F.struct(F.lit("predicted_positive").alias("metric"), F.col("pos").cast("string").alias("value")),
-        F.struct(F.lit("predicted_positive_share").alias("metric"),
-                 F.format_number(F.col("share"), 6).alias("value")),
-        F.struct(F.lit("mean_probability").alias("metric"), F.format_number(F.col("mean_prob"), 6).alias("value")),
-        F.struct(F.lit("threshold_strategy").alias("metric"), F.lit(strategy).alias("value")))
-    return a.select(F.inline(cells))
+    """Counts and shares of a predicted 0/1 label (one aggregate)."""
+    a = df.agg(F.count(F.lit(1)).alias("n"), F.sum(predicted).alias("leave_count"))
+    stay = F.col("n") - F.col("leave_count")
+    return a.select(stay.alias("stay_count"), "leave_count", (stay / F.col("n")).alias("stay_share"),
+                    (F.col("leave_count") / F.col("n")).alias("leave_share"))
+
+
+def result_summary(df: DataFrame, config: DataFrame, prob: str = "p", predicted: str = "predicted") -> DataFrame:
+    """Run summary in long form (metric, value, text); one aggregate + the one-row threshold config."""
+    measures = {"sample_count": F.count(F.lit(1)).cast("double"), "predicted_high_risk": F.sum(predicted).cast("double"),
+                "predicted_high_risk_share": F.avg(F.col(predicted).cast("double")), "mean_probability": F.avg(prob)}
+    a = with_scalars(df.agg(*[c.alias(m) for m, c in measures.items()]), config.select("type"))
+    rows = [F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(None).cast("string").alias("text")) for m in measures]
+    rows.append(F.struct(F.lit("threshold_strategy").alias("metric"), F.lit(None).cast("double").alias("value"), F.col("type").alias("text")))
+    return a.select(F.inline(F.array(*rows)))
 
 
 def filter_options(df: DataFrame, col: str) -> DataFrame:

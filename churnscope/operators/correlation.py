@@ -157,15 +157,6 @@ def feature_impact(df: DataFrame) -> DataFrame:
         "id", "feature", "ord", impact.alias("impact"), norm.alias("norm_value"))
 
 
-def feature_impact_range(df: DataFrame) -> DataFrame:
-    """Axis limit min(6, max(2.6, round(max|impact| + 0.5, 1))), 3.0 when nothing is plotted."""
-    imp = feature_impact(df)
-    m = imp.agg(F.max(F.abs("impact")).alias("m"))
-    return m.select(F.when(F.col("m").isNull(), 3.0)
-                    .otherwise(F.least(F.lit(6.0), F.greatest(F.lit(2.6), F.round(F.col("m") + 0.5, 1))))
-                    .alias("x_limit"))
-
-
 def impact_range(impact: DataFrame) -> DataFrame:
     """G6 over the plotted (sampled) impact points."""
     m = impact.agg(F.max(F.abs("impact")).alias("m"))

@@ -134,12 +134,16 @@ def _score_thresholds(c: DataFrame, target_rate: Column) -> DataFrame:
     return c.withColumn("score", score)
 
 
-# Ordering equal to the reference's sequential "strictly better" scan: score
-# (1e-12 tolerance), then higher recall, then closeness to .55, then the
-# earlier candidate (coarse before fine, then ascending threshold).
+TIE = 1e-12  # FIXED VALUE: scores and recalls this close count as equal
+
+
 def _best(c: DataFrame) -> DataFrame:
-    return c.orderBy(F.round("score", 10).desc(), F.round("recall", 10).desc(),
-                     F.abs(F.col("t") - 0.55).asc(), F.col("stage").asc(), F.col("t").asc()).limit(1)
+    """The candidate of the highest score; among equals (within TIE) of the highest recall, then the nearest to
+    .55, then the first one (coarse before fine, then ascending).  ``c`` has a row for each candidate, 48 at most."""
+    everything = Window.partitionBy(F.lit(0))
+    c = c.withColumn("__top", F.max("score").over(everything)).where(F.col("score") >= F.col("__top") - TIE)
+    c = c.withColumn("__rec", F.max("recall").over(everything)).where(F.col("recall") >= F.col("__rec") - TIE)
+    return c.orderBy(F.abs(F.col("t") - 0.55).asc(), F.col("stage").asc(), F.col("t").asc()).limit(1).drop("__top", "__rec")
 
 
 def threshold_search(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
@@ -291,7 +295,8 @@ def segment_thresholds(df: DataFrame, base: float, y: str = "y", p: str = "p",
         score = (0.64 * F.col("f1") + 0.18 * F.col("recall") + 0.10 * F.col("acc") + 0.08 * F.col("precision")
                  - 0.03 * F.abs(F.col("pred_positive_rate") - F.col("pos") / F.col("n"))
                  - 0.02 * F.greatest(F.col("ts") - F.col("th") - 0.18, F.lit(0.0)))
-        best = (c.withColumn("score", score).orderBy(F.round("score", 10).desc(), F.col("ord").asc()).limit(1)
+        c = c.withColumn("score", score).withColumn("__top", F.max("score").over(Window.partitionBy(F.lit(0))))
+        best = (c.where(F.col("score") >= F.col("__top") - TIE).orderBy("ord").limit(1)
                 .select("th", "ts", "acc", "precision", "recall", "f1", "pred_positive_rate"))
         base_cols = with_scalars(base_cols, best)
     gm = metrics_from_counts(F.col("tp_base"), F.col("pp_base"), F.col("pos"), F.col("n"))
@@ -362,12 +367,12 @@ def platt_fit(df: DataFrame, y: str, p: str, max_iter: int = 100) -> tuple[float
 # -------------------------------------------------------------- L5-L7 ------
 
 def class_weights(df: DataFrame, y: str = "y") -> DataFrame:
-    """scale_pos_weight = max(neg,1)/max(pos,1); balanced weights n / (2 n_c)."""
+    """scale_pos_weight = max(neg,1)/max(pos,1); balanced weights n / (2 max(n_c,1))."""
     a = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(_c(y) == 1).alias("pos"), F.count_if(_c(y) == 0).alias("neg"))
     return a.select("n", "pos", "neg",
                     (F.greatest("neg", F.lit(1)) / F.greatest("pos", F.lit(1))).alias("scale_pos_weight"),
-                    (F.col("n") / (2.0 * F.col("neg"))).alias("weight_neg"),
-                    (F.col("n") / (2.0 * F.col("pos"))).alias("weight_pos"))
+                    (F.col("n") / (2.0 * F.greatest("neg", F.lit(1)))).alias("weight_neg"),
+                    (F.col("n") / (2.0 * F.greatest("pos", F.lit(1)))).alias("weight_pos"))
 
 
 def _order_key(key: str, seed: int) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..functions.numeric import clip, try_double
+from .numbering import global_row_number
 
 
 def resolve_first(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -47,30 +48,10 @@ def canonical_flag(c, mapping: Mapping[str, str], default: str = "No") -> Column
 
 
 def surrogate_key(df: DataFrame, key: str = "EmployeeNumber", order_cols: Sequence[str] | None = None) -> DataFrame:
-    """1..N surrogate key when the id column is missing.
-
-    Rows are numbered in a stable order (``order_cols``).  The numbering is
-    a ``row_number`` over a range-partitioned sort: Spark samples the order key,
-    range-partitions, and numbers rows with per-partition offsets, so no single
-    task sees all rows.
-    """
+    """1..N surrogate key when the id column is missing, in the order of ``order_cols``."""
     if key in df.columns:
         return df
-    from pyspark.sql import Window
-    cols = list(order_cols or df.columns)
-    ordered = (df.orderBy(*[F.col(c).asc_nulls_last() for c in cols])
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    # One row per sort partition: bounded by the partition count, so it is
-    # broadcast and the running offset window runs over that tiny table only.
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ordered.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .withColumn(key, (F.col("_off") + local + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+    return global_row_number(df, [(c, False) for c in order_cols or df.columns], key)
 
 
 def normalize_workforce(df: DataFrame,

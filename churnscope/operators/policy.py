@@ -57,11 +57,6 @@ def topic_tags(scores: Sequence[Column], topics: Topics = P.POLICY_TOPICS) -> Co
     return F.when(F.size(labs) == 0, F.lit(P.DEFAULT_TOPIC_LABEL)).otherwise(F.array_join(labs, P.TOPIC_LABEL_SEP))
 
 
-def topic_labels_array(scores: Sequence[Column], topics: Topics = P.POLICY_TOPICS) -> Column:
-    labs = F.array_compact(F.array(*[F.when(s > 0, F.lit(lab)) for s, (_, (lab, _)) in zip(scores, topics.items())]))
-    return F.when(F.size(labs) == 0, F.array(F.lit(P.DEFAULT_TOPIC_LABEL))).otherwise(labs)
-
-
 def l1_vector(scores: Sequence[Column]) -> Column:
     """Scores / sum (zero vector stays zero)."""
     arr = F.array(*[s.cast("double") for s in scores])

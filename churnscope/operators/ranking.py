@@ -5,8 +5,7 @@ TakeOrderedAndProject, where every task keeps only its k best rows.
 Top-k per group is ``row_number() <= k`` over a window: Spark inserts a
 partial WindowGroupLimit before the shuffle, so at most k rows per group and
 task are exchanged and no task ever holds a whole (possibly huge) group.
-Global 1..N numbering uses a range-partitioned sort plus per-partition
-offsets (a table with one row per partition), never an unpartitioned window.
+Global 1..N numbering is in ``numbering``.
 """
 
 from __future__ import annotations
@@ -17,22 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import params as P
-
-
-def global_row_number(df: DataFrame, order: Sequence[Column], out: str = "rank") -> DataFrame:
-    """1..N in the given total order without moving all rows into one task."""
-    ordered = (df.orderBy(*order)
-               .withColumn("_pid", F.spark_partition_id())
-               .withColumn("_mid", F.monotonically_increasing_id()))
-    counts = ordered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    # One row per sort partition: bounded by the partition count -> broadcast.
-    offsets = counts.withColumn(
-        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                           F.lit(0)))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
-    return (ordered.join(F.broadcast(offsets.select("_pid", "_off")), "_pid")
-            .withColumn(out, (F.col("_off") + local + 1).cast("bigint"))
-            .drop("_pid", "_mid", "_off"))
+from .numbering import global_row_number
 
 
 def top_at_risk(df: DataFrame, k: int = 50, prob: str = "AttritionProb", key: str = "EmployeeNumber") -> DataFrame:
@@ -123,7 +107,7 @@ def risk_rank(df: DataFrame, prob: str = "probability", key: str = "EmployeeNumb
     """H7: rank 1..N by probability (desc, ties by id), rows without a probability dropped."""
     p = F.col(prob).try_cast("double")
     base = df.where(p.isNotNull() & ~F.isnan(p)).withColumn(prob, p)
-    return global_row_number(base, [F.desc(prob), F.asc(key)], out="risk_rank")
+    return global_row_number(base, [(prob, True), (key, False)], "risk_rank")
 
 
 def high_risk_list(df: DataFrame, predicted: str = "predicted", prob: str = "probability",

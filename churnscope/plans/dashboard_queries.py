@@ -292,9 +292,9 @@ def overtime_attrition_crosstab(spark, sf):
 
 @q("dept_risk_heatmap", f"""WITH {DASH},
 lv AS (SELECT * FROM (VALUES ('Low Risk'), ('Medium Risk'), ('High Risk')) t(RiskLevel)),
-dp AS (SELECT DISTINCT Department FROM dash WHERE Department IS NOT NULL),
+dp AS (SELECT DISTINCT COALESCE(Department, 'nan') AS Department FROM dash),
 ct AS (SELECT dp.Department, lv.RiskLevel,
-              CAST((SELECT COUNT(*) FROM dash d WHERE d.Department = dp.Department AND d.RiskLevel = lv.RiskLevel) AS BIGINT) AS headcount
+              CAST((SELECT COUNT(*) FROM dash d WHERE COALESCE(d.Department, 'nan') = dp.Department AND d.RiskLevel = lv.RiskLevel) AS BIGINT) AS headcount
        FROM dp CROSS JOIN lv),
 mx AS (SELECT CASE WHEN MAX(headcount) <= 0 THEN 1 ELSE MAX(headcount) END AS m FROM ct)
 SELECT Department, RiskLevel, headcount, {R(f'{D(0.15)} + {D(0.85)} * headcount / (SELECT m FROM mx)')} AS intensity
@@ -312,8 +312,9 @@ _TENURE_DOM = "SELECT * FROM (VALUES ('<1y', 0), ('1-3y', 1), ('3-5y', 2), ('5-8
 
 
 @q("role_tenure_heatmap", f"""WITH {DASH},
-top AS (SELECT JobRole FROM dash WHERE JobRole IS NOT NULL GROUP BY JobRole ORDER BY COUNT(*) DESC, JobRole ASC LIMIT 10),
-b AS (SELECT JobRole, {_TENURE_CASE} AS tb FROM dash WHERE JobRole IN (SELECT JobRole FROM top)),
+rl AS (SELECT * REPLACE (COALESCE(JobRole, 'nan') AS JobRole) FROM dash),
+top AS (SELECT JobRole FROM rl GROUP BY JobRole ORDER BY COUNT(*) DESC, JobRole ASC LIMIT 10),
+b AS (SELECT JobRole, {_TENURE_CASE} AS tb FROM rl WHERE JobRole IN (SELECT JobRole FROM top)),
 dom AS ({_TENURE_DOM}),
 ct AS (SELECT t.JobRole, dom.tenure_bucket,
               CAST((SELECT COUNT(*) FROM b WHERE b.JobRole = t.JobRole AND b.tb = dom.tenure_bucket) AS BIGINT) AS headcount

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import aggregates as AG
 from ..operators import evaluation as EV
 from ..operators import features as FE
 from ..sources import fixtures as FX
@@ -105,7 +106,8 @@ cnt0 AS (SELECT c.t, c.stage, COUNT(s.y) FILTER (WHERE s.y = 1) AS tp, COUNT(s.y
 m0 AS (SELECT t, stage, {_metrics_sql('tp', 'pp', 'pos', 'n')} FROM cnt0, st),
 s0 AS (SELECT m0.*, 0.56 * f1 + 0.22 * recall + 0.12 * acc + 0.10 * precision
               - 0.10 * ABS(pred_positive_rate - (SELECT target FROM st)) - 0.04 * GREATEST(t - 0.62, 0.0) AS score FROM m0),
-b0 AS (SELECT * FROM s0 ORDER BY ROUND(score, 10) DESC, ROUND(recall, 10) DESC, ABS(t - 0.55), stage, t LIMIT 1),
+e0 AS (SELECT * FROM s0 WHERE score >= (SELECT MAX(score) FROM s0) - 1e-12),
+b0 AS (SELECT * FROM e0 WHERE recall >= (SELECT MAX(recall) FROM e0) - 1e-12 ORDER BY ABS(t - 0.55), stage, t LIMIT 1),
 bd AS (SELECT GREATEST(t - 0.05, 0.10) AS fs, LEAST(t + 0.05, 0.75) + 0.0001 AS fe FROM b0),
 cand1 AS (SELECT fs + i * ((fs + 0.005) - fs) AS t, 1 AS stage
           FROM bd, range(0, 21) r(i) WHERE i < CEIL((fe - fs) / 0.005)),
@@ -114,8 +116,9 @@ cnt1 AS (SELECT c.t, c.stage, COUNT(s.y) FILTER (WHERE s.y = 1) AS tp, COUNT(s.y
 m1 AS (SELECT t, stage, {_metrics_sql('tp', 'pp', 'pos', 'n')} FROM cnt1, st),
 s1 AS (SELECT m1.*, 0.56 * f1 + 0.22 * recall + 0.12 * acc + 0.10 * precision
               - 0.10 * ABS(pred_positive_rate - (SELECT target FROM st)) - 0.04 * GREATEST(t - 0.62, 0.0) AS score FROM m1),
-best AS (SELECT * FROM (SELECT * FROM b0 UNION ALL SELECT * FROM s1)
-         ORDER BY ROUND(score, 10) DESC, ROUND(recall, 10) DESC, ABS(t - 0.55), stage, t LIMIT 1)"""
+both_stages AS (SELECT * FROM b0 UNION ALL SELECT * FROM s1),
+e1 AS (SELECT * FROM both_stages WHERE score >= (SELECT MAX(score) FROM both_stages) - 1e-12),
+best AS (SELECT * FROM e1 WHERE recall >= (SELECT MAX(recall) FROM e1) - 1e-12 ORDER BY ABS(t - 0.55), stage, t LIMIT 1)"""
 
 
 @q("threshold_search", f"""WITH {MS}, {_threshold_search_sql('model_scores', 'p_b')}
@@ -181,7 +184,7 @@ pm AS (SELECT ord, th, ts, {_metrics_sql('tp', 'pp', 'pos', 'n')}, pos, n FROM p
 ps AS (SELECT *, 0.64 * f1 + 0.18 * recall + 0.10 * acc + 0.08 * precision
                - 0.03 * ABS(pred_positive_rate - CAST(pos AS DOUBLE) / n) - 0.02 * GREATEST(ts - th - 0.18, 0.0) AS score
        FROM pm),
-pb AS (SELECT * FROM ps ORDER BY ROUND(score, 10) DESC, ord LIMIT 1),
+pb AS (SELECT * FROM ps WHERE score >= (SELECT MAX(score) FROM ps) - 1e-12 ORDER BY ord LIMIT 1),
 gm AS (SELECT *, n_hi >= GREATEST(30, CAST(FLOOR(0.12 * n) AS BIGINT)) AND n - n_hi >= GREATEST(30, CAST(FLOOR(0.12 * n) AS BIGINT))
                  AND pos_hi >= 8 AND pos - pos_hi >= 8 AS ok,
               {_metrics_sql('tp_base', 'pp_base', 'pos', 'n')} FROM g),
@@ -256,8 +259,8 @@ def platt_apply(spark, sf):
 @q("class_weights", f"""WITH {MS}
 SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y = 0) AS neg,
        CAST(GREATEST(COUNT(*) FILTER (WHERE y = 0), 1) AS DOUBLE) / GREATEST(COUNT(*) FILTER (WHERE y = 1), 1) AS scale_pos_weight,
-       COUNT(*) / (2.0 * COUNT(*) FILTER (WHERE y = 0)) AS weight_neg,
-       COUNT(*) / (2.0 * COUNT(*) FILTER (WHERE y = 1)) AS weight_pos
+       COUNT(*) / (2.0 * GREATEST(COUNT(*) FILTER (WHERE y = 0), 1)) AS weight_neg,
+       COUNT(*) / (2.0 * GREATEST(COUNT(*) FILTER (WHERE y = 1), 1)) AS weight_pos
 FROM model_scores""")
 def class_weights(spark, sf):
     return EV.class_weights(scores(spark, sf))
@@ -328,16 +331,7 @@ UNION ALL SELECT 'threshold_strategy', NULL, (SELECT type FROM cfg)""")
 def result_summary(spark, sf):
     """Run summary in long form (metric, value, text); one aggregate + the config row."""
     out, cfg = _applied(spark, sf)
-    a = out.agg(F.count(F.lit(1)).cast("double").alias("sample_count"),
-                F.sum("predicted").cast("double").alias("predicted_high_risk"),
-                F.avg(F.col("predicted").cast("double")).alias("predicted_high_risk_share"),
-                F.avg("p").alias("mean_probability"))
-    a = EV.with_scalars(a, cfg.select("type"))
-    rows = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), F.lit(None).cast("string").alias("text"))
-                     for m in ("sample_count", "predicted_high_risk", "predicted_high_risk_share", "mean_probability")],
-                   F.struct(F.lit("threshold_strategy").alias("metric"), F.lit(None).cast("double").alias("value"),
-                            F.col("type").alias("text")))
-    return a.select(F.inline(rows))
+    return AG.result_summary(out, cfg)
 
 
 @q("decision_share", f"""WITH {_APPLIED_SQL}
@@ -348,10 +342,7 @@ FROM applied""")
 def decision_share(spark, sf):
     """Predicted stay / leave counts and shares (one aggregate)."""
     out, _ = _applied(spark, sf)
-    a = out.agg(F.count(F.lit(1)).alias("n"), F.sum("predicted").alias("leave_count"))
-    return a.select((F.col("n") - F.col("leave_count")).alias("stay_count"), "leave_count",
-                    ((F.col("n") - F.col("leave_count")) / F.col("n")).alias("stay_share"),
-                    (F.col("leave_count") / F.col("n")).alias("leave_share"))
+    return AG.decision_share(out)
 
 
 # ------------------------------------------------------------------ L26 ----

@@ -6,22 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import dashboard_queries, evaluation_queries, model_queries, policy_queries
 from .common import round_doubles
 
-_MODULES = ["dashboard_queries", "policy_queries", "evaluation_queries", "model_queries"]
+_MODULES = [dashboard_queries, policy_queries, evaluation_queries, model_queries]
 
 
 def _load():
-    import importlib
     spark_q: dict = {}
     sql_q: dict = {}
-    for m in _MODULES:
-        try:
-            mod = importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:  # module not written yet
-            if e.name and e.name.endswith(m):
-                continue
-            raise
+    for mod in _MODULES:
         spark_q.update(mod.SPARK)
         sql_q.update(mod.SQL)
     return spark_q, sql_q

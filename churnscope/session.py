@@ -1,8 +1,8 @@
 """Spark session helpers.
 
 The library never hard-codes cluster paths.  ``checkpoint_dir`` reads
-``spark.checkpoint.dir`` from the running session and only falls back to a
-scratch folder when the setting is absent (local tests).
+``spark.checkpoint.dir`` from the running session; only local sessions fall back
+to a scratch folder when the setting is absent.
 """
 
 from __future__ import annotations
@@ -40,13 +40,15 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``)."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return current
+    """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
+
+    Only local sessions (tests, bench), whose tasks all run in this process, may leave it unset."""
+    found = (spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+             or spark.sparkContext.getCheckpointDir())
+    if found:
+        return found
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return tempfile.mkdtemp(prefix="churnscope-ckpt-")
 
 
