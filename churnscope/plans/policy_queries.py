@@ -190,12 +190,17 @@ def topic_tags(spark, sf):
     return base_policies(spark, sf).select("policy_id", "policy_tags")
 
 
-# topic_vector stays rows-only: its shares (k/128 etc.) sit exactly on 6-dp rounding ties,
-# where Spark (decimal HALF_UP) and DuckDB (binary double) round differently.
-@q("topic_vector")
+def micro(c):
+    """Whole millionths, rounded down: shares such as k/128 lie on ties of decimal rounding."""
+    return F.floor(c * 1e6).cast("bigint")
+
+
+@q("topic_vector", f"""{_TOPIC_COUNTS_SQL}
+SELECT policy_id, {", ".join(f"CAST(FLOOR((CASE WHEN total > 0 THEN score_{k} / total ELSE score_{k} END) * 1e6) AS BIGINT) AS v_{k}" for k in P.FIXTURE_TOPICS)}
+FROM t""")
 def topic_vector(spark, sf):
     b = base_policies(spark, sf)
-    return b.select("policy_id", *[F.col("topic_vector")[i].alias(f"v_{k}") for i, k in enumerate(P.FIXTURE_TOPICS)])
+    return b.select("policy_id", *[micro(F.col("topic_vector")[i]).alias(f"v_{k}") for i, k in enumerate(P.FIXTURE_TOPICS)])
 
 
 @q("topic_strength", f"""{_TOPIC_COUNTS_SQL},
@@ -278,7 +283,23 @@ def prepare_policies(spark, sf):
 
 # ------------------------------------------------------------ embeddings
 
-@q("cosine_similarity")
+_NORM_SQL = "sqrt(list_sum(list_transform({0}, lambda v: v * v)))"
+
+
+def _cosine_sql(a: str, b: str) -> str:
+    return f"list_dot_product({a}, {b}) / (({_NORM_SQL.format(a)} + 1e-8) * ({_NORM_SQL.format(b)} + 1e-8))"
+
+
+def _mean_sql(by: str) -> str:
+    sel, group = (f"{by}, ", f"GROUP BY {by}") if by else ("", "")
+    return f"""e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (SELECT {sel}unnest(x) AS v, unnest(range(1, len(x) + 1)) AS pos FROM e),
+m AS (SELECT {sel}pos, AVG(v) AS m FROM u GROUP BY {sel}pos),
+cen AS (SELECT {sel}list(m ORDER BY pos) AS c FROM m {group})"""
+
+
+@q("cosine_similarity", f"""WITH {_mean_sql('label')}
+SELECT vec_id, label, ROUND({_cosine_sql('x', 'c')}, 6) AS cosine FROM e JOIN cen USING (label)""")
 def cosine_similarity(spark, sf):
     e = FX.table(spark, sf, "embeddings")
     cen = TF.mean_vector(e, "embedding", ["label"])
@@ -287,7 +308,10 @@ def cosine_similarity(spark, sf):
                                         .alias("cosine")))
 
 
-@q("centroid_similarity")
+@q("centroid_similarity", f"""WITH {_mean_sql('')}
+SELECT vec_id, ROUND(CASE WHEN (SELECT COUNT(*) FROM e) = 1 THEN 1.0 ELSE LEAST(GREATEST(({_cosine_sql('x', 'c')} + 1.0) / 2.0, 0.0), 1.0) END, 6)
+         AS semantic_score
+FROM e, cen""")
 def centroid_similarity(spark, sf):
     from ..functions.numeric import with_scalars
     e = FX.table(spark, sf, "embeddings")
@@ -327,32 +351,90 @@ def policy_gap(spark, sf):
 
 # ------------------------------------------------------------ employee side
 
-@q("features_flags")
+_FEAT_SQL = f"""workforce AS ({FX.WORKFORCE_SQL}),
+f AS (
+  SELECT *, CAST(CASE WHEN OverTime = 'Yes' THEN 1.0 ELSE 0.0 END AS DOUBLE) AS OverTimeFlag,
+         CAST(CASE BusinessTravel WHEN 'Travel_Rarely' THEN 1.0 WHEN 'Travel_Frequently' THEN 2.0 ELSE 0.0 END AS DOUBLE) AS TravelRisk,
+         CAST(CASE WHEN StockOptionLevel <= 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS LowStockOptionFlag,
+         CAST(CASE WHEN WorkLifeBalance <= 2 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS LowWorkLifeFlag,
+         CAST(CASE WHEN JobSatisfaction <= 2 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS LowJobSatisfactionFlag,
+         CAST(CASE WHEN EnvironmentSatisfaction <= 2 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS LowEnvironmentSatisfactionFlag
+  FROM workforce)"""
+_RATIOS = {  # column -> (numerator, denominator less one)
+    "Income_per_YearAtCompany": ("MonthlyIncome", "YearsAtCompany"), "Income_per_WorkYear": ("MonthlyIncome", "TotalWorkingYears"),
+    "Income_per_JobLevel": ("MonthlyIncome", "JobLevel"), "PromotionWaitRatio": ("YearsSinceLastPromotion", "YearsAtCompany"),
+    "RoleStagnationRatio": ("YearsInCurrentRole", "YearsAtCompany"), "ManagerTenureRatio": ("YearsWithCurrManager", "YearsAtCompany"),
+    "ExternalMobilityRatio": ("NumCompaniesWorked", "TotalWorkingYears"),
+}
+
+
+@q("features_flags", f"""WITH {_FEAT_SQL}
+SELECT EmployeeNumber, OverTimeFlag, TravelRisk, LowStockOptionFlag, LowWorkLifeFlag, LowJobSatisfactionFlag,
+       LowEnvironmentSatisfactionFlag FROM f""")
 def features_flags(spark, sf):
     return employees(spark, sf).select("EmployeeNumber", "OverTimeFlag", "TravelRisk", "LowStockOptionFlag",
                                        "LowWorkLifeFlag", "LowJobSatisfactionFlag", "LowEnvironmentSatisfactionFlag")
 
 
-@q("features_ratios")
+@q("features_ratios", f"""WITH {_FEAT_SQL}
+SELECT EmployeeNumber, {", ".join(f"CAST(FLOOR({a} / ({b} + 1) * 1e6) AS BIGINT) AS {k}" for k, (a, b) in _RATIOS.items())} FROM f""")
 def features_ratios(spark, sf):
-    return employees(spark, sf).select("EmployeeNumber", "Income_per_YearAtCompany", "Income_per_WorkYear",
-                                       "Income_per_JobLevel", "PromotionWaitRatio", "RoleStagnationRatio",
-                                       "ManagerTenureRatio", "ExternalMobilityRatio")
+    return employees(spark, sf).select("EmployeeNumber", *[micro(F.col(k)).alias(k) for k in _RATIOS])
 
 
-@q("features_products")
+@q("features_products", f"""WITH {_FEAT_SQL}
+SELECT EmployeeNumber, Age * WorkLifeBalance AS Age_WorkBalance, JobInvolvement * WorkLifeBalance AS EngagementBalanceScore,
+       GREATEST(YearsInCurrentRole - YearsSinceLastPromotion, 0.0) AS PromotionRoleGap,
+       DistanceFromHome * (1 + OverTimeFlag) AS DistanceOverTimePressure, TravelRisk * (1 + OverTimeFlag) AS TravelOverTimeRisk,
+       LowStockOptionFlag * OverTimeFlag AS LowStockOverTimeRisk FROM f""")
 def features_products(spark, sf):
     return employees(spark, sf).select("EmployeeNumber", "Age_WorkBalance", "EngagementBalanceScore",
                                        "PromotionRoleGap", "DistanceOverTimePressure", "TravelOverTimeRisk",
                                        "LowStockOverTimeRisk")
 
 
-@q("features_rowwise")
+_SAT_SQL = ", ".join(FE.SATISFACTION_SET)
+
+
+@q("features_rowwise", f"""WITH {_FEAT_SQL}
+SELECT EmployeeNumber, ({" + ".join(FE.SATISFACTION_SET)}) / {len(FE.SATISFACTION_SET)}.0 AS SatisfactionIndex,
+       GREATEST({_SAT_SQL}) - LEAST({_SAT_SQL}) AS SatisfactionGap,
+       LowWorkLifeFlag + LowJobSatisfactionFlag + LowEnvironmentSatisfactionFlag + OverTimeFlag AS StressLoadScore FROM f""")
 def features_rowwise(spark, sf):
     return employees(spark, sf).select("EmployeeNumber", "SatisfactionIndex", "SatisfactionGap", "StressLoadScore")
 
 
-@q("employee_needs")
+# need rules of K6: condition and what it adds to each topic
+_NEED_SQL = [
+    ("OverTime = 'Yes'", {"worklife": 1.4, "care": 0.6}),
+    ("BusinessTravel = 'Travel_Frequently'", {"worklife": 1.0, "compensation": 0.5}),
+    ("BusinessTravel = 'Travel_Rarely'", {"worklife": 0.4}),
+    ("WorkLifeBalance <= 2", {"worklife": 1.4, "care": 0.4}),
+    ("MonthlyIncome <= (SELECT quantile_cont(MonthlyIncome, 0.5) FROM f)", {"compensation": 1.3}),
+    ("YearsSinceLastPromotion >= 3", {"promotion": 1.3, "development": 0.7}),
+    ("TrainingTimesLastYear <= 1", {"development": 1.1}),
+    ("(EnvironmentSatisfaction <= 2 OR RelationshipSatisfaction <= 2)", {"environment": 1.2, "care": 0.5}),
+    ("DistanceFromHome >= (SELECT quantile_cont(DistanceFromHome, 0.75) FROM f)", {"housing": 1.0}),
+    ("(JobLevel <= 2 AND TotalWorkingYears <= 5)", {"development": 0.8, "promotion": 0.4}),
+    ("JobSatisfaction <= 2", {"recognition": 0.8, "environment": 0.6}),
+]
+
+
+def _need_sql(topic: str) -> str:
+    adds = [f"CASE WHEN {c} THEN CAST({a[topic]} AS DOUBLE) ELSE 0.0 END" for c, a in _NEED_SQL if topic in a]
+    return " + ".join(adds) or "0.0"
+
+
+def _need_tags_sql() -> str:
+    parts = ", ".join(f"CASE WHEN need_{k} > 0 THEN '{lab}' END" for k, (lab, _) in P.FIXTURE_TOPICS.items())
+    j = f"concat_ws('{P.TOPIC_LABEL_SEP}', {parts})"
+    return f"CASE WHEN {j} = '' THEN '{P.DEFAULT_TOPIC_LABEL}' ELSE {j} END"
+
+
+@q("employee_needs", f"""WITH {_FEAT_SQL},
+n AS (SELECT EmployeeNumber, JobRole, Department, {", ".join(f"{_need_sql(k)} AS need_{k}" for k in P.FIXTURE_TOPICS)} FROM f)
+SELECT EmployeeNumber, {_norm_sql('JobRole')} AS JobRoleKey, {_norm_sql('Department')} AS DepartmentKey,
+       {", ".join(f"ROUND(need_{k}, 6) AS need_{k}" for k in P.FIXTURE_TOPICS)}, {_need_tags_sql()} AS employee_need_tags FROM n""")
 def employee_needs(spark, sf):
     ra, da = _dicts(spark, sf)
     p = MT.employee_profiles(FX.workforce(spark, sf), P.FIXTURE_TOPICS, ra, da)
