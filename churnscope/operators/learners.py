@@ -1,14 +1,15 @@
 """Feature encoding, base learners, out-of-fold predictions, linear contributions
-(L1-L4, L7-L12, L15-L17, L27) on Spark ML.
+(L1-L4, L7-L12, L27) on Spark ML.
 
 Encoding follows the reference's preprocessor: numeric columns are median
 imputed and standardised with the POPULATION std (trap T9, exact aggregates,
 not ``ml.Imputer`` / ``StandardScaler``); categoricals are mode imputed and
 one-hot encoded with unknown categories -> all zeros (``StringIndexer(keep)`` +
-``OneHotEncoder(dropLast=True)``, trap T11).  Learners are Spark ML estimators
-(distributed training); class balance is a ``weightCol`` built from one
-aggregate.  Out-of-fold prediction loops over k folds (k fits per learner):
-each fit is a distributed job, the loop itself carries no data.
+``OneHotEncoder(dropLast=True)``, trap T11).  All of these statistics, and the
+class weights, come from training rows alone (``fit_statistics``); test and
+validation rows only get them applied.  Learners are Spark ML estimators
+(distributed training).  Out-of-fold prediction loops over k folds (k fits per
+learner): each fit is a distributed job, the loop itself carries no data.
 """
 
 from __future__ import annotations
@@ -34,7 +35,9 @@ LR_C = 0.35
 FOREST_TREES = 400
 FOREST_DEPTH = 7
 FOREST_MIN_LEAF = 5
-GBT_DEFAULTS = {"maxIter": 120, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "minInstancesPerNode": 20}
+# boosted trees: one point of the reference's search space (rounds 120-320, depth 2-4, leaf 35-90,
+# rate 0.02-0.05, rows 0.65-0.85); the smallest leaf that Spark's trees allow to differ is kept at the space's low end
+GBT_DEFAULTS = {"maxIter": 120, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.75, "minInstancesPerNode": 35}
 
 
 def column_kinds(df: DataFrame, label: str = LABEL, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
@@ -45,16 +48,26 @@ def column_kinds(df: DataFrame, label: str = LABEL, exclude: Sequence[str] = ())
     return num, cat
 
 
-def impute_encode_inputs(df: DataFrame, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
-    """L2 + L3 imputation: numeric standardised (exact), categoricals filled with the mode."""
-    out = EV.standardize(df, list(num)) if num else df
-    if cat:
-        # mode with a deterministic tie (smallest value): one aggregate, one row
-        modes = out.agg(*[F.mode(F.col(c), True).alias(f"__mode_{c}") for c in cat])
-        out = with_scalars(out, modes)
-        out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"__mode_{c}")) for c in cat})
-        out = out.drop(*[f"__mode_{c}" for c in cat])
-    return out
+def fit_statistics(train: DataFrame, num: Sequence[str], cat: Sequence[str], label: str = LABEL) -> dict:
+    """L2/L3/L7 statistics of the training rows: medians, means and population stds after imputation,
+    modes (smallest on ties) and class counts.  One small row on the driver for each of two aggregates."""
+    first = train.agg(*[F.median(F.col(c).cast("double")).alias(f"med_{c}") for c in num],
+                      *[F.mode(F.col(c), True).alias(f"mode_{c}") for c in cat],
+                      F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")).first().asDict()
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(first[f"med_{c}"])) for c in num}
+    second = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"mean_{c}") for c, x in filled.items()],
+                       *[F.stddev_pop(x).alias(f"std_{c}") for c, x in filled.items()]).first().asDict()
+    return first | second
+
+
+def apply_statistics(df: DataFrame, st: dict, num: Sequence[str], cat: Sequence[str]) -> DataFrame:
+    """Impute and standardise with given statistics: one projection."""
+    out = {}
+    for c in num:
+        x = F.coalesce(F.col(c).cast("double"), F.lit(st[f"med_{c}"]).cast("double"))
+        out[c] = (x - F.lit(st[f"mean_{c}"])) / F.lit(st[f"std_{c}"]) if st[f"std_{c}"] else F.lit(0.0)
+    out |= {c: F.coalesce(F.col(c), F.lit(st[f"mode_{c}"])) for c in cat}
+    return df.withColumns(out)
 
 
 def encoder(num: Sequence[str], cat: Sequence[str], out: str = "features") -> Pipeline:
@@ -63,7 +76,7 @@ def encoder(num: Sequence[str], cat: Sequence[str], out: str = "features") -> Pi
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc")
            for c in cat]
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
-                        dropLast=True, handleInvalid="keep") if cat else None
+                        dropLast=True) if cat else None  # the dropped last slot is the indexer's "unknown"
     asm = VectorAssembler(inputCols=list(num) + [f"{c}__ohe" for c in cat], outputCol=out, handleInvalid="keep")
     return Pipeline(stages=[*idx, *([ohe] if ohe else []), asm])
 
@@ -75,13 +88,13 @@ def encoded_feature_names(model_df: DataFrame, col: str = "features") -> list[st
     return [a["name"] for a in sorted(slots, key=lambda a: a["idx"])]
 
 
-def with_class_weights(df: DataFrame, label: str = LABEL) -> DataFrame:
-    """``w_balanced`` = n / (2 n_c) and ``w_pos`` = neg/pos for positives (1 for negatives)."""
-    cw = EV.class_weights(df, label)
-    out = with_scalars(df, cw.select("weight_neg", "weight_pos", "scale_pos_weight"))
-    return (out.withColumn("w_balanced", F.when(F.col(label) == 1, F.col("weight_pos")).otherwise(F.col("weight_neg")))
-            .withColumn("w_pos", F.when(F.col(label) == 1, F.col("scale_pos_weight")).otherwise(F.lit(1.0)))
-            .drop("weight_neg", "weight_pos", "scale_pos_weight"))
+def with_class_weights(df: DataFrame, st: dict, label: str = LABEL) -> DataFrame:
+    """``w_balanced`` = n / (2 max(n_c, 1)) and ``w_pos`` = max(neg, 1) / max(pos, 1) for positives (else 1)."""
+    n, pos = st["n"], max(st["pos"], 1)
+    neg = max(n - st["pos"], 1)
+    is_pos = F.col(label) == 1
+    return df.withColumns({"w_balanced": F.when(is_pos, n / (2.0 * pos)).otherwise(n / (2.0 * neg)),
+                           "w_pos": F.when(is_pos, neg / pos).otherwise(1.0)})
 
 
 def logistic(sum_weights: float, features: str = "features", label: str = LABEL) -> LogisticRegression:
@@ -112,63 +125,78 @@ def _p1(col: str) -> F.Column:
     return vector_to_array(F.col(col))[1]
 
 
-def prepare_training(df: DataFrame, label: str = LABEL, key: str = "EmployeeNumber",
+def training_columns(df: DataFrame, label: str = LABEL, key: str = "EmployeeNumber",
                      exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
-    """Label, imputed inputs, class weights; returns (table, numeric cols, categorical cols)."""
+    """The key, the label and the raw input columns; (table, numeric columns, categorical columns)."""
     num, cat = column_kinds(df, label, exclude)
-    d = impute_encode_inputs(df.select(key, label, *num, *cat), num, cat)
-    # iterative learners pass over the training table many times: materialise it once
-    return with_class_weights(d, label).persist(), num, cat
+    return df.select(key, label, *num, *cat), num, cat
 
 
 def fit_predict(train: DataFrame, test: DataFrame, num, cat, learners: Sequence[str] = ("gbt", "lr", "rf"),
-                gbt_params: dict | None = None, num_trees: int = FOREST_TREES) -> DataFrame:
-    """Fit the encoder and the chosen learners on ``train``; score ``test`` (p_gbt, p_lr, p_rf)."""
+                gbt_params: dict | None = None, num_trees: int = FOREST_TREES, label: str = LABEL,
+                statistics: dict | None = None) -> DataFrame:
+    """Fit statistics (unless given), weights, the encoder and the chosen learners on ``train``; score ``test``
+    (p_gbt, p_lr, p_rf)."""
+    own = fit_statistics(train, num, cat, label)
+    st = statistics or own
+    train = with_class_weights(apply_statistics(train, st, num, cat), own, label)
+    test = apply_statistics(test, st, num, cat)
     enc = encoder(num, cat).fit(train)
-    tr, te = enc.transform(train).persist(), enc.transform(test)
-    sw = tr.agg(F.sum("w_balanced")).first()[0] or 0.0
-    out = te
-    for name in learners:
-        if name == "lr":
-            out = logistic(sw).fit(tr).transform(out).withColumn("p_lr", _p1("lr_probability"))
-        elif name == "rf":
-            out = forest(num_trees=num_trees).fit(tr).transform(out).withColumn("p_rf", _p1("rf_probability"))
-        elif name == "gbt":
-            out = boosted(**(gbt_params or {})).fit(tr).transform(out).withColumn("p_gbt", _p1("gbt_probability"))
+    # iterative learners pass over the encoded training table many times
+    tr, out = enc.transform(train).persist(), enc.transform(test)
+    try:
+        for name in learners:
+            if name == "lr":
+                total = tr.agg(F.sum("w_balanced")).first()[0] or 0.0
+                out = logistic(total, label=label).fit(tr).transform(out).withColumn("p_lr", _p1("lr_probability"))
+            elif name == "rf":
+                out = forest(num_trees=num_trees, label=label).fit(tr).transform(out).withColumn("p_rf", _p1("rf_probability"))
+            elif name == "gbt":
+                out = boosted(label=label, **(gbt_params or {})).fit(tr).transform(out).withColumn("p_gbt", _p1("gbt_probability"))
+    finally:
+        tr.unpersist()
     keep = [c for c in out.columns if not c.endswith(("_raw", "_probability", "_pred", "__idx", "__ohe"))]
     return out.select(*[c for c in keep if c != "features"])
 
 
-def oof_predictions(df: DataFrame, label: str = LABEL, key: str = "EmployeeNumber", k: int = 5,
+def oof_predictions(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNumber", k: int = 5,
                     learners: Sequence[str] = ("gbt", "lr", "rf"), seed: int = 42,
                     gbt_params: dict | None = None, num_trees: int = FOREST_TREES) -> DataFrame:
-    """Out-of-fold probabilities; folds are stratified (L6). One union of k scored folds."""
-    d, num, cat = prepare_training(df, label, key)
-    d = EV.stratified_folds(d, label, key, k, seed).drop("class_rank").persist()
+    """Out-of-fold probabilities over a training pool; folds are stratified (L6).  Imputation and scaling come
+    from the pool, class weights from each fold's training rows.  One union of k scored folds."""
+    d, num, cat = training_columns(pool, label, key)
+    d = EV.stratified_folds(d, label, key, k, seed).drop("class_rank")
+    st = fit_statistics(d, num, cat, label)
     parts = []
     for f in range(k):
-        tr, va = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
-        parts.append(fit_predict(tr, va, num, cat, learners, gbt_params, num_trees)
-                     .select(key, label, "fold", *[f"p_{n}" for n in learners]))
+        part = fit_predict(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, learners, gbt_params,
+                           num_trees, label, st)
+        parts.append(part.select(key, label, "fold", *[f"p_{n}" for n in learners]))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def balanced_logistic(df: DataFrame, label: str = LABEL, key: str = "EmployeeNumber"):
+    """The encoded table, its slot names and the balanced logistic model's coefficients, fitted on all of ``df``."""
+    d, num, cat = training_columns(df, label, key)
+    st = fit_statistics(d, num, cat, label)
+    d = with_class_weights(apply_statistics(d, st, num, cat), st, label)
+    x = encoder(num, cat).fit(d).transform(d)
+    names = encoded_feature_names(x)
+    total = x.agg(F.sum("w_balanced")).first()[0] or 0.0
+    return x, names, [float(c) for c in logistic(total, label=label).fit(x).coefficients.toArray()]
+
+
 def linear_contributions(df: DataFrame, label: str = LABEL, key: str = "EmployeeNumber") -> DataFrame:
     """L27 (re-aimed): per-row additive contributions coef_j * (x_j - mean_j) of the balanced
     logistic model, long form (key, feature, contribution), one row per encoded slot."""
-    d, num, cat = prepare_training(df, label, key)
-    enc = encoder(num, cat).fit(d)
-    x = enc.transform(d)
-    names = encoded_feature_names(x)
-    sw = x.agg(F.sum("w_balanced")).first()[0] or 0.0
-    coef = list(logistic(sw).fit(x).coefficients.toArray())
+    x, names, coef = balanced_logistic(df, label, key)
     arr = vector_to_array(F.col("features"))
     means = x.agg(F.array(*[F.avg(arr[i]) for i in range(len(names))]).alias("__mu"))
     x = with_scalars(x.select(key, arr.alias("__x")), means)
     slots = F.array(*[F.struct(F.lit(n).alias("feature"),
-                               (F.lit(float(c)) * (F.col("__x")[i] - F.col("__mu")[i])).alias("contribution"))
+                               (F.lit(c) * (F.col("__x")[i] - F.col("__mu")[i])).alias("contribution"))
                       for i, (n, c) in enumerate(zip(names, coef))])
     return x.select(key, F.inline(slots))

@@ -18,9 +18,6 @@ from ..sources import fixtures as FX
 SPARK: dict = {}
 SQL: dict[str, str] = {}
 
-# Driver budget for the boosted learner.
-GBT_DRIVER = {"maxIter": 20}
-
 
 def q(name: str, sql: str | None = None):
     def deco(fn):
@@ -39,14 +36,15 @@ def training_table(spark, sf):
 
 
 def _split(spark, sf):
-    d, num, cat = LN.prepare_training(training_table(spark, sf))
-    s = EV.stratified_split(d, LN.LABEL, "EmployeeNumber", 0.2, 42).drop("class_rank").persist()
-    return s.where(~F.col("is_test")), s.where(F.col("is_test")), num, cat
+    """Training pool and test rows, separated before anything is fitted."""
+    d, num, cat = LN.training_columns(training_table(spark, sf))
+    s = EV.stratified_split(d, LN.LABEL, "EmployeeNumber", 0.2, 42).drop("class_rank")
+    return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test"), num, cat
 
 
-def _base(spark, sf, learner, **kw):
+def _base(spark, sf, learner):
     tr, te, num, cat = _split(spark, sf)
-    return LN.fit_predict(tr, te, num, cat, (learner,), **kw).select("EmployeeNumber", LN.LABEL, f"p_{learner}")
+    return LN.fit_predict(tr, te, num, cat, (learner,)).select("EmployeeNumber", LN.LABEL, f"p_{learner}")
 
 
 @q("base_lr")
@@ -61,12 +59,13 @@ def base_forest(spark, sf):
 
 @q("base_gbt")
 def base_gbt(spark, sf):
-    return _base(spark, sf, "gbt", gbt_params=GBT_DRIVER)
+    return _base(spark, sf, "gbt")
 
 
 @q("oof_predictions")
 def oof_predictions(spark, sf):
-    return LN.oof_predictions(training_table(spark, sf), gbt_params=GBT_DRIVER)
+    """L12 over the training pool (the test rows are set aside first)."""
+    return LN.oof_predictions(_split(spark, sf)[0])
 
 
 @q("linear_contributions")
@@ -77,8 +76,10 @@ def linear_contributions(spark, sf):
 @q("one_hot")
 def one_hot(spark, sf):
     """L3 long form: (EmployeeNumber, feature, value) for every non-zero encoded categorical slot."""
-    d, num, cat = LN.prepare_training(training_table(spark, sf))
-    x = LN.encoder([], cat).fit(d).transform(d)
+    pool, test, num, cat = _split(spark, sf)
+    st = LN.fit_statistics(pool, num, cat)
+    enc = LN.encoder([], cat).fit(LN.apply_statistics(pool, st, [], cat))
+    x = enc.transform(LN.apply_statistics(pool.unionByName(test), st, [], cat))
     names = LN.encoded_feature_names(x)
     from pyspark.ml.functions import vector_to_array
     arr = vector_to_array(F.col("features"))
@@ -89,13 +90,8 @@ def one_hot(spark, sf):
 def _lr_importance(spark, sf):
     """Encoded-slot importance |coef| of the balanced logistic model (the reference uses the
     boosted learner's split importance; re-aimed, SURVEY §8)."""
-    from pyspark.ml.functions import vector_to_array  # noqa: F401
-    d, num, cat = LN.prepare_training(training_table(spark, sf))
-    x = LN.encoder(num, cat).fit(d).transform(d)
-    names = LN.encoded_feature_names(x)
-    sw = x.agg(F.sum("w_balanced")).first()[0] or 0.0
-    coef = LN.logistic(sw).fit(x).coefficients.toArray()
-    rows = [(n, float(abs(c))) for n, c in zip(names, coef)]
+    _, names, coef = LN.balanced_logistic(training_table(spark, sf))
+    rows = [(n, abs(c)) for n, c in zip(names, coef)]
     return spark.createDataFrame(rows, "feature string, importance double")  # one row per encoded slot
 
 
