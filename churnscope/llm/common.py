@@ -109,7 +109,7 @@ def tree_sum(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarr
         n = math.ceil(n / FAN_IN)
         sums = sums.withColumn("slot", F.col("slot") % n).groupBy("slot").applyInPandas(add, schema)
     total, shape = None, None
-    for row in sums.toLocalIterator():
+    for row in sums.collect():  # FAN_IN rows at most
         one = np.frombuffer(bytes(row["blob"]), np.float64)
         total, shape = one if total is None else total + one, row["shape"]
     return None if total is None else total.reshape([int(x) for x in shape])

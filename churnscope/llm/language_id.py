@@ -228,7 +228,7 @@ def learn(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> di
     counted = sample if small else sample.filter(part != 0)
     found = counted.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     counts: dict[str, dict[str, int]] = {}
-    for r in found.toLocalIterator():  # bounded by the sample
+    for r in found.collect():  # bounded by the sample
         counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
     model = build_model(counts)
     shared = docs.sparkSession.sparkContext.broadcast(model)
