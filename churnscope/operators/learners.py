@@ -161,12 +161,13 @@ def fit_predict(train: DataFrame, test: DataFrame, num, cat, learners: Sequence[
 
 def oof_predictions(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNumber", k: int = 5,
                     learners: Sequence[str] = ("gbt", "lr", "rf"), seed: int = 42,
-                    gbt_params: dict | None = None, num_trees: int = FOREST_TREES) -> DataFrame:
+                    gbt_params: dict | None = None, num_trees: int = FOREST_TREES, per_fold: bool = False) -> DataFrame:
     """Out-of-fold probabilities over a training pool; folds are stratified (L6).  Imputation and scaling come
-    from the pool, class weights from each fold's training rows.  One union of k scored folds."""
+    from the pool (or, ``per_fold``, from each fold's training rows), class weights from each fold's training rows.  One
+    union of k scored folds."""
     d, num, cat = training_columns(pool, label, key)
     d = EV.stratified_folds(d, label, key, k, seed).drop("class_rank")
-    st = fit_statistics(d, num, cat, label)
+    st = None if per_fold else fit_statistics(d, num, cat, label)
     parts = []
     for f in range(k):
         part = fit_predict(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, learners, gbt_params,
@@ -178,6 +179,21 @@ def oof_predictions(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNum
     return out
 
 
+def meta_oof(df: DataFrame, label: str = "y", key: str = "id", k: int = 5, seed: int = 42) -> DataFrame:
+    """Out-of-fold probabilities of the meta learner (scaling and balanced logistic per fold) over the meta features
+    of three base probabilities."""
+    meta = EV.meta_features(df).select(key, label, "p_a", "p_b", "p_c", "blend_prob", "mean_prob", "std_prob", "disagreement")
+    return oof_predictions(meta, label, key, k, ("lr",), seed, per_fold=True).withColumnRenamed("p_lr", "meta_prob")
+
+
+def score_blend(df: DataFrame, weights: Sequence[float], probs: Sequence[str] = ("p_a", "p_b", "p_c"),
+                calibrator: tuple[float, float] | None = None, out: str = "score") -> DataFrame:
+    """Base probabilities blended with weights normalised to 1, then the optional calibrator (coefficient, intercept)."""
+    total = sum(weights) or 1.0
+    blend = sum((F.col(c).cast("double") * (w / total) for c, w in zip(probs, weights)), F.lit(0.0))
+    return EV.platt_apply(df.withColumn("__blend", blend), "__blend", *(calibrator or (None, None)), out=out).drop("__blend")
+
+
 def balanced_logistic(df: DataFrame, label: str = LABEL, key: str = "EmployeeNumber"):
     """The encoded table, its slot names and the balanced logistic model's coefficients, fitted on all of ``df``."""
     d, num, cat = training_columns(df, label, key)

@@ -98,9 +98,10 @@ def policy_base(df: DataFrame, columns: Mapping[str, str] | None = None, id_col:
         raise ValueError("policy table has no usable text column (title / content / full_text)")
 
     # Per-document regex work is CPU-bound and a document file is often one input
-    # split: hash-spread the rows over tasks first (AQE coalesces tiny partitions).
+    # split: hash-spread the rows over tasks first.  Without a number of its own the
+    # exchange is sized by AQE from the data.
     if id_col in df.columns:
-        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism, F.col(id_col))
+        df = df.repartition(F.col(id_col))
 
     def text(key):
         c = cols[key]

@@ -3,6 +3,8 @@ correlations and rankings (SURVEY §2.A-2.I), each with its DuckDB twin."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import params as P
@@ -12,7 +14,9 @@ from ..operators import correlation as CR
 from ..operators import features as FE
 from ..operators import normalize as N
 from ..operators import ranking as RK
+from ..session import checkpoint_dir
 from ..sources import fixtures as FX
+from ..sources import tables as TB
 from .common import dashboard, scored
 
 SPARK: dict = {}
@@ -67,6 +71,31 @@ def scan_employees(spark, sf):
                      "YearsAtCompany", "OverTime", "AttritionFlag", "MonthlyIncome_log")
 
 
+def _written(spark, sf, **options):
+    """The employee table, written by A5 into the shared folder; its paths."""
+    folder = f"{checkpoint_dir(spark)}/results-{uuid.uuid4().hex}"
+    return TB.write_results({"employees": FX.workforce(spark, sf)}, folder, "run", **options), folder
+
+
+_READ_COLUMNS = ", ".join(f.name for f in TB.EMPLOYEES.fields)
+
+
+@q("read_employees_csv", f"""WITH {WF}
+SELECT {_READ_COLUMNS} FROM workforce""")
+def read_employees_csv(spark, sf):
+    """A5 then A1: the employee table as csv in the shared folder, read with its explicit schema."""
+    (_, path), _ = _written(spark, sf, csv=True)
+    return TB.read_employees(spark, path)
+
+
+@q("latest_snapshot", f"""WITH {WF}
+SELECT {_READ_COLUMNS}, AttritionProb FROM workforce""")
+def latest_snapshot(spark, sf):
+    """A5, A4, A3: the newest written scored table."""
+    _, folder = _written(spark, sf)
+    return TB.read_scored(spark, TB.latest_output(spark, [folder], "employees", preferred="run"))
+
+
 @q("scan_scored", f"""WITH {SCORED}
 SELECT EmployeeNumber, Department, JobRole, Attrition, OverTime, {R('AttritionProb')} AS AttritionProb, RiskLevel,
        pred AS predicted, act AS actual

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as AG
 from ..operators import evaluation as EV
 from ..operators import features as FE
+from ..operators import learners as LN
 from ..sources import fixtures as FX
 from .common import dashboard
 
@@ -254,6 +255,25 @@ def platt_apply(spark, sf):
     return EV.platt_apply(scores(spark, sf), "p_c", *PLATT).select("id", "calibrated")
 
 
+# ------------------------------------------------------------- L15/L16 -----
+
+@q("meta_oof")
+def meta_oof(spark, sf):
+    """L15 on the given base probabilities; a learner's output, hence without SQL."""
+    return LN.meta_oof(scores(spark, sf)).select("id", "fold", "meta_prob")
+
+
+BLEND = (2.0, 1.5, 0.5)  # weights before normalisation
+
+_BLEND_SQL = " + ".join(f"{p} * {D(w / sum(BLEND))}" for p, w in zip(("p_a", "p_b", "p_c"), BLEND))
+
+
+@q("score_blend", f"""WITH {MS}, b AS (SELECT id, LEAST(GREATEST({_BLEND_SQL}, 1e-6), 1 - 1e-6) AS x FROM model_scores)
+SELECT id, 1.0 / (1.0 + EXP(-({D(PLATT[0])} * LN(x / (1.0 - x)) + {D(PLATT[1])}))) AS score FROM b""")
+def score_blend(spark, sf):
+    return LN.score_blend(scores(spark, sf), BLEND, calibrator=PLATT).select("id", "score")
+
+
 # -------------------------------------------------------------- L5-L7 ------
 
 @q("class_weights", f"""WITH {MS}
