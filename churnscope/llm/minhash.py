@@ -23,7 +23,7 @@ it over with a probability of about 3e-5 if it meets in large buckets only and n
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row without id takes no part in links and keeps a null component; rows
-that repeat an id are one document and share its component; empty tables give empty results; other columns don't matter.
+that repeat an id get the same result if their texts are equal, else each that of its text; empty tables give empty results; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -210,8 +210,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     final = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     roots = nodes.select("print", "node").join(final.withColumnRenamed("id", "node"), "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    rows = linked.select("doc_id", "n_shingles", "print").join(roots, "print").groupBy("doc_id", "n_shingles", "print").agg(F.min("component_id").alias("component_id"), F.count("*").alias("times"))
-    rows = rows.select("doc_id", "n_shingles", "component_id", F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int")))).drop("col")
+    rows = linked.select("doc_id", "n_shingles", "print").join(roots, "print").select("doc_id", "n_shingles", "component_id")
     alone = all_rows.filter("doc_id is null or print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
