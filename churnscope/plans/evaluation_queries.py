@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import aggregates as AG
+from ..operators import blending as BL
 from ..operators import evaluation as EV
 from ..operators import features as FE
 from ..operators import learners as LN
@@ -128,6 +129,75 @@ def threshold_search(spark, sf):
     return EV.threshold_search(scores(spark, sf), "y", "p_b")
 
 
+# ------------------------------------------------------------------ L13 ----
+
+def _blend_stage_sql(k: int, weights: str) -> str:
+    """CTEs that score the weights of ``weights`` (ord, wa, wb, wc): k names the stage."""
+    coarse = ", ".join(f"({D(t)})" for t in [*EV.np_arange(*EV.COARSE_GRID), *EV.FIXED_EXTRA])
+    base = (f"0.56 * f1 + 0.22 * recall + 0.12 * acc + 0.10 * precision - 0.10 * ABS(pred_positive_rate - target) "
+            f"- 0.04 * GREATEST(t - 0.62, 0.0)")
+
+    def pick(src: str, out: str) -> str:
+        return f"""{out}a AS (SELECT * FROM (SELECT *, MAX(s) OVER (PARTITION BY ord) AS m FROM {src}) WHERE s >= m - 1e-12),
+{out} AS (SELECT * EXCLUDE (m, m2, rn) FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY ord ORDER BY ABS(t - 0.55), stage, t) AS rn
+  FROM (SELECT *, MAX(recall) OVER (PARTITION BY ord) AS m2 FROM {out}a) WHERE recall >= m2 - 1e-12) WHERE rn = 1)"""
+
+    def metrics(src: str, cand: str, out: str, stage: int) -> str:
+        return f"""{out}c AS (SELECT c.ord, c.t, COUNT(*) FILTER (WHERE b >= c.t AND y = 1) AS tp, COUNT(*) FILTER (WHERE b >= c.t) AS pp
+  FROM {cand} c JOIN {src} x ON x.ord = c.ord GROUP BY c.ord, c.t),
+{out}m AS (SELECT ord, t, target, pos, n, {_metrics_sql('tp', 'pp', 'pos', 'n')} FROM {out}c, tot),
+{out} AS (SELECT *, {base} AS s, {stage} AS stage FROM {out}m)"""
+    return f"""x{k} AS (SELECT w.ord, y, p_a * wa + p_b * wb + p_c * wc AS b FROM model_scores, {weights} w),
+rk{k} AS (SELECT ord, b, ROW_NUMBER() OVER (PARTITION BY ord ORDER BY b) - 1 AS i FROM x{k}),
+pv{k} AS (SELECT ord, MAX(CASE WHEN i = FLOOR(h) THEN b END) + (MAX(h) - FLOOR(MAX(h)))
+                 * (MAX(CASE WHEN i = CEIL(h) THEN b END) - MAX(CASE WHEN i = FLOOR(h) THEN b END)) AS t
+          FROM rk{k}, (SELECT (1.0 - target) * (n - 1) AS h FROM tot) GROUP BY ord),
+cn{k} AS (SELECT ord, t FROM (SELECT ord FROM {weights}), (SELECT col0 AS t FROM (VALUES {coarse})) UNION ALL SELECT ord, t FROM pv{k}),
+{metrics(f'x{k}', f'cn{k}', f'sa{k}', 0)},
+{pick(f'sa{k}', f'ba{k}')},
+fn{k} AS (SELECT ord, fs + i * ((fs + 0.005) - fs) AS t
+          FROM (SELECT ord, GREATEST(t - 0.05, 0.10) AS fs, LEAST(t + 0.05, 0.75) + 0.0001 AS fe FROM ba{k}), range(0, 21) r(i)
+          WHERE i < CEIL((fe - fs) / 0.005)),
+{metrics(f'x{k}', f'fn{k}', f'sb{k}', 1)},
+un{k} AS (SELECT * FROM ba{k} UNION ALL SELECT * FROM sb{k}),
+{pick(f'un{k}', f'bb{k}')},
+au{k} AS (SELECT ord, SUM(neg * (above + 0.5 * pos)) / (CAST(SUM(pos) AS DOUBLE) * SUM(neg)) AS auc
+          FROM (SELECT *, COALESCE(SUM(pos) OVER (PARTITION BY ord ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above
+                FROM (SELECT ord, b, COUNT(*) FILTER (WHERE y = 1) AS pos, COUNT(*) FILTER (WHERE y <> 1) AS neg FROM x{k} GROUP BY ord, b))
+          GROUP BY ord),
+fin{k} AS (SELECT {k} AS stage_no, w.*, t AS threshold, auc, acc, precision, recall, f1, pred_positive_rate,
+                  0.30 * auc + 0.38 * f1 + 0.20 * recall + 0.07 * acc + 0.05 * precision
+                  - 0.07 * ABS(pred_positive_rate - CAST(pos AS DOUBLE) / n)
+                  - (0.05 * GREATEST(wa - 0.35, 0.0) + 0.04 * GREATEST(wc - 0.20, 0.0) + 0.04 * GREATEST(0.45 - wb, 0.0)) AS score
+           FROM bb{k} JOIN au{k} USING (ord) JOIN {weights} w USING (ord)),
+top{k} AS (SELECT * FROM fin{k} WHERE score >= (SELECT MAX(score) FROM fin{k}) - 1e-12 ORDER BY ord LIMIT 1)"""
+
+
+def _blend_sql() -> str:
+    grid = ", ".join(f"({i}, {D(a)}, {D(b)}, {D(c)})" for i, (a, b, c) in enumerate(BL.weight_grid(BL.STEPS[0])))
+    axis = "GREATEST(0.0, {0} - 0.04) + i * ((GREATEST(0.0, {0} - 0.04) + 0.02) - GREATEST(0.0, {0} - 0.04))"
+    size = "i < CEIL((LEAST(1.0, {0} + 0.04) + 0.0001 - GREATEST(0.0, {0} - 0.04)) / 0.02)"
+    return f"""WITH {MS},
+tot AS (SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE y = 1) AS pos,
+               LEAST(GREATEST(AVG(CAST(y AS DOUBLE)) * 1.10, 0.12), 0.30) AS target FROM model_scores),
+w0 AS (SELECT col0 AS ord, col1 AS wa, col2 AS wb, col3 AS wc FROM (VALUES {grid})),
+{_blend_stage_sql(0, 'w0')},
+ga AS (SELECT i, {axis.format('wa')} AS wa FROM top0, range(0, 6) r(i) WHERE {size.format('wa')}),
+gb AS (SELECT i, {axis.format('wb')} AS wb FROM top0, range(0, 6) r(i) WHERE {size.format('wb')}),
+w1 AS (SELECT 1000 + ga.i * 10 + gb.i AS ord, wa, wb, ROUND(1.0 - wa - wb, 10) AS wc FROM ga, gb
+       WHERE ROUND(1.0 - wa - wb, 10) BETWEEN 0 AND 1 AND GREATEST(wa, wb, ROUND(1.0 - wa - wb, 10)) >= 0.35),
+{_blend_stage_sql(1, 'w1')},
+alls AS (SELECT * FROM top0 UNION ALL SELECT * FROM fin1)
+SELECT wa AS w_a, wb AS w_b, wc AS w_c, threshold, auc, acc, precision, recall, f1, pred_positive_rate, score
+FROM alls WHERE score >= (SELECT MAX(score) FROM alls) - 1e-12 ORDER BY ord LIMIT 1"""
+
+
+@q("blend_grid", _blend_sql())
+def blend_grid(spark, sf):
+    return BL.blend_grid(scores(spark, sf))
+
+
 # ------------------------------------------------------------------ L22 ----
 
 SEG_FEATURES_SQL = """
