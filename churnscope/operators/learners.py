@@ -179,10 +179,11 @@ def oof_predictions(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNum
     return out
 
 
-def meta_oof(df: DataFrame, label: str = "y", key: str = "id", k: int = 5, seed: int = 42) -> DataFrame:
+def meta_oof(df: DataFrame, label: str = "y", key: str = "id", k: int = 5, seed: int = 42,
+             weights: Sequence[float] = EV.DEFAULT_WEIGHTS) -> DataFrame:
     """Out-of-fold probabilities of the meta learner (scaling and balanced logistic per fold) over the meta features
     of three base probabilities."""
-    meta = EV.meta_features(df).select(key, label, "p_a", "p_b", "p_c", "blend_prob", "mean_prob", "std_prob", "disagreement")
+    meta = EV.meta_features(df, weights=weights).select(key, label, "p_a", "p_b", "p_c", "blend_prob", "mean_prob", "std_prob", "disagreement")
     return oof_predictions(meta, label, key, k, ("lr",), seed, per_fold=True).withColumnRenamed("p_lr", "meta_prob")
 
 
