@@ -43,3 +43,12 @@ def test_encoded_names_map_to_columns(table):
 def test_out_of_fold_covers_the_pool_once(table):
     out = L.oof_predictions(table, k=3, learners=("lr",)).collect()
     assert sorted(r.EmployeeNumber for r in out) == list(range(300)) and {r.fold for r in out} == {0, 1, 2}
+
+
+def test_random_search(table):
+    draws = L.sample_settings(16)
+    assert len({tuple(d.items()) for d in draws}) == 16 and all(d[k] in L.GBT_SPACE[k] for d in draws for k in d)
+    assert draws == L.sample_settings(16)
+    small = {"maxIter": [1, 2], "maxDepth": [2], "minInstancesPerNode": [5]}
+    rows = L.tune_gbt(table, n=16, folds=2, space=small).collect()
+    assert len(rows) == 2 and rows[0].auc >= rows[1].auc and set(rows[0].settings) == set(small)
