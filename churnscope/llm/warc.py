@@ -2,8 +2,8 @@
 
 Writing: every page becomes one WARC record, a gzip member of its own.  Among records of equal payload that with
 the smallest page id is the ``response``, the others are ``revisit`` records that name it and carry no payload.
-Each task first sorts its pages by URL key and capture time and writes them as one archive in the shared
-folder; an archive is thus a locally sorted run.  File names hold a random part, and only archives that a
+Each task gathers pages of up to RUN_BYTES, sorts them by URL key and capture time and writes them as an archive in the
+shared folder, then the next ones; an archive is thus a locally sorted run, and no task holds more than one.  File names hold a random part, and only archives that a
 finished task reports are read, so a task that runs twice leaves at most an unread file.
 
 Reading: archives are parsed record by record, payloads checked against their digests, and each record gives an
@@ -37,7 +37,8 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch, table
 
 CAPTURE_START = datetime(2024, 1, 1, tzinfo=timezone.utc)
-#: Index entries of one merge range, about.
+#: Payload of one archive, and index entries of one merge range, about.
+RUN_BYTES = 64 << 20
 RANGE_ROWS = 100_000
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 INDEX = "url_key string, capture_ts string, page_id long, record_type string, payload_digest string, payload_bytes long, refers_to long, archive string, offset long, length long"
@@ -167,18 +168,27 @@ def write_archives(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     def write(batches):
         store, path = file_system(folder)
-        rows = [r for pdf in batches for r in pdf.itertuples(index=False, name=None)]
-        if not rows:
-            return
-        clean = lambda x: None if x is None or x != x else int(x)
-        rows = [(url_key(url), clean(p), url, html, sha, n, clean(ref)) for p, url, html, sha, n, ref in rows]
-        rows.sort(key=lambda r: (r[0], capture_time(r[1]), -1 if r[1] is None else r[1]))
         store.create_dir(path, recursive=True)
-        name = f"{path}/{uuid.uuid4().hex}.warc.gz"
-        with store.open_output_stream(name, compression=None) as out:
-            for _, p, url, html, sha, n, ref in rows:
-                out.write(write_record(p, url, base64.b32encode(sha).decode(), n, None if ref is not None else (html or "").encode(), ref))
-        yield pd.DataFrame({"archive": [name.rpartition("/")[2]], "records": [len(rows)]})
+        clean = lambda x: None if x is None or x != x else int(x)
+        rows, size = [], 0
+
+        def flush():
+            rows.sort(key=lambda r: (r[0], capture_time(r[1]), -1 if r[1] is None else r[1]))
+            name = f"{uuid.uuid4().hex}.warc.gz"
+            with store.open_output_stream(f"{path}/{name}", compression=None) as out:
+                for _, p, url, html, sha, n, ref in rows:
+                    out.write(write_record(p, url, base64.b32encode(sha).decode(), n, None if ref is not None else (html or "").encode(), ref))
+            return pd.DataFrame({"archive": [name], "records": [len(rows)]})
+
+        for pdf in batches:
+            for p, url, html, sha, n, ref in pdf.itertuples(index=False, name=None):
+                rows.append((url_key(url), clean(p), url, html, sha, n, clean(ref)))
+                size += len(html or "")
+                if size >= RUN_BYTES:
+                    yield flush()
+                    rows, size = [], 0
+        if rows:
+            yield flush()
 
     narrow = joined.withColumns({"page_id": F.col("page_id").cast("string"), "refers_to": F.col("refers_to").cast("string")})  # longs with nulls aren't exact in pandas
     made = narrow.mapInPandas(write, "archive string, records long")

@@ -23,6 +23,7 @@ def test_round_trip(spark, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # else a small table makes one archive
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     monkeypatch.setattr(warc, "RANGE_ROWS", 50)
+    monkeypatch.setattr(warc, "RUN_BYTES", 600)
     rows = [(i, f"http://h{i % 5}.example.org/p?{i}\n", f"<p>é {i // 7}</p>" * (1 + i % 3), None, 1, "x") for i in range(200)]
     rows += [(500, None, None, None, 1, "x"), (501, "", "", None, 1, "x"), (502, "no scheme", "long " * 300_000, None, 1, "x")]
     rows += [(7, rows[7][1], rows[7][2], None, 1, "x"), (None, "http://same.org/", "<p>é 0</p>", None, 1, "x")]
