@@ -9,7 +9,7 @@ conflict: that is the tightest compatible bin.  As one source or cluster may hol
 the frequent ones have orderings of their own that hold only bins without them, so the successor search
 isn't a walk over all bins.
 
-Pieces are dealt by a hash of their document into shards of about SHARD pieces, which are packed apart from each
+Pieces are dealt by a hash of their document, piece and copy number into shards of about SHARD pieces, which are packed apart from each
 other; only ids, lengths, sources and clusters go there, not texts.  A shard's size doesn't grow with the
 table, and hot sources and clusters spread over all shards.
 
@@ -110,8 +110,11 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, cluster:
     full = full.withColumn("n_words", F.least(F.lit(capacity), F.col("words") - F.col("piece") * capacity))
     total = sized.agg(F.sum(F.ceil(F.col("words") / capacity))).first()[0] or 0
     shards = max(1, math.ceil(total / shard))
-    # the number of a repeated row isn't known; its piece and length keep most of them apart
-    dealt = full.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)))
+    # rows that repeat a document are counted and numbered, so that they spread over the shards as well
+    alike = full.groupBy("doc_id", "source", "cluster", "piece", "n_words").agg(F.count("*").alias("times"))
+    alike = alike.withColumn("thousand", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / 1000))))
+    alike = alike.withColumn("copy", F.explode(F.sequence(F.lit(0), F.least(F.lit(999), F.col("times") - 1 - F.col("thousand") * 1000))))
+    dealt = alike.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "thousand", "copy"), F.lit(shards)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["n_words", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
