@@ -9,7 +9,7 @@ as it does for independent hashes, at a fraction of the cost.
 
 ROWS coordinates make a band, BANDS bands are used.  Documents that share a band are candidates, and links are confirmed on the full sets:
 
-1. Copies (equal sets) are one node, named by the smallest id.
+1. Copies (equal sets) are one node, named by a 64-bit hash of the set's print; the smallest id goes with it and names the component.
 2. In each bucket (documents of equal band) every node is checked against the bucket's smallest node, and the
    confirmed links are joined to components.  A large group of near copies becomes one component here,
    with a number of checks linear in its size.
@@ -124,20 +124,22 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, set of the rows given."""
+    """node, set of the rows given."""
 
     def run(batches):
         for pdf in batches:
             for at in range(0, len(pdf), TOGETHER):
                 part = pdf.iloc[at : at + TOGETHER]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "set": [s.view(np.int64) for s in shingle_sets(part["text"].tolist(), words)]})
+                sets = shingle_sets(part["text"].tolist(), words)
+                yield pd.DataFrame({"print": [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets], "set": [s.view(np.int64) for s in sets]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, set array<long>").dropDuplicates(["doc_id"])
+    made = docs.select("text").mapInPandas(run, "print string, set array<long>")
+    return made.select(F.xxhash64("print").alias("node"), "set").dropDuplicates(["node"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct ``pairs`` (a, b) whose full sets are similar enough."""
-    first, second = (sets.select(F.col("doc_id").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
+    first, second = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
     both = F.size(F.array_intersect("set_a", "set_b"))
     near = 100 * both >= percent * (F.size("set_a") + F.size("set_b") - both)
     return pairs.join(first, "a").join(second, "b").filter(near).select("a", "b")
@@ -183,13 +185,14 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = materialise(_sketched(docs, words), "sketched")
     linked = all_rows.filter("doc_id is not null and print is not null")
-    nodes = linked.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
-    nodes = materialise(nodes, "nodes")
+    nodes = linked.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
+    nodes = materialise(nodes.withColumn("node", F.xxhash64("print")), "nodes")
     members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
     crowded = materialise(members.join(buckets, "key"), "buckets")
     # the sets of all that meet anyone, made once for both rounds of checks
-    sets = materialise(_sets(docs.join(crowded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi"), words), "sets")
+    wanted = nodes.select("node", "doc_id").join(crowded.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
+    sets = materialise(_sets(docs.join(wanted, "doc_id", "left_semi"), words), "sets")
     alike = lambda x, y: (100 * F.least(x, y) >= percent * F.greatest(x, y))  # noqa: E731  no set can be as similar to one of another size
 
     stars = crowded.filter((F.col("node") != F.col("centre.node")) & alike(F.col("n_shingles"), F.col("centre.n_shingles")))
@@ -209,7 +212,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     more = _confirmed(rest, sets, percent)
     final = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
-    roots = nodes.select("print", "node").join(final.withColumnRenamed("id", "node"), "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
+    named = nodes.select("print", "node", "doc_id").join(final.withColumnRenamed("id", "node"), "node", "left").select("print", "doc_id", F.coalesce("component", "node").alias("component"))
+    named = materialise(named, "named")
+    roots = materialise(named.join(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "component").select("print", "component_id"), "roots")
     rows = linked.select("doc_id", "n_shingles", "print").join(roots, "print").select("doc_id", "n_shingles", "component_id")
     alone = all_rows.filter("doc_id is null or print is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return rows.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

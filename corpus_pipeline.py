@@ -32,9 +32,16 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    found = minhash.near_duplicates(docs.select("doc_id", "text"), WORDS, PERCENT)
-    return docs.join(found.filter(~F.col("kept")).select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group of near duplicates: one with the smallest id, if any has an id.
+
+    Rows are told apart by a number of their own, not by id: repeated rows go, and other texts of an id are judged by themselves.
+    """
+    rows = materialise(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "rows", "zstd")
+    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "doc.text"), WORDS, PERCENT)
+    found = materialise(found.select(F.col("doc_id").alias("row"), "component_id"), "found")
+    ids = found.join(rows.select("row", F.col("doc.doc_id").alias("id")), "row")
+    best = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"))
+    return rows.join(best.select("best.row"), "row", "left_semi").select("doc.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

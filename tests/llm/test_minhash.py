@@ -75,6 +75,15 @@ def test_odd_rows(spark):
     assert M.near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_texts_that_share_an_id_are_told_apart(spark):
+    rng = np.random.default_rng(8)
+    one, two = ([f"{x}{i}" for i in rng.integers(0, 10**6, 60)] for x in "ab")
+    near = lambda ws: " ".join(ws[:-1] + ["other"])
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, near(one)), (3, near(two)), (4, near(two) + " more")]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 57, 1), (1, 57, 1), (2, 57, 1), (3, 57, 1), (4, 58, 1)]
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(0)
     size = 240

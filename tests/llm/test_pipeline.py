@@ -61,6 +61,17 @@ def test_stages_in_order_equal_plain_version(spark):
     assert whole == sorted(map(tuple, packed), key=repr)
 
 
+def test_near_duplicates_go_by_row(spark):
+    rng = np.random.default_rng(3)
+    a, b, c = (" ".join(f"{x}{i}" for i in rng.integers(0, 10**6, 80)) for x in "abc")
+    rows = [(5, a)] * 4 + [(None, c)] * 3 + [(2, b), (7, b + " end"), (7, a.upper()), (7, "a clean text of its own here"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    got = P.drop_near_duplicates(spark, docs.repartition(3), DIR)
+    assert got.columns == docs.columns
+    want = [(5, a), (None, c), (2, b), (7, "a clean text of its own here"), (9, None), (9, "")]
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in P.STAGES[:-1]:
