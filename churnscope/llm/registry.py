@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, gru_lm, language_id, minhash, packing, piece_bpe, quality, topk_search, url_filter, warc
+from . import (
+    content_sort, embedding_dedup, gru_lm, language_id, merkle_manifest, minhash, packing, piece_bpe, quality, token_align, topk_search,
+    url_filter, warc,
+)
 
-MODULES = [url_filter, quality, embedding_dedup, topk_search, warc, gru_lm, piece_bpe, minhash, packing, language_id]
+MODULES = [url_filter, quality, embedding_dedup, topk_search, warc, gru_lm, piece_bpe, minhash, packing, language_id, merkle_manifest, content_sort, token_align]
 
 
 def queries() -> dict:
