@@ -19,7 +19,7 @@ ROWS coordinates make a band, BANDS bands are used.  Documents that share a band
    first bucket that it shares.  These pairs' full sets decide, so no bucket expands to all of its pairs.
 
 A pair at the least similarity of 0.8 shares no band with a probability of (1 - 0.8**6)**40, about 5e-6; step 3 passes
-it over with a probability of about 3e-5 if it meets in large buckets only and nothing else joins the two.
+it over with a probability of about 1e-9 if it meets in large buckets only and nothing else joins the two.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row without id takes no part in links and keeps a null component; rows
@@ -40,7 +40,7 @@ from .components import connected_components
 WORDS = 4
 PERCENT = 80
 BANDS, ROWS, SIZE = 40, 6, 480
-SMALL, SIDE, SIGMAS = 16, 500, 4.0
+SMALL, SIDE, SIGMAS = 16, 500, 6.0
 TOGETHER = 1000
 EMPTY = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -150,7 +150,7 @@ def _likely(large: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     blocks = F.ceil(F.col("m") / SIDE).cast("int")
     rows = large.join(sketches, "node").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(51)), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "node", "component", "coordinates")
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "node", "component", "coordinates", "bands")
     banded = BANDS * ROWS
     least = SIZE * percent / 100 - SIGMAS * np.sqrt(percent / 100 * (1 - percent / 100) * SIZE)
 
@@ -159,20 +159,21 @@ def _likely(large: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         both = np.frombuffer(b"".join(pdf["coordinates"]), np.uint8).reshape(len(pdf), -1)
         c, more = np.ascontiguousarray(both[:, : 2 * banded]).view(np.uint16), both[:, 2 * banded :]
         node, component, block, band = (pdf[x].to_numpy() for x in ("node", "component", "block", "band"))
+        bands = np.stack(pdf["bands"].to_numpy())
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
         found = []
         for at in range(0, len(left), 64):
-            own = left[at : at + 64]
-            may = component[own][:, None] != component[right][None, :]
+            side = left[at : at + 64]
+            may = component[side][:, None] != component[right][None, :]
             if low == high:
-                may &= node[own][:, None] < node[right][None, :]
+                may &= node[side][:, None] < node[right][None, :]
             i, j = np.nonzero(may)
             for s in range(0, len(i), 20_000):
-                p, q = own[i[s : s + 20_000]], right[j[s : s + 20_000]]
-                same = c[p] == c[q]
-                near = same.sum(1) + (more[p] == more[q]).sum(1) >= least
-                first = same[near].reshape(-1, BANDS, ROWS).all(2).argmax(1)
-                p, q = p[near][first == band[0]], q[near][first == band[0]]
+                p, q = side[i[s : s + 20_000]], right[j[s : s + 20_000]]
+                near = (c[p] == c[q]).sum(1) + (more[p] == more[q]).sum(1) >= least
+                p, q = p[near], q[near]
+                own = (bands[p] == bands[q]).argmax(1) == band[0]  # the first bucket that both are in
+                p, q = p[own], q[own]
                 found.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], 1))
         pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     left = small.select("key", "component", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
     right = small.select("key", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
     rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & alike(F.col("n_a"), F.col("n_b"))).select("a", "b")
-    rest = rest.unionByName(_likely(open_rows.filter(F.col("m") > SMALL), nodes.select("node", "coordinates"), percent)).distinct()
+    rest = rest.unionByName(_likely(open_rows.filter(F.col("m") > SMALL), nodes.select("node", "coordinates", "bands"), percent)).distinct()
     rest = materialise(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
     more = _confirmed(rest, sets, percent)
     final = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
