@@ -4,10 +4,13 @@ Each language gets an interpolated Kneser-Ney model of order ORDER over the char
 contexts that start afresh at each word.  For every n-gram seen, the interpolated log probability is stored,
 and for every context its back-off weight, in arrays sorted by a 64-bit hash of the n-gram.  A text's language is
 that of the lowest cross-entropy per character.  ``score`` is the softmax over languages of minus the
-cross-entropies, sharpened by a factor that is fitted to calibration texts.  The same texts set, for each
-language, a limit of the cross-entropy: a tenth above the highest one of its texts, and at least that of guessing
-evenly among the known characters (so texts that mix languages pass).  A text that lies above it
-by a total of more than EXCESS nats is marked ``rejected``.
+cross-entropies, sharpened by a factor that is fitted to calibration texts.
+
+Calibration is cross-fitted: for each of PARTS hash parts of the sample, models of the other parts score its texts, so that every
+language, however rare, is calibrated on texts that its model hasn't seen.  For rejection a text is cut into segments of SEGMENT words, each
+of which takes its own best language (so texts that mix languages pass), and their mean cross-entropy is the text's
+``cross_entropy``.  A language's limit lies SLACK times as far above the median of its calibration texts as their 99 % quantile (which
+counts as a tenth above the median at least).  A text that lies above the limit of its language by a total of more than EXCESS nats is marked ``rejected``.
 
 The models are fitted on a bounded sample of the labelled rows: about SAMPLE_DOCS whole texts for each language,
 chosen by a hash of the id (documented parameter).  All rows are predicted, from whole texts.  A word's score
@@ -34,7 +37,7 @@ from .common import crc32_mod, mix64, table
 
 ORDER = 4
 SAMPLE_DOCS = 1500
-EXCESS = 40.0
+EXCESS, SLACK, SEGMENT, PARTS = 40.0, 4.0, 25, 5
 TOGETHER = 2000
 BEGIN, END = "\x02", "\x03"
 WORD = re.compile(r"[^\W\d_]+")
@@ -162,26 +165,29 @@ def _context_hashes(words: list[str], at: np.ndarray) -> list[np.ndarray]:
     return hashes
 
 
-def score_texts(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Cross-entropy of each text in each language, and its number of predicted characters (0: no letter)."""
+def score_texts(model: dict, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cross-entropy of each text in each language, its number of predicted characters (0: no letter), and its cross-entropy
+    when each segment of SEGMENT words takes its best language."""
     split = [words_of(t) for t in texts]
     number: dict[str, int] = {}
     for ws in split:
         for w in ws:
             number.setdefault(w, len(number))
+    ce, chars, mixed = np.zeros((len(texts), len(model["langs"]))), np.zeros(len(texts), np.int64), np.zeros(len(texts))
     if not number or not model["langs"]:
-        return np.zeros((len(texts), len(model["langs"]))), np.zeros(len(texts), np.int64)
+        return ce, chars, mixed
     sums, sizes = score_words(model, list(number))
-    ce, chars = np.zeros((len(texts), len(model["langs"]))), np.zeros(len(texts), np.int64)
     for i, ws in enumerate(split):
         if ws:
             own = np.fromiter(map(number.__getitem__, ws), np.int64, len(ws))
             chars[i] = sizes[own].sum()
-            ce[i] = -sums[own].sum(0) / max(1, chars[i])
-    return ce, chars
+            parts = np.add.reduceat(sums[own], np.arange(0, len(own), SEGMENT), axis=0)
+            ce[i] = -parts.sum(0) / max(1, chars[i])
+            mixed[i] = -parts.max(1).sum() / max(1, chars[i])
+    return ce, chars, mixed
 
 
-def decide(model: dict, ce: np.ndarray, chars: np.ndarray) -> pd.DataFrame:
+def decide(model: dict, ce: np.ndarray, chars: np.ndarray, mixed: np.ndarray) -> pd.DataFrame:
     """lang_pred, score, cross_entropy, rejected for texts scored by ``score_texts``."""
     n = len(chars)
     if not model["langs"]:
@@ -193,14 +199,14 @@ def decide(model: dict, ce: np.ndarray, chars: np.ndarray) -> pd.DataFrame:
     none = chars == 0
     lang[none] = UNDECIDED
     limit = np.array(model["limit"])[best]
-    over = np.where(np.isfinite(limit), (low - np.where(np.isfinite(limit), limit, 0)) * chars, -1.0)
-    return pd.DataFrame({"lang_pred": lang, "score": np.where(none, 0.0, share), "cross_entropy": np.where(none, None, low), "rejected": none | (over > EXCESS)})
+    over = np.where(np.isfinite(limit), (mixed - np.where(np.isfinite(limit), limit, 0)) * chars, -1.0)
+    return pd.DataFrame({"lang_pred": lang, "score": np.where(none, 0.0, share), "cross_entropy": np.where(none, None, mixed), "rejected": none | (over > EXCESS)})
 
 
 def learn(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> dict:
     """Fit models on about ``sample_docs`` rows of each language among the ``usable`` rows of (doc_id, text, lang).
 
-    Four fifths of the sample are counted, the rest calibrates sharpness and limits.
+    The models count all of the sample; sharpness and limits come from models that leave a part out.
     """
     rows = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row for each language
@@ -211,9 +217,11 @@ def learn(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> di
     sample = rows.filter(place < F.get(F.array(share), F.lit(0))[F.col("lang")] * float(1 << 30))
     part = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(12)), F.lit(5))
 
+    sample = sample.withColumn("part", part.cast("int"))
+
     def count(batches):
         for pdf in batches:
-            for lang, own in pdf.groupby("lang"):
+            for (lang, k), own in pdf.groupby(["lang", "part"]):
                 words = Counter(w for t in own["text"] for w in words_of(t))
                 grams: Counter = Counter()
                 for w, n in words.items():
@@ -221,28 +229,42 @@ def learn(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> di
                         p = BEGIN * (ORDER - 1) + w + END
                         for i in range(len(p) - ORDER + 1):
                             grams[p[i : i + ORDER]] += n
-                yield pd.DataFrame({"lang": lang, "gram": list(grams), "n": list(grams.values())})
-
-    # few rows decide a calibration, so a small table is counted and calibrated on the same rows
-    small = min(sizes.values()) < 50
-    counted = sample if small else sample.filter(part != 0)
-    found = counted.mapInPandas(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    for r in found.collect():  # bounded by the sample
-        counts.setdefault(r["lang"], {})[r["gram"]] = r["n"]
-    model = build_model(counts)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+                yield pd.DataFrame({"lang": lang, "part": k, "gram": list(grams), "n": list(grams.values())})
+
+    found = sample.select("lang", "part", "text").mapInPandas(count, "lang string, part int, gram string, n long").groupBy("lang", "gram", "part").agg(F.sum("n").alias("n"))
+    whole: dict[str, Counter] = {}
+    parts: list[dict[str, Counter]] = [{} for _ in range(PARTS)]
+    for lang, gram, k, n in found.toPandas().itertuples(index=False):  # bounded by the sample
+        whole.setdefault(lang, Counter())[gram] += n
+        parts[k].setdefault(lang, Counter())[gram] = n
+    model = build_model(whole)
+    others = []
+    for own in parts:
+        rest = {}
+        for lang, grams in whole.items():
+            left = {g: n - own.get(lang, {}).get(g, 0) for g, n in grams.items()}
+            rest[lang] = {g: n for g, n in left.items() if n}
+        others.append(build_model({lang: grams for lang, grams in rest.items() if grams}))
+    shared = docs.sparkSession.sparkContext.broadcast((others, model["langs"]))
 
     def measure(batches):
+        models, langs = shared.value
         for pdf in batches:
-            ce, chars = score_texts(shared.value, pdf["text"].tolist())
-            yield pd.DataFrame({"lang": pdf["lang"], "chars": chars, "ce": list(ce)})
-
-    checked = (sample if small else sample.filter(part == 0)).mapInPandas(measure, "lang string, chars long, ce array<double>").filter("chars > 0").toPandas()  # a few numbers for each row of the sample
+            for k, own in pdf.groupby("part"):
+                ce, chars, mixed = score_texts(models[k], own["text"].tolist())
+                at = [models[k]["langs"].index(x) if x in models[k]["langs"] else -1 for x in langs]
+                every = np.where(np.array(at) < 0, np.inf, ce[:, at]) if len(ce.T) else np.full((len(own), len(langs)), np.inf)
+                yield pd.DataFrame({"lang": own["lang"], "chars": chars, "mixed": mixed, "ce": list(every)})
+
+    # a few numbers for each row of the sample
+    checked = sample.select("lang", "part", "text").mapInPandas(measure, "lang string, chars long, mixed double, ce array<double>").filter("chars > 0").toPandas()
     checked = checked[checked["lang"].isin(model["langs"])]
     if len(checked):
         ce = np.stack(checked["ce"].to_numpy())
         truth = checked["lang"].map({x: k for k, x in enumerate(model["langs"])}).to_numpy()
+        seen = np.isfinite(ce[np.arange(len(ce)), truth])  # a model that leaves the part out knows the language
+        ce, truth, mixed = ce[seen], truth[seen], checked["mixed"].to_numpy()[seen]
+    if len(checked) and len(ce):
         gap = ce - ce.min(1, keepdims=True)
 
         def loss(sharp):
@@ -251,9 +273,10 @@ def learn(docs: DataFrame, usable: Column, sample_docs: int = SAMPLE_DOCS) -> di
 
         model["sharp"] = float(min(2.0 ** np.arange(0, 6.5, 0.5), key=loss))
         for k in range(len(model["langs"])):
-            own = ce[(truth == k) & (ce.argmin(1) == k), k]
+            own = mixed[(truth == k) & (ce.argmin(1) == k)]
             if len(own):
-                model["limit"][k] = float(max(1.1 * own.max(), math.log(model["alphabet"])))
+                middle, high = np.quantile(own, [0.5, 0.99])
+                model["limit"][k] = float(middle + SLACK * max(high - middle, middle / 10))
     return model
 
 
@@ -279,7 +302,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = learn(docs, crc32_mod(F.col("doc_id"), 5) != 0)
     held_out = F.coalesce(crc32_mod(F.col("doc_id"), 5) == 0, F.lit(False))
-    return identify(docs, model).withColumn("held_out", held_out)
+    return identify(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score", "cross_entropy", "rejected")
 
 
 SPARK = {"op10_language_id": op10_language_id}
