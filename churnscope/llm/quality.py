@@ -13,8 +13,10 @@ ratio is the prior itself).  When a mini-batch makes the second term negative, i
 reversed, so that the model stops fitting the unlabelled texts as if they were all bad.  Finally the intercept is
 set so that a share ``prior`` of the unlabelled texts scores 0.5 or more.
 
-The fit uses a bounded sample (documented parameters): about SAMPLE_POSITIVE trusted rows and SAMPLE_UNLABELLED others, chosen
-by a hash of the id; only their feature vectors come to the driver.  All rows are scored from whole texts.
+The weights are fitted on a bounded sample (documented parameters): about SAMPLE_POSITIVE trusted rows and SAMPLE_UNLABELLED others, chosen
+by a hash of the id; only their feature vectors come to the driver.  The unlabelled shares that make the prior, and the quantile
+that sets the intercept, come from histograms of the scores of all usable rows, made on Spark.  The plain model scores each row with
+weights fitted without the row's own hash fold.  All rows are scored from whole texts.
 
 Cases: null and empty texts have zero counts and get a score too; without any trusted positive every score is
 0.5; a row with contradicting marks is no trusted positive; a null id is neither held out nor learned from; repeated rows
@@ -28,11 +30,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_mod, table, words_of
+from .common import crc32_mod, materialise, table, words_of
 
 SAMPLE_POSITIVE = 8_000
 SAMPLE_UNLABELLED = 16_000
 STEPS, BATCH, RATE, FOLDS = 600, 2048, 0.02, 3
+#: Steps of a score histogram for each unit of a logit.
+FINE = 256
 
 #: Bytes of each class that is counted, in the order of the features.
 CLASSES = [
@@ -108,12 +112,15 @@ def _batches(rng, n_pos: int, n_unl: int, steps: int):
         yield tuple(np.arange(n) if n <= BATCH else rng.integers(0, n, BATCH) for n in (n_pos, n_unl))
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives among the unlabelled, from scores that rank positives high."""
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, uses: np.ndarray | None = None) -> float:
+    """Share of positives among the unlabelled, from scores that rank positives high.  uses: how often each of ``unl`` occurs."""
+    uses = np.ones(len(unl)) if uses is None else uses
+    order = np.argsort(unl)
+    above = np.append(np.cumsum(uses[order][::-1])[::-1], 0.0)
     cuts = np.unique(np.quantile(pos, np.linspace(0, 0.5, 51)))
     p = np.array([(pos >= c).mean() for c in cuts])
-    u = np.array([(unl >= c).mean() for c in cuts])
-    error = np.sqrt(u * (1 - u) / len(unl)) / 2
+    u = above[np.searchsorted(unl[order], cuts)] / above[0]
+    error = np.sqrt(u * (1 - u) / above[0]) / 2
     return float(np.clip(((u + error) / p).min(), 0.01, 0.99))
 
 
@@ -128,34 +135,51 @@ def nonnegative_risk_slopes(zp: np.ndarray, zu: np.ndarray, prior: float) -> tup
     return prior * up / len(zp), -su
 
 
-def fit(pos: np.ndarray, unl: np.ndarray, seed: int = 7) -> dict:
-    """The model from feature rows of trusted positives and of unlabelled texts."""
+def fit_plain(pos: np.ndarray, unl: np.ndarray, fold_p: np.ndarray, fold_u: np.ndarray, seed: int = 7) -> dict:
+    """Bin edges, and plain models that tell positives from unlabelled rows, each fitted without the rows of one fold."""
     both = np.vstack([pos, unl])
     bins = int(np.clip(1.5 * len(both) ** 0.25, 4, 16))  # finer, and with less decay, the more rows there are
-    decay = 5 / len(pos)
     edges = np.quantile(both, np.linspace(0, 1, bins + 1)[1:-1], axis=0).T
     bp, bu = _binned(pos, edges), _binned(unl, edges)
-    size = pos.shape[1] * bins + 1
     rng = np.random.default_rng(seed)
-    # the plain model scores each row without having seen it, if there are enough rows
-    folds = FOLDS if min(len(pos), len(unl)) >= 10 * FOLDS else 1
-    fold_p, fold_u = rng.permutation(len(pos)) % folds, rng.permutation(len(unl)) % folds
-    zp, zu = np.zeros(len(pos)), np.zeros(len(unl))
-    for k in range(folds):
-        own_p, own_u = (fold_p != k, fold_u != k) if folds > 1 else (fold_p == k, fold_u == k)
-        plain = _Adam(size, decay)
+    plain = []
+    for k in range(FOLDS):
+        own_p, own_u = fold_p != k, fold_u != k
+        if min(own_p.sum(), own_u.sum()) < 10:  # too few rows to leave some out
+            own_p, own_u = np.ones(len(pos), bool), np.ones(len(unl), bool)
+        model = _Adam(pos.shape[1] * bins + 1, 5 / len(pos))
         for i, j in _batches(rng, own_p.sum(), own_u.sum(), STEPS // 4):
             a, b = bp[own_p][i], bu[own_u][j]
-            plain.step(np.vstack([a, b]), np.r_[(_sigmoid(_logits(plain.w, a)) - 1) / len(a), _sigmoid(_logits(plain.w, b)) / len(b)] / 2)
-        zp[fold_p == k], zu[fold_u == k] = _logits(plain.w, bp[fold_p == k]), _logits(plain.w, bu[fold_u == k])
-    prior = estimate_prior(zp, zu)
-    model = _Adam(size, decay)
-    for i, j in _batches(rng, len(bp), len(bu), STEPS):
+            model.step(np.vstack([a, b]), np.r_[(_sigmoid(_logits(model.w, a)) - 1) / len(a), _sigmoid(_logits(model.w, b)) / len(b)] / 2)
+        plain.append(model.w)
+    return {"edges": edges, "plain": plain, "bins": bins}
+
+
+def fit(pos: np.ndarray, unl: np.ndarray, edges: np.ndarray, prior: float, seed: int = 8) -> np.ndarray:
+    """Weights that minimise the non-negative risk."""
+    bp, bu = _binned(pos, edges), _binned(unl, edges)
+    model = _Adam(pos.shape[1] * (edges.shape[1] + 1) + 1, 5 / len(pos))
+    for i, j in _batches(np.random.default_rng(seed), len(bp), len(bu), STEPS):
         a, b = bp[i], bu[j]
         model.step(np.vstack([a, b]), np.concatenate(nonnegative_risk_slopes(_logits(model.w, a), _logits(model.w, b), prior)))
-    # the share of unlabelled texts that count as good is to be the prior
-    model.w[-1] -= np.quantile(_logits(model.w, bu), 1 - prior)
-    return {"edges": edges, "weights": model.w, "prior": prior}
+    return model.w
+
+
+def _histogram(coded: DataFrame, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Logits of all rows (fold, bins) by the weights of their fold, as steps of 1 / FINE, and how often each occurs."""
+
+    def run(batches):
+        for pdf in batches:
+            bins = np.frombuffer(b"".join(pdf["bins"]), np.uint16).reshape(len(pdf), -1)
+            fold = pdf["fold"].to_numpy() % len(weights)
+            z = np.zeros(len(pdf))
+            for k, w in enumerate(weights):
+                z[fold == k] = _logits(w, bins[fold == k])
+            step, n = np.unique(np.floor(np.clip(z, -60, 60) * FINE).astype(np.int64), return_counts=True)
+            yield pd.DataFrame({"step": step, "n": n})
+
+    found = coded.mapInPandas(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").toPandas()  # 120 * FINE rows at most
+    return found["step"].to_numpy() / FINE, found["n"].to_numpy(np.float64)
 
 
 def learn(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = SAMPLE_POSITIVE, unlabelled: int = SAMPLE_UNLABELLED) -> dict | None:
@@ -166,6 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = S
     n_good, n_rows = good.count(), rows.count()
     if not n_good or not n_rows:
         return None
+    fold = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(FOLDS)).cast("int")
     place = lambda seed: F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(seed)), F.lit(1 << 30))
     chosen = good.filter(place(21) < min(1.0, positives / n_good) * (1 << 30)).withColumn("trusted", F.lit(True))
     drawn = rows.join(F.broadcast(chosen), "doc_id", "left")  # about ``positives`` ids, however large the table is
@@ -173,15 +198,33 @@ def learn(docs: DataFrame, labels: DataFrame, usable: Column, positives: int = S
 
     def count(batches):
         for pdf in batches:
-            yield pd.DataFrame({"trusted": pdf["trusted"].notna(), "drawn": pdf["drawn"], "x": [features(t) for t in pdf["text"]]})
+            yield pd.DataFrame({"trusted": pdf["trusted"].notna(), "drawn": pdf["drawn"], "fold": pdf["fold"], "x": [features(t) for t in pdf["text"]]})
 
-    got = drawn.select("text", "trusted", "drawn").mapInPandas(count, "trusted boolean, drawn boolean, x array<double>").toPandas()
+    got = drawn.select("text", "trusted", "drawn", fold.alias("fold")).mapInPandas(count, "trusted boolean, drawn boolean, fold int, x array<double>").toPandas()
     if not got["trusted"].any() or not got["drawn"].any():
         return None
     x = np.stack(got["x"].to_numpy())
     order = np.lexsort(x.T)  # an order of their own, so that a fit can be repeated
-    x, trusted, taken = x[order], got["trusted"].to_numpy()[order], got["drawn"].to_numpy()[order]
-    return fit(x[trusted], x[taken])
+    x, trusted, taken, folds = (v[order] for v in (x, got["trusted"].to_numpy(), got["drawn"].to_numpy(), got["fold"].to_numpy()))
+    pos, unl = x[trusted], x[taken]
+    model = fit_plain(pos, unl, folds[trusted], folds[taken])
+    edges, plain = model["edges"], model["plain"]
+
+    def code(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 1000):
+                part = pdf.iloc[at : at + 1000]
+                bins = _binned(np.stack([features(t) for t in part["text"]]), edges).astype(np.uint16)
+                yield pd.DataFrame({"fold": part["fold"], "bins": [b.tobytes() for b in bins]})
+
+    coded = materialise(rows.select("text", fold.alias("fold")).mapInPandas(code, "fold int, bins binary"), "binned")
+    at_pos = np.array([_logits(plain[k], b) for k, b in zip(folds[trusted], _binned(pos, edges)[:, None, :])]).ravel()
+    model["prior"] = estimate_prior(np.floor(at_pos * FINE) / FINE, *_histogram(coded, plain))
+    weights = fit(pos, unl, edges, model["prior"])
+    # the share of unlabelled texts that count as good is to be the prior
+    step, n = _histogram(coded, [weights])
+    weights[-1] -= step[np.searchsorted(np.cumsum(n), (1 - model["prior"]) * n.sum()).clip(0, len(step) - 1)]
+    return model | {"weights": weights}
 
 
 def scorer(spark: SparkSession, model: dict | None):
@@ -208,7 +251,7 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     rest = crc32_mod(F.col("doc_id"), 3)
     model = learn(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), rest != 1)
-    return score(docs, model).withColumn("held_out", F.coalesce(rest == 1, F.lit(False)))
+    return score(docs, model).select("doc_id", F.coalesce(rest == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 SPARK = {"op2_quality": op2_quality}

@@ -59,3 +59,42 @@ def test_odd_rows(spark):
     assert {r.score for r in Q.score(docs, None).collect()} == {0.5}
     empty = docs.limit(0)
     assert Q.learn(empty, labels, F.lit(True)) is None and Q.score(empty, None).collect() == []
+
+
+def test_all_rows_set_prior_and_threshold(spark):
+    """A plain version: every row's out-of-fold logit and score, one by one, give the same prior and intercept."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality")
+    model = Q.learn(docs, labels, F.lit(True))
+    fold = {r.doc_id: r.k for r in docs.select("doc_id", F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(23)), F.lit(Q.FOLDS)).alias("k")).collect()}
+
+    def logit(weights, text):
+        total = float(weights[-1])
+        for j, value in enumerate(Q.features(text)):
+            total += weights[j * (model["edges"].shape[1] + 1) + sum(e <= value for e in model["edges"][j])]
+        return total
+
+    marks = {}
+    for r in labels.collect():
+        marks.setdefault(r.doc_id, set()).add(r.quality)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    plain = {i: np.floor(logit(model["plain"][fold[i]], t) * Q.FINE) / Q.FINE for i, t in rows}
+    prior = Q.estimate_prior(np.array([plain[i] for i, _ in rows if marks.get(i) == {1}]), np.array([plain[i] for i, _ in rows]))
+    assert abs(prior - model["prior"]) < 1e-6
+    scores = {i: logit(model["weights"], t) for i, t in rows}
+    assert abs(np.mean([z >= 0 for z in scores.values()]) - prior) < 0.01
+    for r in Q.score(docs, model).collect():
+        assert abs(r.score - 1 / (1 + np.exp(-scores[r.doc_id]))) < 1e-6 and r.predicted == (r.score >= 0.5)
+
+
+def test_features_count_whole_texts():
+    text = "Two  WORDS two words\n\nand a line, 12 % of it!\tend"
+    f = Q.features(text)
+    words = text.encode().lower().split()
+    for k, letters in enumerate(Q.CLASSES):
+        assert abs(f[k] - sum(b in letters for b in text.encode()) / len(text)) < 1e-12
+    n, distinct = len(words), set(words)
+    at = len(Q.CLASSES)
+    assert np.allclose(f[at : at + 3], [np.log1p(n), len(distinct) / n, max(words.count(w) for w in distinct) / n])
+    assert np.allclose(f[at + 5 : at + 8], [np.mean([len(w) for w in words]), np.std([len(w) for w in words]), np.mean([len(w) == 1 for w in words])])
