@@ -79,3 +79,32 @@ def test_graph_search_finds_what_is_in_range():
     found = set(zip(i.tolist(), j.tolist()))
     truth = set(zip(*(a.tolist() for a in np.nonzero(x @ x.T >= 0.93))))
     assert found <= truth and len(found) > 0.97 * len(truth)
+
+
+def test_audit_counts_nodes_alike(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(40, 16))
+    rows = [(2 * i + k, "a", (base[i] + 0.02 * k * rng.normal(size=16)).tolist(), 1) for i in range(40) for k in range(2)]
+    rows += [(1000 + i, "a", (np.ones(16) + 0.01 * rng.normal(size=16)).tolist(), 1) for i in range(60)]
+    nodes = spark.createDataFrame(rows, "node long, class string, x array<double>, times int")
+    whole = [(i, 1) for i in range(80)] + [(1000 + i, 59) for i in range(60)]
+    recall = lambda found: D.audit_recall(nodes, spark.createDataFrame(found, "node long, n long"), 0.93)
+    assert recall(whole) == 1.0
+    # the large group's 3,540 links don't hide that the pairs are lost
+    assert abs(recall(whole[80:]) - 60 / 140) < 0.01
+    assert recall(whole[:80]) < 0.6
+
+
+def test_recall_of_planted_pairs(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(1500, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.normal(size=base.shape)
+    other -= (other * base).sum(1, keepdims=True) * base
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    near = 0.94 * base + np.sqrt(1 - 0.94**2) * other
+    docs = spark.createDataFrame([(i, x.tolist(), "k") for i, x in enumerate(np.concatenate([base, near]))], "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: r for r in D.near_duplicate_vectors(docs).collect()}
+    both = np.concatenate([base, near])
+    truth = ((both @ both.T) >= 0.93).sum(1) - 1
+    assert sum(got[i].n_links for i in got) >= 0.97 * truth.sum() and all(got[i].n_links <= truth[i] for i in got)
