@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import params as P
 from ..functions.numeric import with_scalars
 from .binning import tenure_bucket
+from .quantiles import exact_quantiles
 
 
 def _is_yes(c: str = "Attrition") -> Column:
@@ -170,10 +171,11 @@ def satisfaction_compare(df: DataFrame) -> DataFrame:
 
 def overtime_prob_summary(df: DataFrame) -> DataFrame:
     """Mean / median / P75 of AttritionProb per OverTime value (exact percentiles, T6)."""
-    stats = (df.groupBy("OverTime").agg(F.avg("AttritionProb").alias("mean_prob"),
-                                        F.percentile("AttritionProb", F.array(F.lit(0.5), F.lit(0.75))).alias("_q")))
+    stats = df.groupBy("OverTime").agg(F.avg("AttritionProb").alias("mean_prob"))
+    quantiles = exact_quantiles(df.select("OverTime", "AttritionProb"), {"AttritionProb": [0.5, 0.75]}, ["OverTime"])
+    quantiles = quantiles.withColumnRenamed("AttritionProb", "_q")
     dom = domain(df.sparkSession, "OverTime", ["No", "Yes"], order=False)
-    return dom.join(stats, "OverTime", "left").select(
+    return dom.join(stats, "OverTime", "left").join(quantiles, "OverTime", "left").select(
         "OverTime",
         F.coalesce(F.col("mean_prob"), F.lit(0.0)).alias("mean_prob"),
         F.coalesce(F.col("_q")[0], F.lit(0.0)).alias("median_prob"),

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..functions.numeric import with_scalars
+from .quantiles import exact_quantiles
 
 
 def linspace(lo: float, hi: float, n: int) -> list[float]:
@@ -108,9 +109,9 @@ def prob_histogram_auto(df: DataFrame, col: str = "AttritionProb", bins: int = 3
         F.element_at("_edges", F.col("bin") + 2).alias("upper"))
 
 
-def quantile_edges(x: Column, q: int) -> Column:
-    """Aggregate: q+1 exact quantile edges (linear interpolation, trap T6)."""
-    return F.percentile(x, F.array(*[F.lit(v) for v in linspace(0.0, 1.0, q + 1)]))
+def quantile_edges(df: DataFrame, col: str, q: int) -> DataFrame:
+    """One row ``_qe``: q+1 exact quantile edges (linear interpolation, trap T6)."""
+    return exact_quantiles(df.select(col), {"_qe": (F.col(col), linspace(0.0, 1.0, q + 1))})
 
 
 def cut_edges(x: Column, q: int) -> Column:
@@ -135,14 +136,12 @@ def qcut_or_cut(df: DataFrame, col: str, q: int = 10, labels: Sequence[str] | No
 
     With fixed labels qcut raises as soon as edges collapse (trap T7), so the
     fallback runs exactly when the q+1 quantile edges are not all distinct.
-    Both edge sets come from one aggregate (a scalar subquery); each row then
-    counts the edges below it, so no join and no window is needed.
+    Both edge sets are one row attached to all; each row then counts the edges below it, so no window is needed.
     """
     labels = list(labels or [f"Q{i}" for i in range(1, q + 1)])
     x = F.col(col).cast("double")
-    stats = df.select(quantile_edges(x, q).alias("_qe"), cut_edges(x, q).alias("_ce")) \
-        .withColumn("_ok", F.size(F.array_distinct("_qe")) == q + 1)
-    df = with_scalars(df, stats)
+    stats = with_scalars(df.select(cut_edges(x, q).alias("_ce")), quantile_edges(df, col, q))
+    df = with_scalars(df, stats.withColumn("_ok", F.size(F.array_distinct("_qe")) == q + 1))
     qidx = F.size(F.filter("_qe", lambda e: e < x))
     qbin = F.when(x == F.element_at("_qe", 1), 1).when((qidx >= 1) & (qidx <= q), qidx)
     cidx = F.size(F.filter("_ce", lambda e: e < x))

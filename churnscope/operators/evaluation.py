@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import with_scalars
+from .quantiles import exact_quantiles
 
 N_BUCKETS = 4096
 
@@ -216,7 +217,7 @@ SEGMENT_RULES = [  # FIXED VALUES: (column, comparison, cut, fill) in the refere
 def risk_segments(df: DataFrame) -> DataFrame:
     """Segment score (rules present in ``df``), high_risk / standard label.
 
-    The score is a sum of 0/1 indicators, so ``#(score >= c)`` for any cut is
+    The score is a sum of 0/1 indicators, so ``#(score >= c)`` for any cut and any quantile are
     read from nine counts; the adaptive cut-off and the one-class fallback are
     then scalar logic on one aggregate row.
     """
@@ -224,8 +225,8 @@ def risk_segments(df: DataFrame) -> DataFrame:
     rules = [r for r in SEGMENT_RULES if r[0] in cols]
     med_cols = [c for c, _, _, fill in rules if fill == "median"]
     if med_cols:
-        meds = df.agg(*[F.median(F.col(c).cast("double")).alias(f"__med_{c}") for c in med_cols])
-        df = with_scalars(df, meds)
+        meds = exact_quantiles(df.select(*med_cols), {c: [0.5] for c in med_cols})
+        df = with_scalars(df, meds.select(*[F.col(c)[0].alias(f"__med_{c}") for c in med_cols]))
     score = F.lit(0.0)
     for c, op, cut, fill in rules:
         x = F.col(c).cast("double")
@@ -234,11 +235,15 @@ def risk_segments(df: DataFrame) -> DataFrame:
         score = score + F.when(hit, 1.0).otherwise(0.0)
     df = df.withColumn("segment_score", score).drop(*[f"__med_{c}" for c in med_cols])
     k = len(rules)
-    st = df.agg(F.count(F.lit(1)).alias("n"), F.percentile("segment_score", 0.65).alias("q65"),
-                F.median("segment_score").alias("q50"),
-                *[F.count_if(F.col("segment_score") >= i).alias(f"ge{i}") for i in range(k + 2)])
+    st = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("segment_score") >= i).alias(f"ge{i}") for i in range(k + 2)])
     ge = F.array(*[F.col(f"ge{i}") for i in range(k + 2)])
 
+    def quantile(f: float) -> Column:  # a score's rank is the number of smaller scores
+        at = F.lit(f) * (F.col("n") - 1)
+        low, high = (sum((F.when(F.col("n") - F.col(f"ge{i}") <= r, 1.0).otherwise(0.0) for i in range(1, k + 1)), F.lit(0.0)) for r in (F.floor(at), F.ceil(at)))
+        return low + (at - F.floor(at)) * (high - low)
+    st = st.withColumns({"q65": quantile(0.65), "q50": quantile(0.5)})
+
     def count_ge(cut: Column) -> Column:  # integer-valued score
         return F.element_at(ge, F.least(F.greatest(F.ceil(cut), F.lit(0)), F.lit(k + 1)).cast("int") + 1)
     share = F.col("ge2") / F.col("n")
@@ -413,8 +418,8 @@ def stratified_folds(df: DataFrame, y: str, key: str, k: int = 5, seed: int = 42
 
 def standardize(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """L2: median impute then (x - mean) / population std; constant column -> 0."""
-    st = df.agg(*[F.median(F.col(c).cast("double")).alias(f"__med_{c}") for c in cols])
-    d = with_scalars(df, st)
+    st = exact_quantiles(df.select(*cols), {c: [0.5] for c in cols})
+    d = with_scalars(df, st.select(*[F.col(c)[0].alias(f"__med_{c}") for c in cols]))
     d = d.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__med_{c}")) for c in cols})
     st2 = d.agg(*[F.avg(c).alias(f"__mu_{c}") for c in cols], *[F.stddev_pop(c).alias(f"__sd_{c}") for c in cols])
     d = with_scalars(d, st2)

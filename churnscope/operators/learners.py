@@ -8,27 +8,34 @@ one-hot encoded with unknown categories -> all zeros (``StringIndexer(keep)`` +
 ``OneHotEncoder(dropLast=True)``, trap T11).  All of these statistics, and the
 class weights, come from training rows alone (``fit_statistics``); test and
 validation rows only get them applied.  Learners are Spark ML estimators
-(distributed training).  Out-of-fold prediction loops over k folds (k fits per
-learner): each fit is a distributed job, the loop itself carries no data.
+(distributed training).  Fits that don't depend on each other (learners, folds) run at the same
+time: ``run_jobs`` starts each in a thread of its own that is pinned to a JVM thread and to a scheduler pool, so
+that the short jobs of one boosting fill the executors' gaps that another leaves.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+import threading
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType, StringType
 
 from ..functions.numeric import with_scalars
+from ..session import cut_lineage, ensure_checkpoint_dir
 from . import evaluation as EV
+from .quantiles import exact_quantiles
 
 LABEL = "AttritionFlag"
 EXCLUDE = {"Attrition", "AttritionFlag", "EmployeeNumber"}
@@ -43,6 +50,34 @@ FOREST_MIN_LEAF = 5
 GBT_DEFAULTS = {"maxIter": 120, "maxDepth": 3, "stepSize": 0.05, "subsamplingRate": 0.75, "minInstancesPerNode": 35}
 
 
+#: Fits that run at the same time.
+PARALLEL_FITS = 4
+T = TypeVar("T")
+K = TypeVar("K")
+
+
+def run_jobs(spark: SparkSession, jobs: Mapping[K, Callable[[], T]], parallel: int = PARALLEL_FITS) -> dict[K, T]:
+    """The results of independent driver jobs, ``parallel`` of them at a time; the first error is raised.
+
+    A job's Spark work goes to a scheduler pool of its thread's own (used where the cluster schedules fairly).
+    """
+    if len(jobs) < 2 or parallel < 2:
+        return {k: job() for k, job in jobs.items()}
+
+    def pinned(job: Callable[[], T]) -> Callable[[], T]:
+        def run() -> T:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{threading.get_ident()}")
+            try:
+                return job()
+            finally:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", None)
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(min(parallel, len(jobs))) as pool:
+        started = {k: pool.submit(pinned(job)) for k, job in jobs.items()}
+        return {k: f.result() for k, f in started.items()}
+
+
 def column_kinds(df: DataFrame, label: str = LABEL, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """L1: numeric and string columns from the schema (plan time), label and ids excluded."""
     skip = set(EXCLUDE) | {label} | set(exclude)
@@ -53,10 +88,12 @@ def column_kinds(df: DataFrame, label: str = LABEL, exclude: Sequence[str] = ())
 
 def fit_statistics(train: DataFrame, num: Sequence[str], cat: Sequence[str], label: str = LABEL) -> dict:
     """L2/L3/L7 statistics of the training rows: medians, means and population stds after imputation,
-    modes (smallest on ties) and class counts.  One small row on the driver for each of two aggregates."""
-    first = train.agg(*[F.median(F.col(c).cast("double")).alias(f"med_{c}") for c in num],
-                      *[F.mode(F.col(c), True).alias(f"mode_{c}") for c in cat],
+    modes (smallest on ties) and class counts.  A few small rows on the driver."""
+    first = train.agg(*[F.mode(F.col(c), True).alias(f"mode_{c}") for c in cat],
                       F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")).first().asDict()
+    if num:
+        medians = exact_quantiles(train.select(*[f"`{c}`" for c in num]), {c: [0.5] for c in num}).first()
+        first |= {f"med_{c}": medians[c][0] if medians[c] else None for c in num}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(first[f"med_{c}"])) for c in num}
     second = train.agg(F.count(F.lit(1)).alias("n"), *[F.avg(x).alias(f"mean_{c}") for c, x in filled.items()],
                        *[F.stddev_pop(x).alias(f"std_{c}") for c, x in filled.items()]).first().asDict()
@@ -76,8 +113,8 @@ def apply_statistics(df: DataFrame, st: dict, num: Sequence[str], cat: Sequence[
 def encoder(num: Sequence[str], cat: Sequence[str], out: str = "features") -> Pipeline:
     """L3/L4: one-hot (unknown -> zeros) + assembly; the assembled vector's ML attributes
     carry the encoded -> raw feature names."""
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}__idx", handleInvalid="keep", stringOrderType="alphabetAsc")
-           for c in cat]
+    idx = [StringIndexer(inputCols=list(cat), outputCols=[f"{c}__idx" for c in cat], handleInvalid="keep",
+                         stringOrderType="alphabetAsc")] if cat else []  # one pass for all columns
     ohe = OneHotEncoder(inputCols=[f"{c}__idx" for c in cat], outputCols=[f"{c}__ohe" for c in cat],
                         dropLast=True) if cat else None  # the dropped last slot is the indexer's "unknown"
     asm = VectorAssembler(inputCols=list(num) + [f"{c}__ohe" for c in cat], outputCol=out, handleInvalid="keep")
@@ -114,13 +151,13 @@ def forest(features: str = "features", label: str = LABEL, num_trees: int = FORE
     return RandomForestClassifier(featuresCol=features, labelCol=label, weightCol="w_balanced",
                                   numTrees=num_trees, maxDepth=FOREST_DEPTH, minInstancesPerNode=FOREST_MIN_LEAF,
                                   featureSubsetStrategy="sqrt", seed=seed, probabilityCol="rf_probability",
-                                  rawPredictionCol="rf_raw", predictionCol="rf_pred")
+                                  rawPredictionCol="rf_raw", predictionCol="rf_pred", cacheNodeIds=True, maxMemoryInMB=512)
 
 
 def boosted(features: str = "features", label: str = LABEL, seed: int = 42, **params) -> GBTClassifier:
     """Boosted trees with the positive-class weight (differences: SURVEY §7.5)."""
     p = dict(GBT_DEFAULTS, **params)
-    m = GBTClassifier(featuresCol=features, labelCol=label, weightCol="w_pos", seed=seed, **p)
+    m = GBTClassifier(featuresCol=features, labelCol=label, weightCol="w_pos", seed=seed, cacheNodeIds=True, **p)
     return m.setProbabilityCol("gbt_probability").setRawPredictionCol("gbt_raw").setPredictionCol("gbt_pred")
 
 
@@ -159,6 +196,7 @@ def tune_gbt(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNumber", n
 
     n * folds distributed fits, ``parallelism`` of them at a time; the fold is a column of the training table.
     """
+    ensure_checkpoint_dir(pool.sparkSession)
     d, num, cat = training_columns(pool, label, key)
     st = fit_statistics(d, num, cat, label)
     d = with_class_weights(apply_statistics(EV.stratified_folds(d, label, key, folds, seed).drop("class_rank"), st, num, cat), st, label)
@@ -182,55 +220,93 @@ def _p1(col: str) -> F.Column:
 
 def training_columns(df: DataFrame, label: str = LABEL, key: str = "EmployeeNumber",
                      exclude: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
-    """The key, the label and the raw input columns; (table, numeric columns, categorical columns)."""
-    num, cat = column_kinds(df, label, exclude)
+    """The key, the label and the raw input columns; (table, numeric columns, categorical columns).  The key is no input."""
+    num, cat = column_kinds(df, label, [key, *exclude])
     return df.select(key, label, *num, *cat), num, cat
 
 
-def fit_predict(train: DataFrame, test: DataFrame, num, cat, learners: Sequence[str] = ("gbt", "lr", "rf"),
-                gbt_params: dict | None = None, num_trees: int = FOREST_TREES, label: str = LABEL,
-                statistics: dict | None = None) -> DataFrame:
-    """Fit statistics (unless given), weights, the encoder and the chosen learners on ``train``; score ``test``
-    (p_gbt, p_lr, p_rf)."""
-    own = fit_statistics(train, num, cat, label)
+def _weights(st: dict) -> float:
+    """The sum of the balanced weights: half the rows for each class that there is."""
+    return st["n"] / 2.0 * ((st["pos"] > 0) + (st["n"] > st["pos"]))
+
+
+def encoded(train: DataFrame, test: DataFrame, num, cat, label: str = LABEL, statistics: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
+    """``train`` (with class weights) and ``test``, encoded with what ``train`` has (and ``statistics``, unless those come from it
+    too), and the training rows' statistics.  The training table is persisted: fits pass over it many times."""
+    own = fit_statistics(train, num, cat, label) if statistics is None else train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")).first().asDict()
     st = statistics or own
     train = with_class_weights(apply_statistics(train, st, num, cat), own, label)
-    test = apply_statistics(test, st, num, cat)
     enc = encoder(num, cat).fit(train)
-    # iterative learners pass over the encoded training table many times
-    tr, out = enc.transform(train).persist(), enc.transform(test)
+    return enc.transform(train).persist(), enc.transform(apply_statistics(test, st, num, cat)), own
+
+
+def _estimator(name: str, st: dict, label: str, gbt_params: dict | None, num_trees: int):
+    if name == "lr":
+        return logistic(_weights(st), label=label)
+    return forest(num_trees=num_trees, label=label) if name == "rf" else boosted(label=label, **(gbt_params or {}))
+
+
+def _scored(test: DataFrame, models: Mapping[str, object]) -> DataFrame:
+    """Encoded rows with each model's probability, without the encoding."""
+    out = test
+    for name, model in models.items():
+        out = model.transform(out).withColumn(f"p_{name}", _p1(f"{name}_probability"))
+    keep = [c for c in out.columns if not c.endswith(("_raw", "_probability", "_pred", "__idx", "__ohe"))]
+    return out.select(*[c for c in keep if c != "features"])
+
+
+def parse_settings(settings: Mapping[str, str], space: dict | None = None) -> dict:
+    """A draw of ``tune_gbt``'s table as parameters again."""
+    space = space or GBT_SPACE
+    return {k: next(v for v in space[k] if str(v) == text) for k, text in settings.items()}
+
+
+def fit_models(train: DataFrame, test: DataFrame, num, cat, learners: Sequence[str] = ("gbt", "lr", "rf"),
+               gbt_params: dict | None = None, num_trees: int = FOREST_TREES, label: str = LABEL,
+               statistics: dict | None = None, parallel: int = PARALLEL_FITS) -> tuple[DataFrame, dict]:
+    """The encoded ``test`` and the learners by name, fitted on ``train`` at the same time."""
+    spark = train.sparkSession
+    ensure_checkpoint_dir(spark)
+    tr, te, st = encoded(train, test, num, cat, label, statistics)
     try:
-        for name in learners:
-            if name == "lr":
-                total = tr.agg(F.sum("w_balanced")).first()[0] or 0.0
-                out = logistic(total, label=label).fit(tr).transform(out).withColumn("p_lr", _p1("lr_probability"))
-            elif name == "rf":
-                out = forest(num_trees=num_trees, label=label).fit(tr).transform(out).withColumn("p_rf", _p1("rf_probability"))
-            elif name == "gbt":
-                out = boosted(label=label, **(gbt_params or {})).fit(tr).transform(out).withColumn("p_gbt", _p1("gbt_probability"))
+        return te, run_jobs(spark, {n: lambda n=n: _estimator(n, st, label, gbt_params, num_trees).fit(tr) for n in learners}, parallel)
     finally:
         tr.unpersist()
-    keep = [c for c in out.columns if not c.endswith(("_raw", "_probability", "_pred", "__idx", "__ohe"))]
-    return out.select(*[c for c in keep if c != "features"])
+
+
+def fit_predict(train: DataFrame, test: DataFrame, num, cat, learners: Sequence[str] = ("gbt", "lr", "rf"),
+                gbt_params: dict | None = None, num_trees: int = FOREST_TREES, label: str = LABEL,
+                statistics: dict | None = None, parallel: int = PARALLEL_FITS) -> DataFrame:
+    """Fit statistics (unless given), weights, the encoder and the chosen learners on ``train``; score ``test``
+    (p_gbt, p_lr, p_rf).  The learners are fitted at the same time."""
+    return _scored(*fit_models(train, test, num, cat, learners, gbt_params, num_trees, label, statistics, parallel))
 
 
 def oof_predictions(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNumber", k: int = 5,
                     learners: Sequence[str] = ("gbt", "lr", "rf"), seed: int = 42,
-                    gbt_params: dict | None = None, num_trees: int = FOREST_TREES, per_fold: bool = False) -> DataFrame:
+                    gbt_params: dict | None = None, num_trees: int = FOREST_TREES, per_fold: bool = False,
+                    parallel: int = PARALLEL_FITS) -> DataFrame:
     """Out-of-fold probabilities over a training pool; folds are stratified (L6).  Imputation and scaling come
-    from the pool (or, ``per_fold``, from each fold's training rows), class weights from each fold's training rows.  One
-    union of k scored folds."""
+    from the pool (or, ``per_fold``, from each fold's training rows), class weights from each fold's training rows.
+
+    The pool with its folds is materialised once.  The folds' encodings, and then all k x learners fits, run
+    ``parallel`` at a time.  One union of k scored folds; an empty fold has no rows.
+    """
+    spark = pool.sparkSession
     d, num, cat = training_columns(pool, label, key)
-    d = EV.stratified_folds(d, label, key, k, seed).drop("class_rank")
+    d = cut_lineage(EV.stratified_folds(d, label, key, k, seed).drop("class_rank"))
     st = None if per_fold else fit_statistics(d, num, cat, label)
-    parts = []
-    for f in range(k):
-        part = fit_predict(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, learners, gbt_params,
-                           num_trees, label, st)
-        parts.append(part.select(key, label, "fold", *[f"p_{n}" for n in learners]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    folds = run_jobs(spark, {f: lambda f=f: encoded(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, label, st) for f in range(k)}, parallel)
+    try:
+        fits = {(f, n): lambda f=f, n=n: _estimator(n, folds[f][2], label, gbt_params, num_trees).fit(folds[f][0]) for n in learners for f in range(k)}
+        models = run_jobs(spark, fits, parallel)
+    finally:
+        for tr, _, _ in folds.values():
+            tr.unpersist()
+    out = None
+    for f, (_, te, _) in folds.items():
+        part = _scored(te, {n: models[f, n] for n in learners}).select(key, label, "fold", *[f"p_{n}" for n in learners])
+        out = part if out is None else out.unionByName(part)
     return out
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import params as P
 from ..functions.numeric import clip, try_double
 from .numbering import global_row_number
+from .quantiles import exact_quantiles
 
 
 def resolve_first(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -117,8 +118,8 @@ def rescale_probability(df: DataFrame, src: str | None, out: str = "AttritionPro
 
 def role_income_median(df: DataFrame, role: str = "JobRole", income: str = "MonthlyIncome") -> DataFrame:
     """D1 (aggregate side): exact median income per role (pandas drops NULL roles, T22)."""
-    return (df.where(F.col(role).isNotNull())
-            .groupBy(role).agg(F.percentile(income, 0.5).alias("IncomeMedianByRole")))
+    med = exact_quantiles(df.where(F.col(role).isNotNull()).select(role, income), {income: [0.5]}, [role])
+    return med.select(role, F.col(income)[0].alias("IncomeMedianByRole"))
 
 
 def add_income_compa(df: DataFrame, role: str = "JobRole", income: str = "MonthlyIncome") -> DataFrame:
@@ -157,7 +158,7 @@ def impute_median(df: DataFrame, numeric: Sequence[str] | None = None,
                   categorical: Sequence[str] | None = None) -> DataFrame:
     """Numeric NULL -> column median (exact, interpolated), string NULL -> 'Missing'.
 
-    All medians come from one aggregate; its single row is inlined through a
+    All medians come from one range refinement; their single row is inlined through a
     scalar subquery per column.
     """
     from pyspark.sql.types import NumericType, StringType
@@ -168,8 +169,8 @@ def impute_median(df: DataFrame, numeric: Sequence[str] | None = None,
         categorical = [f.name for f in fields if isinstance(f.dataType, StringType)]
     out: dict[str, Column] = {}
     if numeric:
-        med = df.select(F.struct(*[F.percentile(c, 0.5).alias(c) for c in numeric]).alias("m"))
-        s = med.scalar()
+        med = exact_quantiles(df.select(*numeric), {c: [0.5] for c in numeric})
+        s = med.select(F.struct(*[F.col(c)[0].alias(c) for c in numeric]).alias("m")).scalar()
         for c in numeric:
             out[c] = F.coalesce(F.col(c).cast("double"), s[c])
     for c in categorical:

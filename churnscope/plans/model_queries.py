@@ -9,10 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import attributions as AT
 from ..operators import evaluation as EV
 from ..operators import features as FE
 from ..operators import learners as LN
 from ..operators import normalize as N
+from ..operators import ranking as RK
+from ..session import cut_lineage
 from ..sources import fixtures as FX
 
 SPARK: dict = {}
@@ -38,7 +41,8 @@ def training_table(spark, sf):
 def _split(spark, sf):
     """Training pool and test rows, separated before anything is fitted."""
     d, num, cat = LN.training_columns(training_table(spark, sf))
-    s = EV.stratified_split(d, LN.LABEL, "EmployeeNumber", 0.2, 42).drop("class_rank")
+    # several jobs pass over both parts: the split is made once
+    s = cut_lineage(EV.stratified_split(d, LN.LABEL, "EmployeeNumber", 0.2, 42).drop("class_rank"))
     return s.where(~F.col("is_test")).drop("is_test"), s.where(F.col("is_test")).drop("is_test"), num, cat
 
 
@@ -87,24 +91,32 @@ def one_hot(spark, sf):
     return x.select("EmployeeNumber", F.inline(slots)).where(F.col("value") != 0)
 
 
-def _lr_importance(spark, sf):
-    """Encoded-slot importance |coef| of the balanced logistic model (the reference uses the
-    boosted learner's split importance; re-aimed, SURVEY §8)."""
-    _, names, coef = LN.balanced_logistic(training_table(spark, sf))
-    rows = [(n, abs(c)) for n, c in zip(names, coef)]
-    return spark.createDataFrame(rows, "feature string, importance double")  # one row per encoded slot
+def _boosted(spark, sf):
+    """The encoded pool and learner 1, fitted on it, with its slots' names."""
+    pool, _, num, cat = _split(spark, sf)
+    coded, models = LN.fit_models(pool, pool, num, cat, ("gbt",))
+    return coded, models["gbt"], LN.encoded_feature_names(coded)
+
+
+@q("tree_contributions")
+def tree_contributions(spark, sf):
+    """The three largest attributions of learner 1 for each training row, with its margin."""
+    coded, model, names = _boosted(spark, sf)
+    found = AT.tree_contributions(coded, model, names, "EmployeeNumber")
+    return found.join(RK.top3_drivers(found), "EmployeeNumber").select("EmployeeNumber", "margin", "expected_margin", "top3_drivers")
 
 
 @q("importance_by_raw_feature")
 def importance_by_raw_feature(spark, sf):
-    """Encoded-slot importance summed back to the raw feature (one-hot slots -> column)."""
-    imp = _lr_importance(spark, sf)
+    """Learner 1's gains by encoded slot, summed back to the raw feature (one-hot slots -> column)."""
+    _, model, names = _boosted(spark, sf)
     raw = F.split(F.col("feature"), "__ohe_").getItem(0)
-    return (imp.groupBy(raw.alias("raw_feature")).agg(F.sum("importance").alias("importance"))
+    return (AT.gain_importance(spark, model, names).groupBy(raw.alias("raw_feature")).agg(F.sum("importance").alias("importance"))
             .orderBy(F.desc("importance"), F.asc("raw_feature")))
 
 
 @q("top_features")
 def top_features(spark, sf):
-    """Top-20 encoded features by importance (a top-k report)."""
-    return _lr_importance(spark, sf).orderBy(F.desc("importance"), F.asc("feature")).limit(20)
+    """Top-20 encoded features by learner 1's gain (a top-k report)."""
+    _, model, names = _boosted(spark, sf)
+    return AT.gain_importance(spark, model, names).orderBy(F.desc("importance"), F.asc("feature")).limit(20)

@@ -1,8 +1,9 @@
-"""The training pipeline (L25, L28): employee table in, scored tables and the 33 run metrics out.
+"""The training pipeline (L25, L28): employee and policy tables in, the run's result tables and 33 metrics out.
 
-Steps: read, engineer features, set the test rows aside, out-of-fold base probabilities on the pool, blend weights,
+Steps: read, engineer features, prepare the policies, add the match features and the macro index, set the test rows aside, tune
+the boosting on the pool, out-of-fold base probabilities, blend weights,
 meta learner, threshold and segment thresholds on its out-of-fold probabilities, final fit on the whole pool, scores
-of both parts, metrics, written tables.  Every step is a DataFrame; only single rows (weights, thresholds, metrics)
+of both parts, metrics, reasons of each test row, tables written as one run.  Every step is a DataFrame; only single rows (weights, thresholds, metrics)
 come to the driver.  The bounded-size inputs of later steps are checkpointed, as several of them read each.
 """
 
@@ -12,11 +13,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import params as P
+from ..operators import aggregates as AG
+from ..operators import attributions as AT
 from ..operators import blending as BL
 from ..operators import evaluation as EV
 from ..operators import features as FE
 from ..operators import learners as LN
+from ..operators import matching as MT
 from ..operators import normalize as N
+from ..operators import policy as PO
+from ..operators import ranking as RK
 from ..session import cut_lineage
 from ..sources import tables as TB
 
@@ -31,16 +37,35 @@ def training_features(employees: DataFrame) -> DataFrame:
     return d.withColumn(LN.LABEL, F.when(F.col("Attrition") == "Yes", 1).otherwise(0))
 
 
+#: Policy columns of ``read_policies`` by what they hold.
+POLICY_COLUMNS = {"title": "title", "content": "content", "time": "publish_date", "role": "roles", "department": "departments", "source": "source"}
+
+
+def policy_features(features: DataFrame, prepared: DataFrame, topics=P.POLICY_TOPICS, role_aliases=P.JOB_ROLE_ALIAS_GROUPS,
+                    dept_aliases=P.DEPARTMENT_ALIAS_GROUPS) -> DataFrame:
+    """Employees with the 15 match features (K8-K13) and the macro index of their role."""
+    match = MT.policy_match_features(features, prepared, topics, role_aliases, dept_aliases, KEY)
+    macro = PO.join_macro_index(features.select(KEY, "JobRole"), prepared, role_aliases).select(KEY, "macro_index")
+    return features.join(match, KEY).join(macro, KEY)
+
+
 def _renamed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(BASE)
 
 
 def train_and_evaluate(features: DataFrame, gbt_params: dict | None = None, num_trees: int = LN.FOREST_TREES,
-                       test_size: float = 0.2, seed: int = 42, folds: int = 5) -> dict:
-    """``metrics`` (a dict of the 33 run metrics), ``detail`` (scored test rows) and ``oof`` of the pool."""
+                       test_size: float = 0.2, seed: int = 42, folds: int = 5, tune: dict | None = None) -> dict:
+    """``metrics`` (a dict of the 33 run metrics), ``detail`` (scored test rows), ``oof`` of the pool, ``config`` (thresholds),
+    ``drivers`` (each test row's attributions by learner 1), ``importance`` (its gains by encoded slot) and ``settings``.
+
+    The boosting's settings are ``gbt_params``, or those that ``tune_gbt``, with the options ``tune``, finds best on the pool.
+    """
     raw, num, cat = LN.training_columns(features)
     parts = EV.stratified_split(raw, LN.LABEL, KEY, test_size, seed).drop("class_rank")
     pool, test = (cut_lineage(parts.where(c).drop("is_test")) for c in (~F.col("is_test"), F.col("is_test")))
+    if gbt_params is None and tune is not None:
+        best = LN.tune_gbt(pool, LN.LABEL, KEY, seed=seed, **tune).first()  # a row for each draw
+        gbt_params = LN.parse_settings(best["settings"], tune.get("space"))
     base = _renamed(LN.oof_predictions(pool, k=folds, seed=seed, gbt_params=gbt_params, num_trees=num_trees))
     base = cut_lineage(base)
     best = BL.blend_grid(base, LN.LABEL).first()
@@ -53,8 +78,9 @@ def train_and_evaluate(features: DataFrame, gbt_params: dict | None = None, num_
 
     statistics = LN.fit_statistics(pool, num, cat)
     both = pool.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
-    final = LN.fit_predict(pool, both, num, cat, gbt_params=gbt_params, num_trees=num_trees, statistics=statistics)
-    final = _renamed(final.select(KEY, LN.LABEL, "part", *BASE))
+    coded, models = LN.fit_models(pool, both, num, cat, gbt_params=gbt_params, num_trees=num_trees, statistics=statistics)
+    names = LN.encoded_feature_names(coded)
+    final = _renamed(LN._scored(coded, models).select(KEY, LN.LABEL, "part", *BASE))
     fitted = EV.meta_features(base, weights=weights).select(KEY, LN.LABEL, *META)
     scored = LN.fit_predict(fitted, EV.meta_features(final, weights=weights).select(KEY, LN.LABEL, "part", *META), META, [], ("lr",))
     scored = cut_lineage(scored.select(KEY, LN.LABEL, "part", F.col("p_lr").alias("p")))
@@ -79,7 +105,9 @@ def train_and_evaluate(features: DataFrame, gbt_params: dict | None = None, num_
         "selected_num_features": len(num), "selected_cat_features": len(cat), "selected_total_features": len(num) + len(cat),
     }
     test_rows = detail["test"].withColumn("predicted", F.when(F.col("p") >= F.col("threshold"), 1).otherwise(0))
-    return {"metrics": metrics, "detail": test_rows, "oof": meta}
+    drivers = AT.tree_contributions(coded.where("part = 'test'"), models["gbt"], names, KEY)
+    importance = AT.gain_importance(pool.sparkSession, models["gbt"], names)
+    return {"metrics": metrics, "detail": test_rows, "oof": meta, "config": config, "drivers": drivers, "importance": importance, "settings": gbt_params or dict(LN.GBT_DEFAULTS)}
 
 
 def metric_tables(spark: SparkSession, metrics: dict) -> tuple[DataFrame, DataFrame]:
@@ -90,15 +118,42 @@ def metric_tables(spark: SparkSession, metrics: dict) -> tuple[DataFrame, DataFr
     return spark.createDataFrame(core, kinds), spark.createDataFrame(full, kinds)
 
 
-def run_pipeline(spark: SparkSession, employee_path: str, out: str, prefix: str, csv: bool = False, **options) -> dict:
-    """Read ``employee_path`` (csv, json or parquet), train, evaluate and write the result tables under ``out/prefix``.
-
-    Returns the metrics, the paths written and the tables' row counts.
-    """
-    result = train_and_evaluate(training_features(TB.read_employees(spark, employee_path)), **options)
+def result_tables(spark: SparkSession, result: dict, features: DataFrame) -> dict[str, DataFrame]:
+    """The run's tables: scored test rows, high risks, summary, reasons, policy gaps, metrics and the leading features."""
     core, full = metric_tables(spark, result["metrics"])
     detail = result["detail"].select(KEY, F.round("p", 3).alias("probability"), "predicted", F.col(LN.LABEL).alias("actual"), "threshold", "segment")
-    tables = {"prediction_detail": detail, "high_risk": detail.where("predicted = 1").orderBy(F.desc("probability"), KEY), "metrics_core": core, "metrics_full": full}
+    detail = RK.risk_rank(detail, "probability", KEY)
+    tables = {
+        "prediction_detail": detail,
+        "high_risk": RK.high_risk_list(detail).orderBy("risk_rank"),
+        "result_summary": AG.result_summary(result["detail"], result["config"]),
+        "top3_drivers": detail.join(RK.top3_drivers(result["drivers"], key=KEY), KEY).orderBy("risk_rank"),
+    }
+    if "macro_index" in features.columns:
+        tables["policy_gap"] = PO.policy_gap(features)
+    top = result["importance"].orderBy(F.desc("importance"), "feature").limit(20)  # a top-k report
+    return tables | {"feature_importance_top20": top, "metrics_core": core, "metrics_full": full}
+
+
+def run_pipeline(spark: SparkSession, employee_path: str, out: str, prefix: str, policy_path: str | None = None, csv: bool = False,
+                 policy_options: dict | None = None, tune: dict | None = None, **options) -> dict:
+    """Read ``employee_path`` and ``policy_path`` (csv, json or parquet), train, evaluate and write the result tables as one run of ``prefix``.
+
+    policy_options: topics, word lists and alias groups, if not the built-in ones; tune: options of the random search (all
+    its draws and folds by default), which ``gbt_params`` replaces.  Returns the metrics, the paths written, the tables' row counts, the
+    settings used and the inputs' sizes.
+    """
+    features = training_features(TB.read_employees(spark, employee_path))
+    n_policies = 0
+    if policy_path:
+        given = policy_options or {}
+        policies = TB.read_policies(spark, policy_path)
+        prepared = PO.prepare_policies(policies, POLICY_COLUMNS, **given)
+        n_policies = prepared.count()
+        features = policy_features(features, prepared, **{k: given[k] for k in ("topics", "role_aliases", "dept_aliases") if k in given})
+    features = cut_lineage(features)
+    result = train_and_evaluate(features, tune={} if tune is None else tune, **options)
+    tables = result_tables(spark, result, features)
     paths = TB.write_results(tables, out, prefix, csv)
-    counts = {name: spark.read.parquet(f"{out.rstrip('/')}/{prefix}/{name}.parquet").count() for name in tables}
-    return {"metrics": result["metrics"], "files": paths, "rows": counts}
+    counts = {name: spark.read.parquet(next(p for p in paths if p.endswith(f"/{name}.parquet"))).count() for name in tables}
+    return {"metrics": result["metrics"], "files": paths, "rows": counts, "settings": result["settings"], "employee_rows": features.count(), "policy_rows": n_policies}

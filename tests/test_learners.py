@@ -52,3 +52,46 @@ def test_random_search(table):
     small = {"maxIter": [1, 2], "maxDepth": [2], "minInstancesPerNode": [5]}
     rows = L.tune_gbt(table, n=16, folds=2, space=small).collect()
     assert len(rows) == 2 and rows[0].auc >= rows[1].auc and set(rows[0].settings) == set(small)
+
+
+def test_key_of_another_name_is_no_feature(spark):
+    rows = [(i, int(i % 3 == 0), (i * 7 % 10) / 10, (i * 3 % 10) / 10, (i * 11 % 10) / 10) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, y int, p_a double, p_b double, p_c double")
+    _, num, cat = L.training_columns(df, "y", "id")
+    assert num == ["p_a", "p_b", "p_c"] and cat == []
+    got = L.meta_oof(df, k=3).collect()
+    assert sorted(r.id for r in got) == list(range(120)) and all(0 <= r.meta_prob <= 1 for r in got)
+    # ids that give the label away change nothing
+    other = df.withColumn("id", F.col("id") + F.col("y") * 1000)
+    folds = {r.id: r.fold for r in L.meta_oof(other, k=3).collect()}
+    assert len(folds) == 120
+
+
+def test_independent_fits_overlap(spark, table, monkeypatch):
+    import threading
+    import time
+
+    running, most, lock = [0], [0], threading.Lock()
+    fit = L.LogisticRegression.fit
+
+    def counted(self, *a, **b):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        time.sleep(0.3)
+        try:
+            return fit(self, *a, **b)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(L.LogisticRegression, "fit", counted)
+    both = [{r.EmployeeNumber: r.p_lr for r in L.oof_predictions(table, k=4, learners=("lr",), parallel=n).collect()} for n in (4, 1)]
+    assert most[0] >= 2
+    assert set(both[0]) == set(both[1]) and all(abs(both[0][i] - both[1][i]) < 1e-9 for i in both[0])
+
+
+def test_jobs_raise_their_error(spark):
+    assert L.run_jobs(spark, {i: lambda i=i: i * i for i in range(5)}) == {i: i * i for i in range(5)}
+    with pytest.raises(ZeroDivisionError):
+        L.run_jobs(spark, {i: lambda i=i: 1 // i for i in range(3)})
