@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import params as P
 from ..functions.numeric import clip, try_double
 from .numbering import global_row_number
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, group_quantile
 
 
 def resolve_first(columns: Sequence[str], candidates: Sequence[str]) -> str | None:
@@ -118,8 +118,7 @@ def rescale_probability(df: DataFrame, src: str | None, out: str = "AttritionPro
 
 def role_income_median(df: DataFrame, role: str = "JobRole", income: str = "MonthlyIncome") -> DataFrame:
     """D1 (aggregate side): exact median income per role (pandas drops NULL roles, T22)."""
-    med = exact_quantiles(df.where(F.col(role).isNotNull()).select(role, income), {income: [0.5]}, [role])
-    return med.select(role, F.col(income)[0].alias("IncomeMedianByRole"))
+    return group_quantile(df.where(F.col(role).isNotNull()), income, role, 0.5, "IncomeMedianByRole")
 
 
 def add_income_compa(df: DataFrame, role: str = "JobRole", income: str = "MonthlyIncome") -> DataFrame:

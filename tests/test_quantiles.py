@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from churnscope.operators import quantiles as Q
 
@@ -65,8 +66,22 @@ def test_without_groups_and_empty(spark):
 
 @pytest.mark.parametrize("by", [[], ["x y"]])
 def test_odd_names_and_expressions(spark, by):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([(i, "a") for i in range(5)], "`a.b` int, `x y` string").withColumn("c", F.lit("clash")).withColumn("g", F.lit(1))
     row = Q.exact_quantiles(df, {"a.b": [0.5], "twice": (F.col("`a.b`") * 2, [0.25])}, by).first()
     assert row["a.b"] == [2.0] and row["twice"] == [2.0]
+
+
+def test_lazy_group_quantile(spark):
+    rng = np.random.default_rng(6)
+    rows = [("hot", float(v)) for v in rng.normal(size=3000)] + [(f"g{i % 5}", float(i % 7)) for i in range(200)] + [(None, 2.0), (None, 5.0), ("n", None), ("m", float("nan")), ("m", -1.0)]
+    df = spark.createDataFrame(rows, "grp string, x double").withColumn("__own", F.lit(1))
+    for f in (0.0, 0.3, 0.5, 1.0):
+        got = {r.grp: r.q for r in Q.group_quantile(df, "x", "grp", f, "q").collect()}
+        want = {}
+        for g, v in rows:
+            if v is not None and v == v:
+                want.setdefault(g, []).append(v)
+        assert set(got) == set(want) and all(abs(got[g] - np.quantile(want[g], f)) < 1e-12 for g in want)
+    # a plan that doesn't read the quantile doesn't compute it
+    joined = df.join(Q.group_quantile(df, "x", "grp", 0.5, "q"), "grp", "left").select("grp", "x")
+    assert "Join" not in joined._jdf.queryExecution().optimizedPlan().toString()
