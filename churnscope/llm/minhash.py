@@ -17,7 +17,7 @@ ROWS coordinates make a band, BANDS bands are used.  Documents that share a band
    give them as rows; larger ones are compared in tasks, block by block, where a pair becomes a row only if
    the share of equal coordinates isn't more than SIGMAS standard errors below the least similarity, and only in the
    first bucket that it shares.  Full sets decide, in two rounds: first the pairs within SOON standard errors, which join most of a
-   group of near copies, then those of the others that are still in different components.
+   group of near copies; then buckets that still hold different components are compared again for the other pairs.
 
 A pair at the least similarity of 0.8 shares no band with a probability of (1 - 0.8**6)**40, about 5e-6; step 3 passes
 it over with a probability of about 1e-9 if it meets in large buckets only and nothing else joins the two.
@@ -146,14 +146,16 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(near).select("a", "b")
 
 
-def _likely(large: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, soon) of ``large`` bucket rows (key, band, node, component, m) whose sketches are similar enough."""
+def _likely(large: DataFrame, sketches: DataFrame, percent: int, within: float, beyond: float | None) -> DataFrame:
+    """Pairs (a, b) of ``large`` bucket rows (key, band, node, component, m) whose sketches are at most ``within`` standard
+    errors below the least similarity, and more than ``beyond`` if that is given."""
     blocks = F.ceil(F.col("m") / SIDE).cast("int")
     rows = large.join(sketches, "node").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(51)), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "node", "component", "coordinates", "bands")
     banded = BANDS * ROWS
-    least, likely = (SIZE * percent / 100 - n * np.sqrt(percent / 100 * (1 - percent / 100) * SIZE) for n in (SIGMAS, SOON))
+    bound = lambda n: SIZE * percent / 100 - n * np.sqrt(percent / 100 * (1 - percent / 100) * SIZE)
+    least, most = bound(within), np.inf if beyond is None else bound(beyond)
 
     def compare(key, pdf):
         _, low, high = key
@@ -172,15 +174,15 @@ def _likely(large: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
             for s in range(0, len(i), 20_000):
                 p, q = side[i[s : s + 20_000]], right[j[s : s + 20_000]]
                 same = (c[p] == c[q]).sum(1) + (more[p] == more[q]).sum(1)
-                near = same >= least
-                p, q, same = p[near], q[near], same[near]
+                near = (same >= least) & (same < most)
+                p, q = p[near], q[near]
                 own = (bands[p] == bands[q]).argmax(1) == band[0]  # the first bucket that both are in
-                p, q, same = p[own], q[own], same[own]
-                found.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q]), same >= likely], 1))
-        pairs = np.concatenate(found) if found else np.empty((0, 3), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "soon": pairs[:, 2] > 0})
+                p, q = p[own], q[own]
+                found.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], 1))
+        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long, soon boolean")
+    return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -202,31 +204,23 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = materialise(stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct(), "stars")
     joined = connected_components(_confirmed(stars, sets, percent))
 
-    placed = crowded.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-    placed = materialise(placed, "placed")
-    groups = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
-    open_rows = materialise(placed.join(groups, "key"), "open")
-    small = open_rows.filter(F.col("m") <= SMALL)
-    left = small.select("key", "component", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
-    right = small.select("key", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-    rest = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & alike(F.col("n_a"), F.col("n_b"))).select("a", "b", F.lit(True).alias("soon"))
-    rest = rest.unionByName(_likely(open_rows.filter(F.col("m") > SMALL), nodes.select("node", "coordinates", "bands"), percent))
-    rest = rest.groupBy("a", "b").agg(F.max("soon").alias("soon"))
-    rest = materialise(rest.join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
-    links = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    final = joined
-    for soon in (True, False):
-        open_pairs = rest.filter(F.col("soon") == soon)
-        if not soon:
-            for x in "ab":
-                at = final.select(F.col("id").alias(x), F.col("component").alias(f"of_{x}"))
-                open_pairs = open_pairs.join(at, x, "left").withColumn(f"of_{x}", F.coalesce(f"of_{x}", x))
-            open_pairs = materialise(open_pairs.filter("of_a <> of_b"), "open-pairs")
-            if open_pairs.isEmpty():
-                break
-        links = links.unionByName(_confirmed(open_pairs.select("a", "b"), sets, percent))
-        final = connected_components(links)
-        links = final.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    final, short = joined, nodes.select("node", "coordinates", "bands")
+    for within, beyond in ((SOON, None), (SIGMAS, SOON)):
+        placed = crowded.join(final.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+        placed = materialise(placed, "placed")
+        groups = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
+        open_rows = materialise(placed.join(groups.filter(F.col("m") > (SMALL if beyond else 0)), "key"), "open")
+        if beyond and open_rows.isEmpty():
+            break
+        rest = _likely(open_rows.filter(F.col("m") > SMALL), short, percent, within, beyond)
+        if not beyond:  # every pair of a small bucket
+            small = open_rows.filter(F.col("m") <= SMALL)
+            left = small.select("key", "component", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+            right = small.select("key", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
+            meet = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & alike(F.col("n_a"), F.col("n_b")))
+            rest = rest.unionByName(meet.select("a", "b"))
+        rest = materialise(rest.distinct().join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
+        final = connected_components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(rest, sets, percent)))
 
     named = nodes.select("print", "node", "doc_id").join(final.withColumnRenamed("id", "node"), "node", "left").select("print", "doc_id", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "named")
