@@ -131,7 +131,22 @@ def canonical_role(spark, sf):
                     T.canonical_key("part", amap).alias("role_key"))
 
 
-@q("alias_text_match")
+def _dict_sql(name: str, source: str, column: str) -> str:
+    """CTE of one row: the alias dictionary as a list of (normalised alias, canonical) in the canonical names' order."""
+    return f"""{name} AS (SELECT list({{'k': k, 'v': v}} ORDER BY v) AS l FROM (SELECT DISTINCT {_norm_sql(column)} AS k, {column} AS v FROM {source}))"""
+
+
+_DICTS_SQL = _dict_sql("ra", "nation", "n_name") + ",\n" + _dict_sql("da", "customer", "c_mktsegment")
+
+
+def _matches_sql(norm: str, d: str) -> str:
+    hit = f"CASE WHEN length(e.k) <= 2 THEN {norm} = e.k ELSE contains({norm}, e.k) END"
+    return f"list_transform(list_filter({d}.l, lambda e: e.k <> '' AND {hit}), lambda e: e.v)"
+
+
+@q("alias_text_match", f"""WITH {_DICTS_SQL},
+t AS (SELECT doc_id, {_norm_sql('text')} AS n FROM documents)
+SELECT doc_id, {_matches_sql('n', 'ra')} AS roles, {_matches_sql('n', 'da')} AS departments FROM t, ra, da""")
 def alias_text_match(spark, sf):
     ra, da = _dicts(spark, sf)
     d = FX.table(spark, sf, "documents").select("doc_id", T.normalize_identifier("text").alias("_n"))
@@ -139,24 +154,39 @@ def alias_text_match(spark, sf):
                     T.alias_matches("_n", T.alias_dictionary(da)).alias("departments"))
 
 
-def resolve_policy_columns(spark, sf):
-    cols = FX.policies(spark, sf).columns
-    found = PO.resolve_policy_columns(cols)
-    rows = [(k, v) for k, v in found.items()]
-    return spark.createDataFrame(rows, "field string, column string")
+def _field_sql(column: str, d: str) -> str:
+    """Canonical labels of a multi-value field, in order."""
+    own = f"list_filter({d}.l, lambda e: e.k = {_norm_sql('x')})[1].v"
+    return f"list_filter(list_transform({_split_sql(column)}, lambda x: COALESCE({own}, {_clean_sql('x')})), lambda y: y <> '')"
+
+
+def _distinct_sql(arr: str) -> str:
+    return f"list_filter({arr}, lambda x, i: list_position({arr}, x) = i)"
+
+
+def _keys_sql(labels: str) -> str:
+    return f"list_filter(list_transform({labels}, lambda x: {_norm_sql('x')}), lambda x: x <> '')"
+
 
+# policies with their full text and the labels that they aim at: the field's, else those found in the text
+_TARGETS_SQL = f"""{_DICTS_SQL},
+tp AS ({FX.POLICIES_SQL}),
+tf AS (SELECT *, {_clean_sql("concat_ws(' ', " + _clean_sql("title") + ", " + _clean_sql("content") + ")")} AS full_text FROM tp),
+tn AS (SELECT tf.*, {_norm_sql('full_text')} AS n, {_field_sql('roles', 'ra')} AS rf, {_field_sql('departments', 'da')} AS df FROM tf, ra, da),
+tl AS (SELECT tn.*, CASE WHEN len(rf) > 0 THEN rf ELSE {_matches_sql('n', 'ra')} END AS r0, CASE WHEN len(df) > 0 THEN df ELSE {_matches_sql('n', 'da')} END AS d0
+       FROM tn, ra, da),
+tt AS (SELECT *, {_distinct_sql('r0')} AS role_labels, {_distinct_sql('d0')} AS department_labels FROM tl),
+tk AS (SELECT *, {_keys_sql('role_labels')} AS rk, {_keys_sql('department_labels')} AS dk FROM tt)"""
 
-@q("policy_targets")
+
+@q("policy_targets", f"""WITH {_TARGETS_SQL}
+SELECT policy_id, role_labels AS target_role_labels, {_distinct_sql('rk')} AS target_role_keys, department_labels AS target_department_labels,
+       {_distinct_sql('dk')} AS target_department_keys FROM tk""")
 def policy_targets(spark, sf):
     return base_policies(spark, sf).select("policy_id", "target_role_labels", "target_role_keys",
                                            "target_department_labels", "target_department_keys")
 
 
-@q("semantic_text")
-def semantic_text(spark, sf):
-    return base_policies(spark, sf).select("policy_id", "full_text", "semantic_text")
-
-
 def _kw_count_sql(t: str, words) -> str:
     return " + ".join(f"FLOOR((length({t}) - length(replace({t}, '{w}', ''))) / {len(w)})" for w in words)
 
@@ -190,6 +220,21 @@ def topic_tags(spark, sf):
     return base_policies(spark, sf).select("policy_id", "policy_tags")
 
 
+_PIECES_SQL = ", ".join(f"CASE WHEN {_clean_sql(x)} <> '' THEN {x} END" for x in (
+    "pt", "full_text", "tags", "array_to_string(role_labels, ' ')", "array_to_string(department_labels, ' ')", "ps"))
+_SEMANTIC_SQL = f"""{_TOPIC_COUNTS_SQL},
+{_TARGETS_SQL},
+g AS (SELECT policy_id, {_topic_tags_sql()} AS tags FROM t),
+sp AS (SELECT tk.policy_id, full_text, role_labels, department_labels, tags, {_clean_sql('title')} AS pt, {_clean_sql('source')} AS ps FROM tk JOIN g USING (policy_id)),
+sj AS (SELECT policy_id, full_text, concat_ws(' ', {_PIECES_SQL}) AS j FROM sp),
+st AS (SELECT policy_id, full_text, {_clean_sql('j')} AS semantic_text FROM sj)"""
+
+
+@q("semantic_text", f"{_SEMANTIC_SQL} SELECT policy_id, full_text, semantic_text FROM st")
+def semantic_text(spark, sf):
+    return base_policies(spark, sf).select("policy_id", "full_text", "semantic_text")
+
+
 def micro(c):
     """Whole millionths, rounded down: shares such as k/128 lie on ties of decimal rounding."""
     return F.floor(c * 1e6).cast("bigint")

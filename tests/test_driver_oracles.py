@@ -54,3 +54,11 @@ def test_query_matches_oracle(spark, con, key):
     dcols = [d[0] for d in cur.description]
     assert sorted(scols) == sorted(dcols)
     assert _rows(scols, srows) == _rows(dcols, cur.fetchall())
+
+
+@pytest.mark.parametrize("key", sorted(k for k in E.registry.queries() if k not in E.oracle_sql()))
+def test_query_without_oracle_runs(spark, key):
+    """Keys that the driver checks by rows only: each runs to its end and gives rows (no policy of the fixture leaves a gap)."""
+    df = E.queries()[key](spark, SF_SMALL)
+    rows = df.collect()
+    assert df.columns and (rows or key == "policy_gap")
