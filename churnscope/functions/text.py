@@ -91,14 +91,16 @@ def alias_dictionary(groups: Mapping[str, Sequence[str]]) -> dict[str, str]:
     return out
 
 
-def _map_literal(d: Mapping[str, str]) -> Column:
+def _map_literal(d: Mapping[str, str] | Column) -> Column:
+    if isinstance(d, Column):
+        return d
     if not d:
         return F.create_map().cast("map<string,string>")
     return F.create_map(*[F.lit(x) for kv in d.items() for x in kv])
 
 
-def canonicalize(c, alias_map: Mapping[str, str]) -> Column:
-    """Canonical name through the alias dictionary; unknown names kept as is."""
+def canonicalize(c, alias_map: Mapping[str, str] | Column) -> Column:
+    """Canonical name through the alias dictionary (a mapping or a map column); unknown names kept as is."""
     t = clean_text(c)
     hit = F.try_element_at(_map_literal(alias_map), normalize_identifier(t))
     return F.when(t == "", F.lit("")).otherwise(F.coalesce(hit, t))
@@ -126,7 +128,7 @@ def alias_matches(norm_text, alias_map: Mapping[str, str]) -> Column:
     return F.array_distinct(F.transform(hits, lambda e: e["v"]))
 
 
-def field_labels(explicit, alias_map: Mapping[str, str]) -> Column:
+def field_labels(explicit, alias_map: Mapping[str, str] | Column) -> Column:
     """B21 step 1: canonical labels from the structured field (split, canonicalise, drop empty)."""
     return F.filter(F.transform(split_multi_value(explicit), lambda x: canonicalize(x, alias_map)),
                     lambda x: x != "")

@@ -2,9 +2,8 @@
 
 Spark's ``corr`` throws on a constant column under ANSI mode (trap T2), so the
 coefficient is ``covar_pop / (stddev_pop * stddev_pop)`` over pairwise
-not-null rows, NULL when a side is constant.  Every statistic of a query is
-computed in ONE aggregate over the table (one pass, partial aggregation per
-task) and then unpivoted to rows.
+not-null rows, NULL when a side is constant.  G1-G3 take all their pairs from one
+co-moment matrix (``comoments``).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
+from ..functions.numeric import with_scalars
 
 
 def _num(c: str) -> Column:
@@ -34,45 +34,63 @@ def _flag() -> Column:
     return F.when(F.col("Attrition") == "Yes", 1.0).otherwise(0.0)
 
 
+def comoments(df: DataFrame, columns: Sequence[Column], pairs: Sequence[tuple[int, int]]) -> DataFrame:
+    """(i, j, n, r): rows with both values and Pearson r (NULL if a side is constant) for the given pairs of columns.
+
+    One masked co-moment matrix: rows are grouped by which columns they hold, and a group keeps plain sums of x, x squared
+    and xy, shifted by the columns' means; a pair adds up the groups that hold both.  The groups are the table's
+    patterns of missing values.  A pair without any common row has no result row.
+    """
+    used = sorted({i for pair in pairs for i in pair})
+    x = df.select(*[columns[i].cast("double").alias(f"x{i}") for i in used])
+    means = x.agg(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)).alias(f"m{i}") for i in used])
+    held = F.array(*[F.col(f"x{i}").isNotNull() for i in used])
+    z = with_scalars(x, means).select(held.alias("held"), *[F.col(f"x{i}") for i in used],
+                                      *[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"z{i}") for i in used])
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in used:
+        aggs += [F.sum(f"z{i}").alias(f"s{i}"), F.sum(F.col(f"z{i}") * F.col(f"z{i}")).alias(f"q{i}"),
+                 F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}")]
+    aggs += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs if i != j]
+    side = lambda i, c: [F.col(f"{k}{i}").alias(f"{k}{c}") for k in ("s", "q", "lo", "hi")]
+    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(used.index(i)).alias("at_i"),
+                      F.lit(used.index(j)).alias("at_j"), F.col("n"), *side(i, "_i"), *side(j, "_j"),
+                      F.col(f"p{i}_{j}" if i != j else f"q{i}").alias("p")) for i, j in pairs]
+    rows = z.groupBy("held").agg(*aggs).select("held", F.inline(F.array(*cells)))
+    rows = rows.where(F.get("held", F.col("at_i")) & F.get("held", F.col("at_j")))
+    sums = rows.groupBy("i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("n", "s_i", "s_j", "q_i", "q_j", "p")],
+        *[f(c).alias(c) for f, k in ((F.min, "lo"), (F.max, "hi")) for c in (f"{k}_i", f"{k}_j")])
+    n = F.col("n")
+    spread = lambda c: F.sqrt(F.greatest(F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n, F.lit(0.0)))
+    r = (F.col("p") - F.col("s_i") * F.col("s_j") / n) / F.nullif(spread("_i") * spread("_j"), F.lit(0.0))
+    varied = (F.col("lo_i") < F.col("hi_i")) & (F.col("lo_j") < F.col("hi_j"))
+    return sums.select("i", "j", "n", F.when(varied, r).alias("r"))
+
+
+def _with_target(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, n, r) of each present feature that varies against the attrition flag (E24: NULL and NaN left out)."""
+    feats = [c for c in features if c in df.columns]
+    if not feats:
+        return df.sparkSession.createDataFrame([], "feature string, n long, r double")
+    found = comoments(df, [*[_num(c) for c in feats], _flag()], [(i, len(feats)) for i in range(len(feats))])
+    names = F.array(*[F.lit(c) for c in feats])
+    return found.where(F.col("r").isNotNull() & ~F.isnan("r")).select(F.get(names, F.col("i")).alias("feature"), "n", "r")
+
+
 def corr_with_target(df: DataFrame, features: Sequence[str] = P.CORR_FEATURES, top_n: int = 10) -> DataFrame:
     """G1: Pearson of each feature with the attrition flag, top-n by |r|, 3 dp.
 
-    ``nunique > 1`` is checked as ``min < max`` in the same aggregate (E24).
     NaN coefficients are dropped (R4).
     """
-    feats = [c for c in features if c in df.columns]
-    y = _flag()
-    aggs = []
-    for c in feats:
-        x = _num(c)
-        aggs += [pearson(x, y).alias(f"r_{c}"), (F.min(x) < F.max(x)).alias(f"v_{c}")]
-    if not feats:
-        return df.sparkSession.createDataFrame([], "feature string, pearson_r double")
-    stats = df.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r_{c}").alias("r"), F.col(f"v_{c}").alias("ok"))
-                      for c in feats])
-    rows = stats.select(F.inline(cells)).where(F.col("ok") & F.col("r").isNotNull())
-    return (rows.orderBy(F.desc(F.abs("r")), F.asc("feature")).limit(top_n)
+    return (_with_target(df, features).orderBy(F.desc(F.abs("r")), F.asc("feature")).limit(top_n)
             .select("feature", F.round("r", 3).alias("pearson_r")))
 
 
 def pearson_rank(df: DataFrame, top_n: int = 10, features: Sequence[str] = P.CORR_FEATURES) -> DataFrame:
     """Guarded Pearson rows with direction and strength; top_n clamped to 1..50."""
     top_n = max(1, min(50, int(top_n)))
-    feats = [c for c in features if c in df.columns]
-    y = _flag()
-    aggs = []
-    for c in feats:
-        x = _num(c)
-        raw = F.col(c)
-        aggs += [pearson(x, y).alias(f"r_{c}"),
-                 F.count_distinct(raw).alias(f"u_{c}"),
-                 F.count_if(x.isNotNull()).alias(f"n_{c}")]
-    stats = df.agg(*aggs)
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"r_{c}").alias("r"),
-                               F.col(f"u_{c}").alias("u"), F.col(f"n_{c}").alias("n")) for c in feats])
-    rows = stats.select(F.inline(cells)).where((F.col("u") > 1) & (F.col("n") >= 3) & F.col("r").isNotNull()
-                                               & ~F.isnan("r"))
+    rows = _with_target(df, features).where(F.col("n") >= 3)
     a = F.abs("r")
     strength = F.when(a < 0.10, "Very Weak").when(a < 0.30, "Weak").when(a < 0.50, "Moderate").otherwise("Strong")
     direction = F.when(F.col("r") > 0, "Positive").when(F.col("r") < 0, "Negative").otherwise("Neutral")
@@ -84,25 +102,22 @@ def pearson_rank(df: DataFrame, top_n: int = 10, features: Sequence[str] = P.COR
 def corr_matrix(df: DataFrame, columns: Sequence[str] = P.MATRIX_COLUMNS) -> DataFrame:
     """Pairwise-complete correlation matrix, NaN -> 0, 3 dp, with intensity.
 
-    The upper triangle is one aggregate; the lower triangle mirrors it and the
+    The upper triangle is one co-moment matrix; the lower triangle mirrors it and the
     diagonal is 1 for a non-constant column (pandas gives NaN -> 0 otherwise).
     """
     cols = [c for c in columns if c in df.columns]
-    aggs = []
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            aggs.append(pearson(_num(a), _num(b)).alias(f"r_{i}_{cols.index(b)}"))
-    stats = df.agg(*aggs)
-    cells = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            key = f"r_{min(i, j)}_{max(i, j)}"
-            cells.append(F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"),
-                                  F.lit(i).alias("row_ord"), F.lit(j).alias("col_ord"),
-                                  F.col(key).alias("r")))
+    k = len(cols)
+    if not k:
+        return df.sparkSession.createDataFrame([], "row_feature string, col_feature string, row_ord int, col_ord int, value double, intensity double")
+    found = comoments(df, [_num(c) for c in cols], [(i, j) for i in range(k) for j in range(i, k)])
+    # a row for each pair of columns: one map holds them
+    at = found.where("r is not null").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * k + F.col("j"), F.col("r")))).alias("at"))
+    cells = [F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"), F.lit(i).alias("row_ord"),
+                      F.lit(j).alias("col_ord"), F.try_element_at("at", F.lit(min(i, j) * k + max(i, j))).alias("r"))
+             for i, a in enumerate(cols) for j, b in enumerate(cols)]
     v = F.coalesce(F.col("r"), F.lit(0.0))
     v = F.when(F.isnan(v), 0.0).otherwise(v)
-    return stats.select(F.inline(F.array(*cells))).select(
+    return at.select(F.inline(F.array(*cells))).select(
         "row_feature", "col_feature", "row_ord", "col_ord", F.round(v, 3).alias("value"),
         (F.lit(0.12) + F.lit(0.88) * F.least(F.abs(v), F.lit(1.0))).alias("intensity"))
 
