@@ -106,11 +106,6 @@ def canonicalize(c, alias_map: Mapping[str, str] | Column) -> Column:
     return F.when(t == "", F.lit("")).otherwise(F.coalesce(hit, t))
 
 
-def canonical_key(c, alias_map: Mapping[str, str]) -> Column:
-    """Normalised canonical name (JobRoleKey / DepartmentKey)."""
-    return normalize_identifier(canonicalize(c, alias_map))
-
-
 def alias_matches(norm_text, alias_map: Mapping[str, str]) -> Column:
     """Canonical names whose alias occurs in the NORMALISED text, dictionary order.
 
@@ -134,16 +129,6 @@ def field_labels(explicit, alias_map: Mapping[str, str] | Column) -> Column:
                     lambda x: x != "")
 
 
-def target_labels(from_field, norm_text, alias_map: Mapping[str, str]) -> Column:
-    """B21 labels: structured field first, free-text alias search when it yields nothing.
-
-    ``from_field`` is the (materialised) output of ``field_labels``.
-    """
-    ff = _col(from_field)
-    labels = F.when(F.size(ff) > 0, ff).otherwise(alias_matches(norm_text, alias_map))
-    return dedupe_keep_order(labels)
-
-
 def labels_to_keys(labels) -> Column:
     """B21 keys: normalised canonical of each label, deduplicated (defect R6: one key per label)."""
     return F.array_distinct(F.filter(F.transform(_col(labels), lambda x: normalize_identifier(x)),

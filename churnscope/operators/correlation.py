@@ -43,29 +43,24 @@ def comoments(df: DataFrame, columns: Sequence[Column], pairs: Sequence[tuple[in
     """
     used = sorted({i for pair in pairs for i in pair})
     x = df.select(*[columns[i].cast("double").alias(f"x{i}") for i in used])
-    means = x.agg(*[F.coalesce(F.avg(f"x{i}"), F.lit(0.0)).alias(f"m{i}") for i in used])
-    held = F.array(*[F.col(f"x{i}").isNotNull() for i in used])
-    z = with_scalars(x, means).select(held.alias("held"), *[F.col(f"x{i}") for i in used],
-                                      *[(F.col(f"x{i}") - F.col(f"m{i}")).alias(f"z{i}") for i in used])
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for i in used:
-        aggs += [F.sum(f"z{i}").alias(f"s{i}"), F.sum(F.col(f"z{i}") * F.col(f"z{i}")).alias(f"q{i}"),
-                 F.min(f"x{i}").alias(f"lo{i}"), F.max(f"x{i}").alias(f"hi{i}")]
-    aggs += [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i, j in pairs if i != j]
-    side = lambda i, c: [F.col(f"{k}{i}").alias(f"{k}{c}") for k in ("s", "q", "lo", "hi")]
-    cells = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(used.index(i)).alias("at_i"),
-                      F.lit(used.index(j)).alias("at_j"), F.col("n"), *side(i, "_i"), *side(j, "_j"),
-                      F.col(f"p{i}_{j}" if i != j else f"q{i}").alias("p")) for i, j in pairs]
-    rows = z.groupBy("held").agg(*aggs).select("held", F.inline(F.array(*cells)))
-    rows = rows.where(F.get("held", F.col("at_i")) & F.get("held", F.col("at_j")))
-    sums = rows.groupBy("i", "j").agg(
-        *[F.sum(c).alias(c) for c in ("n", "s_i", "s_j", "q_i", "q_j", "p")],
-        *[f(c).alias(c) for f, k in ((F.min, "lo"), (F.max, "hi")) for c in (f"{k}_i", f"{k}_j")])
-    n = F.col("n")
-    spread = lambda c: F.sqrt(F.greatest(F.col(f"q{c}") - F.col(f"s{c}") * F.col(f"s{c}") / n, F.lit(0.0)))
-    r = (F.col("p") - F.col("s_i") * F.col("s_j") / n) / F.nullif(spread("_i") * spread("_j"), F.lit(0.0))
-    varied = (F.col("lo_i") < F.col("hi_i")) & (F.col("lo_j") < F.col("hi_j"))
-    return sums.select("i", "j", "n", F.when(varied, r).alias("r"))
+    means = x.selectExpr(*[f"coalesce(avg(x{i}), 0.0D) AS m{i}" for i in used])
+    every = lambda form: "array(" + ", ".join(form.format(i=i) for i in used) + ")"
+    z = with_scalars(x, means).selectExpr(every("x{i} IS NOT NULL") + " AS held", *[f"x{i}" for i in used],
+                                          *[f"x{i} - m{i} AS z{i}" for i in used])
+    products = ", ".join(f"sum(z{i} * z{j})" for i, j in pairs)
+    groups = z.groupBy("held").agg(
+        F.expr("count(1) AS n"), F.expr(every("sum(z{i})") + " AS s"), F.expr(every("sum(z{i} * z{i})") + " AS q"),
+        F.expr(every("min(x{i})") + " AS lo"), F.expr(every("max(x{i})") + " AS hi"), F.expr(f"array({products}) AS p"))
+    # a and b: where the pair's columns stand among those used
+    a, b = (", ".join(str(used.index(pair[side])) for pair in pairs) for side in (0, 1))
+    rows = groups.selectExpr("*", "posexplode(p) AS (at, xy)").selectExpr("*", f"array({a})[at] AS a", f"array({b})[at] AS b")
+    rows = rows.where("held[a] AND held[b]")
+    sums = rows.groupBy("a", "b").agg(F.expr("sum(n) AS n"), F.expr("sum(xy) AS xy"), *[
+        F.expr(f"{f}({v}[{c}]) AS {v}_{c}") for c in "ab" for f, v in (("sum", "s"), ("sum", "q"), ("min", "lo"), ("max", "hi"))])
+    spread = lambda c: f"sqrt(greatest(q_{c} - s_{c} * s_{c} / n, 0.0D))"
+    r = f"CASE WHEN lo_a < hi_a AND lo_b < hi_b THEN (xy - s_a * s_b / n) / nullif({spread('a')} * {spread('b')}, 0.0D) END"
+    names = "array(" + ", ".join(map(str, used)) + ")"
+    return sums.selectExpr(f"{names}[a] AS i", f"{names}[b] AS j", "n", f"{r} AS r")
 
 
 def _with_target(df: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -111,15 +106,13 @@ def corr_matrix(df: DataFrame, columns: Sequence[str] = P.MATRIX_COLUMNS) -> Dat
         return df.sparkSession.createDataFrame([], "row_feature string, col_feature string, row_ord int, col_ord int, value double, intensity double")
     found = comoments(df, [_num(c) for c in cols], [(i, j) for i in range(k) for j in range(i, k)])
     # a row for each pair of columns: one map holds them
-    at = found.where("r is not null").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i") * k + F.col("j"), F.col("r")))).alias("at"))
-    cells = [F.struct(F.lit(a).alias("row_feature"), F.lit(b).alias("col_feature"), F.lit(i).alias("row_ord"),
-                      F.lit(j).alias("col_ord"), F.try_element_at("at", F.lit(min(i, j) * k + max(i, j))).alias("r"))
-             for i, a in enumerate(cols) for j, b in enumerate(cols)]
-    v = F.coalesce(F.col("r"), F.lit(0.0))
-    v = F.when(F.isnan(v), 0.0).otherwise(v)
-    return at.select(F.inline(F.array(*cells))).select(
-        "row_feature", "col_feature", "row_ord", "col_ord", F.round(v, 3).alias("value"),
-        (F.lit(0.12) + F.lit(0.88) * F.least(F.abs(v), F.lit(1.0))).alias("intensity"))
+    at = found.where("r IS NOT NULL AND NOT isnan(r)").selectExpr(f"map_from_entries(collect_list(struct(i * {k} + j, r))) AS at")
+    cells = at.selectExpr("at", f"explode(sequence(0, {k * k - 1})) AS c").selectExpr("at", f"CAST(c DIV {k} AS INT) AS i", f"c % {k} AS j")
+    cells = cells.selectExpr("i", "j", f"coalesce(try_element_at(at, least(i, j) * {k} + greatest(i, j)), 0.0D) AS v")
+    names = F.array(*[F.lit(c) for c in cols])
+    return cells.select(F.get(names, F.col("i")).alias("row_feature"), F.get(names, F.col("j")).alias("col_feature"),
+                        F.col("i").alias("row_ord"), F.col("j").alias("col_ord"), F.round("v", 3).alias("value"),
+                        (F.lit(0.12) + F.lit(0.88) * F.least(F.abs("v"), F.lit(1.0))).alias("intensity"))
 
 
 def impact_feature_columns(df: DataFrame) -> dict[str, Column]:

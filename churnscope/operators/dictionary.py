@@ -11,7 +11,8 @@ Lookups are equi-joins, so Spark broadcasts a small dictionary by its size and s
 
 Rows are linked to their answers by a 64-bit hash of what was asked.  Two values with one hash would only see each
 other's candidates too, which the lookup by name and the comparison with the text leave out: results stay exact.
-Fixed dictionaries (Python mappings) stay literal maps.  Nulls and empty texts match nothing; rows are never joined by an
+Dictionaries of up to LITERAL entries, and fixed ones, are Python mappings and stay literals in the plan (``load`` decides by a
+count; results are the same).  Nulls and empty texts match nothing; rows are never joined by an
 id, so repeated rows and null ids keep their own results.
 """
 
@@ -28,6 +29,7 @@ Dictionary = Mapping[str, Sequence[str]] | DataFrame
 
 SHORT = 2  # FIXED VALUE: longer aliases may occur anywhere in a text
 WINDOWS = (3, 6, 12, 24)
+LITERAL = 1000
 _KEY, _HITS, _TEXT = "__dictionary_key", "__dictionary_hits", "__dictionary_text"
 
 
@@ -43,6 +45,16 @@ def alias_table(groups: DataFrame) -> DataFrame:
     return each.groupBy("alias").agg(F.max("place").getField("canonical").alias("canonical"), F.min("place").alias("place"))
 
 
+def load(groups: DataFrame, literal: int = LITERAL) -> Dictionary:
+    """The dictionary of rows (canonical, aliases, ord) with distinct canonical names: a mapping if it has at most
+    ``literal`` names and aliases, else a table."""
+    held = groups.where("canonical is not null")
+    names = held.agg(F.sum(1 + F.size(F.coalesce("aliases", F.array().cast("array<string>"))))).first()[0] or 0
+    if names > literal:
+        return alias_table(groups)
+    return {r.canonical: list(r.aliases or []) for r in held.orderBy("ord", "canonical").collect()}
+
+
 def _with_known(df: DataFrame, names: Column, table: DataFrame, out: str) -> DataFrame:
     """``df`` with a map ``out``: normalised name -> canonical, for those of the array ``names`` that the dictionary holds."""
     df = df.withColumn(_KEY, F.xxhash64(names))
@@ -65,9 +77,8 @@ def with_canonical_key(df: DataFrame, name: Column, dictionary: Dictionary, out:
     return with_canonical(df, name, dictionary, out).withColumn(out, T.normalize_identifier(out))
 
 
-def _windows(text: Column, sizes: Sequence[int]) -> Column:
-    found = [F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in sizes]
-    return F.array_distinct(F.flatten(F.array(*found)))
+def _windows(text: Column, size: int) -> Column:
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def with_matches(df: DataFrame, norm_text: Column, dictionary: Dictionary, out: str) -> DataFrame:
@@ -81,7 +92,7 @@ def with_matches(df: DataFrame, norm_text: Column, dictionary: Dictionary, out:
     sizes = sorted(r.size for r in entries.select(F.length("window").alias("size")).distinct().collect() if r.size > SHORT)
     df = df.withColumn(_TEXT, norm_text).withColumn(_KEY, F.xxhash64(_TEXT))
     whole = df.where(F.length(_TEXT) <= SHORT).select(_KEY, F.col(_TEXT).alias("window"))
-    parts = [df.where(F.length(_TEXT) >= w).select(_KEY, F.explode(_windows(F.col(_TEXT), [w])).alias("window")) for w in sizes]
+    parts = [df.where(F.length(_TEXT) >= w).select(_KEY, F.explode(_windows(F.col(_TEXT), w)).alias("window")) for w in sizes]
     for part in parts:
         whole = whole.unionByName(part)
     found = whole.join(entries, "window").groupBy(_KEY).agg(F.collect_set(F.struct("place", "alias", "canonical")).alias(_HITS))

@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import params as P
-from ..functions.text import (alias_dictionary, clean_text, field_labels, keyword_count, labels_to_keys,
-                              normalize_identifier, normalize_identifier_py, target_labels)
+from ..functions.text import clean_text, keyword_count, labels_to_keys, normalize_identifier, normalize_identifier_py
 from . import tfidf as TF
+from .dictionary import Dictionary, with_canonical_key, with_targets
 
 PREPARED_COLUMNS = {"full_text", "semantic_text", "topic_vector", "time_weight", "target_role_keys",
                     "target_department_keys", "policy_score", "embedding"}
@@ -89,8 +89,7 @@ def time_weight(df: DataFrame, ts: Column, half_life_days: int = P.TIME_DECAY_HA
 def policy_base(df: DataFrame, columns: Mapping[str, str] | None = None, id_col: str = "policy_id",
                 topics: Topics = P.POLICY_TOPICS, positive: Sequence[str] = P.POSITIVE_WORDS,
                 negative: Sequence[str] = P.NEGATIVE_WORDS,
-                role_aliases: Mapping[str, Sequence[str]] = P.JOB_ROLE_ALIAS_GROUPS,
-                dept_aliases: Mapping[str, Sequence[str]] = P.DEPARTMENT_ALIAS_GROUPS,
+                role_aliases: Dictionary = P.JOB_ROLE_ALIAS_GROUPS, dept_aliases: Dictionary = P.DEPARTMENT_ALIAS_GROUPS,
                 half_life_days: int = P.TIME_DECAY_HALF_LIFE_DAYS, fallback_time=None) -> DataFrame:
     """Row-level policy preparation (everything before the TF-IDF corpus statistics)."""
     cols = resolve_policy_columns(df.columns, columns)
@@ -118,18 +117,15 @@ def policy_base(df: DataFrame, columns: Mapping[str, str] | None = None, id_col:
         ts = F.lit(fallback_time).cast("timestamp")
     base = base.withColumn("publish_time", ts)
     base = base.withColumn("time_weight", time_weight(base, F.col("publish_time"), half_life_days, fallback_time))
-    ra, da = alias_dictionary(role_aliases), alias_dictionary(dept_aliases)
     role_in = clean_text(cols["role"]) if cols["role"] else F.lit("")
     dept_in = clean_text(cols["department"]) if cols["department"] else F.lit("")
     base = base.withColumns({"_role_in": role_in, "_dept_in": dept_in,
                              "_norm_full": normalize_identifier(F.col("full_text"))})
-    base = base.withColumns({"_role_ff": field_labels(F.col("_role_in"), ra),
-                             "_dept_ff": field_labels(F.col("_dept_in"), da)})
-    base = base.withColumns({"target_role_labels": target_labels("_role_ff", "_norm_full", ra),
-                             "target_department_labels": target_labels("_dept_ff", "_norm_full", da)})
+    base = with_targets(base, F.col("_role_in"), F.col("_norm_full"), role_aliases, "target_role_labels")
+    base = with_targets(base, F.col("_dept_in"), F.col("_norm_full"), dept_aliases, "target_department_labels")
     base = base.withColumns({"target_role_keys": labels_to_keys(F.col("target_role_labels")),
                              "target_department_keys": labels_to_keys(F.col("target_department_labels"))})
-    base = base.drop("_role_in", "_dept_in", "_norm_full", "_role_ff", "_dept_ff")
+    base = base.drop("_role_in", "_dept_in", "_norm_full")
     scores = topic_score_columns(F.col("full_text"), topics)
     keys = list(topics)
     base = base.withColumn("_ts", F.array(*scores))
@@ -232,14 +228,13 @@ def macro_index_by_key(macro: DataFrame) -> DataFrame:
     return macro.groupBy("JobRoleKey").agg(F.avg("macro_index").alias("macro_index"))
 
 
-def join_macro_index(employees: DataFrame, prepared: DataFrame, role_aliases=P.JOB_ROLE_ALIAS_GROUPS) -> DataFrame:
+def join_macro_index(employees: DataFrame, prepared: DataFrame, role_aliases: Dictionary = P.JOB_ROLE_ALIAS_GROUPS) -> DataFrame:
     """Employees left-joined to the role macro index on JobRoleKey; a miss gets the mean
     over macro rows; no targeted role -> global mean policy score; no policy -> 50.
 
     The key table has one row per role key; AQE broadcasts it when small.
     """
-    from ..functions.text import canonical_key
-    emp = employees.withColumn("JobRoleKey", canonical_key("JobRole", alias_dictionary(role_aliases)))
+    emp = with_canonical_key(employees, F.col("JobRole"), role_aliases, "JobRoleKey")
     macro = macro_index(prepared).persist()  # one row per (role key, role): bounded by the role dimension
     n_macro = macro.select(F.count(F.lit(1))).scalar()
     mean_macro = macro.select(F.avg("macro_index")).scalar()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import params as P
 from ..functions import text as T
+from ..operators import dictionary as D
 from ..operators import features as FE
 from ..operators import matching as MT
 from ..operators import policy as PO
@@ -125,10 +126,9 @@ c AS (SELECT policy_id, part, CASE WHEN {_clean_sql('part')} = '' THEN ''
 SELECT policy_id, part, canonical, {_norm_sql('canonical')} AS role_key FROM c""")
 def canonical_role(spark, sf):
     ra, _ = _dicts(spark, sf)
-    amap = T.alias_dictionary(ra)
     p = FX.policies(spark, sf).select("policy_id", F.explode(T.split_multi_value("roles")).alias("part"))
-    return p.select("policy_id", "part", T.canonicalize("part", amap).alias("canonical"),
-                    T.canonical_key("part", amap).alias("role_key"))
+    p = D.with_canonical(p, F.col("part"), ra, "canonical")
+    return p.withColumn("role_key", T.normalize_identifier("canonical"))
 
 
 def _dict_sql(name: str, source: str, column: str) -> str:
@@ -150,8 +150,7 @@ SELECT doc_id, {_matches_sql('n', 'ra')} AS roles, {_matches_sql('n', 'da')} AS
 def alias_text_match(spark, sf):
     ra, da = _dicts(spark, sf)
     d = FX.table(spark, sf, "documents").select("doc_id", T.normalize_identifier("text").alias("_n"))
-    return d.select("doc_id", T.alias_matches("_n", T.alias_dictionary(ra)).alias("roles"),
-                    T.alias_matches("_n", T.alias_dictionary(da)).alias("departments"))
+    return D.with_matches(D.with_matches(d, F.col("_n"), ra, "roles"), F.col("_n"), da, "departments").drop("_n")
 
 
 def _field_sql(column: str, d: str) -> str:

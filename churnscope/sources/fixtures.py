@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dictionary import Dictionary, load
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -122,20 +124,18 @@ POLICY_FIXTURE_COLUMNS = {"title": "title", "content": "content", "time": "publi
                           "role": "roles", "department": "departments", "source": "source"}
 
 
-def fixture_role_aliases(spark: SparkSession, sf_dir: str, limit: int = 10_000) -> dict[str, list[str]]:
-    """Role dictionary of the fixture: every nation name (a bounded dimension)."""
-    rows = table(spark, sf_dir, "nation").select("n_name").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("role dictionary exceeds its bound")
-    return {r[0]: [] for r in sorted(rows)}
+def _dictionary(names: DataFrame) -> Dictionary:
+    return load(names.toDF("canonical").distinct().select("canonical", F.lit(None).cast("array<string>").alias("aliases"), F.lit(0).alias("ord")))
+
+
+def fixture_role_aliases(spark: SparkSession, sf_dir: str) -> Dictionary:
+    """Role dictionary of the fixture: every nation name, in their order."""
+    return _dictionary(table(spark, sf_dir, "nation").select("n_name"))
 
 
-def fixture_department_aliases(spark: SparkSession, sf_dir: str, limit: int = 10_000) -> dict[str, list[str]]:
-    """Department dictionary of the fixture: the market-segment values (a bounded dimension)."""
-    rows = table(spark, sf_dir, "customer").select("c_mktsegment").distinct().limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError("department dictionary exceeds its bound")
-    return {r[0]: [] for r in sorted(rows)}
+def fixture_department_aliases(spark: SparkSession, sf_dir: str) -> Dictionary:
+    """Department dictionary of the fixture: the market-segment values, in their order."""
+    return _dictionary(table(spark, sf_dir, "customer").select("c_mktsegment"))
 
 
 # ---------------------------------------------------------------------------

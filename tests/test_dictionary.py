@@ -3,10 +3,15 @@
 import random
 
 import pytest
+from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
+from churnscope.functions import params as P
 from churnscope.functions import text as T
 from churnscope.operators import dictionary as D
+from churnscope.operators import matching as MT
+from churnscope.operators import policy as PO
+from churnscope.sources import fixtures as FX
 
 GROUPS = {"Research & Dev": ["R&D", "rd", "laboratory work"], "Sales": ["sales", "Vertrieb", "key account manager of the region north"],
           "研发部": ["研发"], "Human Resources": ["HR", "people team", "sales"], "Lab": ["laboratory"], "Ops": []}
@@ -68,3 +73,15 @@ def test_fifty_thousand_aliases(spark, threshold):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert {r.t: r.o for r in got} == {t: [x for x in names if x in t] for t in texts}
+
+
+def test_operators_take_tables_and_mappings(spark):
+    names = FX.table(spark, SF_SMALL, "nation").select(F.col("n_name").alias("canonical"), F.lit(None).cast("array<string>").alias("aliases"), F.lit(0).alias("ord"))
+    small, large = D.load(names), D.load(names, literal=10)
+    assert isinstance(small, dict) and not isinstance(large, dict)
+    base = lambda d: PO.policy_base(FX.policies(spark, SF_SMALL), FX.POLICY_FIXTURE_COLUMNS, role_aliases=d, dept_aliases=d)
+    wanted = ["policy_id", "target_role_labels", "target_role_keys", "target_department_labels", "target_department_keys", "semantic_text"]
+    assert _sorted(base(large).select(wanted)) == _sorted(base(small).select(wanted))
+    staff = FX.workforce(spark, SF_SMALL)
+    keys = lambda d: MT.employee_profiles(staff, P.FIXTURE_TOPICS, d, d).select("id", "JobRoleKey", "DepartmentKey")
+    assert _sorted(keys(large)) == _sorted(keys(small))
