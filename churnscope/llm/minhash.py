@@ -14,13 +14,12 @@ ROWS coordinates make a band, BANDS bands are used.  Documents that share a band
    confirmed links are joined to components.  A large group of near copies becomes one component here,
    with a number of checks linear in its size.
 3. Only pairs that share a bucket and are still in different components are then looked at.  Buckets of up to SMALL nodes
-   give them as rows; larger ones are compared in tasks, block by block, where a pair becomes a row only if
-   the share of equal coordinates isn't more than SIGMAS standard errors below the least similarity, and only in the
-   first bucket that it shares.  Full sets decide, in two rounds: first the pairs within SOON standard errors, which join most of a
-   group of near copies; then buckets that still hold different components are compared again for the other pairs.
+   give them as rows.  Larger ones are dealt out as pairs of blocks, with the full sets, and compared inside tasks: a pair counts in
+   the first bucket that it shares, and only links that join two components of the task become rows, fewer than its nodes.  A block
+   has about SIDE nodes and ELEMENTS shingles at most, so a task's memory doesn't depend on the group.
 
-A pair at the least similarity of 0.8 shares no band with a probability of (1 - 0.8**6)**40, about 5e-6; step 3 passes
-it over with a probability of about 1e-9 if it meets in large buckets only and nothing else joins the two.
+A pair at the least similarity of 0.8 shares no band with a probability of (1 - 0.8**6)**40, about 5e-6; every pair that shares one
+is decided on its full sets, unless the two are already joined.
 
 Cases: a null or empty text, or one without words, has an empty set and is linked with nothing; a text with
 fewer words than a shingle is one shingle; a row without id takes no part in links and keeps a null component; rows
@@ -40,8 +39,9 @@ from .components import connected_components
 
 WORDS = 4
 PERCENT = 80
-BANDS, ROWS, SIZE = 40, 6, 480
-SMALL, SIDE, SIGMAS, SOON = 16, 500, 6.0, 4.0
+BANDS, ROWS = 40, 6
+SIZE = BANDS * ROWS
+SMALL, SIDE, ELEMENTS = 16, 500, 2_000_000
 TOGETHER = 1000
 EMPTY = np.uint64(2**64 - 1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -103,8 +103,7 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, n_shingles, print (equal for equal sets; null for an empty one), bands, coordinates (16 bits of
-    each one in a band, 8 bits of the others)."""
+    """doc_id, n_shingles, print (equal for equal sets; null for an empty one), bands."""
 
     def run(batches):
         for pdf in batches:
@@ -112,16 +111,13 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 part = pdf.iloc[at : at + TOGETHER]
                 sets = shingle_sets(part["text"].tolist(), words)
                 full = [i for i, s in enumerate(sets) if len(s)]
-                sketch = sketches([sets[i] for i in full], SIZE)
-                banded, more = sketch[:, : BANDS * ROWS], sketch[:, BANDS * ROWS :]
-                keys = band_keys(banded, BANDS, ROWS)
-                short = np.hstack([mix64(banded).astype(np.uint16).view(np.uint8), mix64(more).astype(np.uint8)])
-                bands, prints, coordinates = ([None] * len(sets) for _ in range(3))
-                for i, k, c in zip(full, keys, short):
-                    bands[i], prints[i], coordinates[i] = k, xxhash.xxh3_128_hexdigest(sets[i].tobytes()), c.tobytes()
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("string").astype("Int64"), "n_shingles": [len(s) for s in sets], "print": prints, "bands": bands, "coordinates": coordinates})
+                keys = band_keys(sketches([sets[i] for i in full], SIZE), BANDS, ROWS)
+                bands, prints = [None] * len(sets), [None] * len(sets)
+                for i, k in zip(full, keys):
+                    bands[i], prints[i] = k, xxhash.xxh3_128_hexdigest(sets[i].tobytes())
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("string").astype("Int64"), "n_shingles": [len(s) for s in sets], "print": prints, "bands": bands})
 
-    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, print string, bands array<long>, coordinates binary")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id long, n_shingles long, print string, bands array<long>")
 
 
 def _sets(docs: DataFrame, words: int) -> DataFrame:
@@ -146,41 +142,41 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").filter(near).select("a", "b")
 
 
-def _likely(large: DataFrame, sketches: DataFrame, percent: int, within: float, beyond: float | None) -> DataFrame:
-    """Pairs (a, b) of ``large`` bucket rows (key, band, node, component, m) whose sketches are at most ``within`` standard
-    errors below the least similarity, and more than ``beyond`` if that is given."""
-    blocks = F.ceil(F.col("m") / SIDE).cast("int")
-    rows = large.join(sketches, "node").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(51)), blocks).cast("int")})
+def _joining(large: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join the components of ``large`` bucket rows (key, band, node, n_shingles, component, m, elements);
+    ``nodes`` has the bands and the set of each node."""
+    blocks = F.ceil(F.greatest(F.col("m") / SIDE, F.col("elements") / ELEMENTS)).cast("int")
+    rows = large.join(nodes, "node").withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("node", F.lit(51)), blocks).cast("int")})
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "node", "component", "coordinates", "bands")
-    banded = BANDS * ROWS
-    bound = lambda n: SIZE * percent / 100 - n * np.sqrt(percent / 100 * (1 - percent / 100) * SIZE)
-    least, most = bound(within), np.inf if beyond is None else bound(beyond)
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "band", "node", "component", "bands", "set")
 
     def compare(key, pdf):
         _, low, high = key
-        both = np.frombuffer(b"".join(pdf["coordinates"]), np.uint8).reshape(len(pdf), -1)
-        c, more = np.ascontiguousarray(both[:, : 2 * banded]).view(np.uint16), both[:, 2 * banded :]
-        node, component, block, band = (pdf[x].to_numpy() for x in ("node", "component", "block", "band"))
+        node, block, band = (pdf[x].to_numpy() for x in ("node", "block", "band"))
         bands = np.stack(pdf["bands"].to_numpy())
+        sizes = pdf["set"].str.len().to_numpy().astype(np.int64)
+        ends = np.cumsum(sizes)
+        known, word = np.unique(np.concatenate(pdf["set"].to_numpy()), return_inverse=True)
+        words = np.split(word, ends[:-1])
+        own = np.unique(pdf["component"].to_numpy(), return_inverse=True)[1]
         left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        found = []
-        for at in range(0, len(left), 64):
-            side = left[at : at + 64]
-            may = component[side][:, None] != component[right][None, :]
+        mark, links = np.zeros(len(known), bool), []
+        for i in left:
+            may = (own[right] != own[i]) & (100 * np.minimum(sizes[right], sizes[i]) >= percent * np.maximum(sizes[right], sizes[i]))
             if low == high:
-                may &= node[side][:, None] < node[right][None, :]
-            i, j = np.nonzero(may)
-            for s in range(0, len(i), 20_000):
-                p, q = side[i[s : s + 20_000]], right[j[s : s + 20_000]]
-                same = (c[p] == c[q]).sum(1) + (more[p] == more[q]).sum(1)
-                near = (same >= least) & (same < most)
-                p, q = p[near], q[near]
-                own = (bands[p] == bands[q]).argmax(1) == band[0]  # the first bucket that both are in
-                p, q = p[own], q[own]
-                found.append(np.stack([np.minimum(node[p], node[q]), np.maximum(node[p], node[q])], 1))
-        pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                may &= node[right] > node[i]
+            js = right[may]
+            js = js[(bands[js] == bands[i]).argmax(1) == band[0]]  # the first bucket that both are in
+            if not len(js):
+                continue
+            mark[words[i]] = True
+            both = np.add.reduceat(mark[np.concatenate([words[j] for j in js])], np.cumsum(sizes[js]) - sizes[js], dtype=np.int64)
+            mark[words[i]] = False
+            for j in js[100 * both >= percent * (sizes[i] + sizes[js] - both)]:
+                if own[i] != own[j]:
+                    links.append((node[i], node[j]))
+                    own[own == own[j]] = own[i]
+        return pd.DataFrame(np.array(links, np.int64).reshape(-1, 2), columns=["a", "b"])
 
     return rows.groupBy("key", "low", "high").applyInPandas(compare, "a long, b long")
 
@@ -190,7 +186,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = materialise(_sketched(docs, words), "sketched")
     linked = all_rows.filter("doc_id is not null and print is not null")
-    nodes = linked.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("coordinates").alias("coordinates"))
+    nodes = linked.groupBy("print", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = materialise(nodes.withColumn("node", F.xxhash64("print")), "nodes")
     members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = members.groupBy("key").agg(F.min(F.struct("node", "n_shingles")).alias("centre"), F.count("*").alias("n")).filter("n > 1").select("key", "centre")
@@ -204,23 +200,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     stars = materialise(stars.select(F.col("node").alias("a"), F.col("centre.node").alias("b")).distinct(), "stars")
     joined = connected_components(_confirmed(stars, sets, percent))
 
-    final, short = joined, nodes.select("node", "coordinates", "bands")
-    for within, beyond in ((SOON, None), (SIGMAS, SOON)):
-        placed = crowded.join(final.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
-        placed = materialise(placed, "placed")
-        groups = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m")).filter("low < high").select("key", "m")
-        open_rows = materialise(placed.join(groups.filter(F.col("m") > (SMALL if beyond else 0)), "key"), "open")
-        if beyond and open_rows.isEmpty():
-            break
-        rest = _likely(open_rows.filter(F.col("m") > SMALL), short, percent, within, beyond)
-        if not beyond:  # every pair of a small bucket
-            small = open_rows.filter(F.col("m") <= SMALL)
-            left = small.select("key", "component", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
-            right = small.select("key", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
-            meet = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & alike(F.col("n_a"), F.col("n_b")))
-            rest = rest.unionByName(meet.select("a", "b"))
-        rest = materialise(rest.distinct().join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti"), "rest")
-        final = connected_components(final.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(_confirmed(rest, sets, percent)))
+    placed = crowded.join(joined.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "band", "node", "n_shingles", F.coalesce("component", "node").alias("component"))
+    placed = materialise(placed, "placed")
+    groups = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("m"), F.sum("n_shingles").alias("elements"))
+    open_rows = materialise(placed.join(groups.filter("low < high").select("key", "m", "elements"), "key"), "open")
+    # every pair of a small bucket
+    small = open_rows.filter(F.col("m") <= SMALL)
+    left = small.select("key", "component", F.col("node").alias("a"), F.col("n_shingles").alias("n_a"))
+    right = small.select("key", F.col("component").alias("other"), F.col("node").alias("b"), F.col("n_shingles").alias("n_b"))
+    meet = left.join(right, "key").filter((F.col("a") < F.col("b")) & (F.col("component") != F.col("other")) & alike(F.col("n_a"), F.col("n_b")))
+    rest = meet.select("a", "b").distinct().join(stars.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+    links = _confirmed(materialise(rest, "rest"), sets, percent)
+    links = links.unionByName(_joining(open_rows.filter(F.col("m") > SMALL), nodes.select("node", "bands").join(sets, "node"), percent))
+    final = connected_components(joined.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links))
 
     named = nodes.select("print", "node", "doc_id").join(final.withColumnRenamed("id", "node"), "node", "left").select("print", "doc_id", F.coalesce("component", "node").alias("component"))
     named = materialise(named, "named")

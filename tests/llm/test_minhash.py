@@ -105,3 +105,25 @@ def test_components(spark):
     got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == want
     assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_group_just_below_the_similarity_gives_few_rows(spark, monkeypatch):
+    """Texts that mostly meet in the same buckets without being similar enough: only joining links leave the tasks."""
+    monkeypatch.setattr(M, "SIDE", 20)
+    made = []
+    keep = M._joining
+    monkeypatch.setattr(M, "_joining", lambda *a: made.append(keep(*a)) or made[-1])
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = [(k, t) for k, t in enumerate(near_copies(rng, base, 150, 14))]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows, 4, 80)
+    assert made[0].distinct().count() < 150 * 149 / 20
+
+
+def test_blocks_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(M, "SMALL", 3)
+    monkeypatch.setattr(M, "ELEMENTS", 500)
+    rows = make(np.random.default_rng(9))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in M.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows, 4, 80)
