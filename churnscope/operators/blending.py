@@ -1,20 +1,24 @@
 """Search for blend weights (L13): every weight triple scored by AUC and its own best threshold.
 
-The weight table (231 triples, then 25 at most) meets the predictions once; equal blended values are summed up by
-weight, with partial sums, before anything is ranked.  Cumulated counts come from two levels, ranges of the value per
-weight (a bounded table) and a window inside each range, so no task holds a weight's values.  The table of counts is
-written once per stage and read for the AUC, the prevalence quantile and both threshold sweeps.
+Equal predictions are summed up once, and that table is read a few times.  A pass blends each of its rows with all weights (231
+triples, then 25 at most) and counts by weight and range of the blended value, with partial sums, so that what is written is
+bounded by the weights and ranges, not by the predictions.  The ranges are cut at the fixed thresholds, so their counts give the
+coarse sweep; a second pass counts the fine thresholds of each weight.  Values are ranked in two cases only: in the ranges that hold a
+weight's prevalence quantile, and for weights whose score can still be the best.  For that, the ranges bound each weight's AUC from
+both sides (pairs inside a range count as none or all), and weights are ranked in batches, highest bound first, until no bound
+reaches the best score.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import with_scalars
 from ..session import cut_lineage
 from .evaluation import COARSE_GRID, FIXED_EXTRA, TIE, metrics_from_counts, np_arange
 
@@ -24,7 +28,7 @@ LEAST_DOMINANT = 0.35
 SCORE = {"auc": 0.30, "f1": 0.38, "recall": 0.20, "acc": 0.07, "precision": 0.05}
 RATE_GAP = 0.07
 PENALTIES = ((0.05, 0.35), (0.04, 0.45), (0.04, 0.20))  # first weight above, second below, third above
-RANGES = 256
+RANGES, BATCH = 1024, 16
 
 
 def weight_grid(step: float, centre: tuple[float, float] | None = None) -> list[tuple[float, float, float]]:
@@ -37,33 +41,54 @@ def weight_grid(step: float, centre: tuple[float, float] | None = None) -> list[
     return [t for t in triples if 0 <= t[2] <= 1 and max(t) >= LEAST_DOMINANT]
 
 
-def _counts(df: DataFrame, y: str, probs: Sequence[str], grid: Sequence[tuple[float, float, float]]) -> DataFrame:
-    """(w, b, pos, neg, above): each weight's distinct blended values with their classes, and the positives above."""
-    p = [F.col(c).cast("double") for c in probs]
-    blends = F.array(*[F.struct(F.lit(i).alias("w"), (p[0] * a + p[1] * b + p[2] * c).alias("b")) for i, (a, b, c) in enumerate(grid)])
-    g = df.select(F.inline(blends), (F.col(y) == 1).alias("hit")).groupBy("w", "b").agg(F.count_if("hit").alias("pos"), F.count_if(~F.col("hit")).alias("neg"))
-    g = g.withColumn("r", F.floor(F.col("b") * RANGES))
-    sums = g.groupBy("w", "r").agg(F.sum("pos").alias("rp"), F.sum("neg").alias("rn"))
-    up = Window.partitionBy("w").orderBy(F.desc("r")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("w", "r", F.coalesce(F.sum("rp").over(up), F.lit(0)).alias("up"), F.coalesce(F.sum("rn").over(up), F.lit(0)).alias("un"))
-    inner = Window.partitionBy("w", "r").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
-    at = lambda c, u: (F.col(u) + F.coalesce(F.sum(c).over(inner), F.lit(0)))
-    # at most RANGES + 1 rows for each of the weights
-    g = g.join(F.broadcast(sums), ["w", "r"]).withColumns({"above": at("pos", "up"), "over": at("pos", "up") + at("neg", "un")})
-    return cut_lineage(g.select("w", "b", "pos", "neg", "above", "over"))
-
-
-def _sweep(g: DataFrame, thresholds: Sequence[Column], totals: DataFrame) -> DataFrame:
-    """(w, t, stage-free metrics, score) for every weight and its thresholds (null ones left out)."""
-    aggs = []
-    for k, t in enumerate(thresholds):
-        aggs += [F.sum(F.when(F.col("b") >= t, F.col("pos")).otherwise(0)).alias(f"tp{k}"),
-                 F.sum(F.when(F.col("b") >= t, F.col("pos") + F.col("neg")).otherwise(0)).alias(f"pp{k}"), F.first(t).alias(f"t{k}")]
-    rows = F.array(*[F.struct(F.col(f"t{k}").alias("t"), F.col(f"tp{k}").alias("tp"), F.col(f"pp{k}").alias("pp")) for k in range(len(thresholds))])
-    c = with_scalars(g.groupBy("w").agg(*aggs).select("w", F.inline(rows)).where("t is not null"), totals)
-    c = c.withColumns(metrics_from_counts(F.col("tp"), F.col("pp"), F.col("P"), F.col("n")))
-    return c.withColumn("s", 0.56 * F.col("f1") + 0.22 * F.col("recall") + 0.12 * F.col("acc") + 0.10 * F.col("precision")
-                        - 0.10 * F.abs(F.col("pred_positive_rate") - F.col("target")) - 0.04 * F.greatest(F.col("t") - 0.62, F.lit(0.0)))
+def _collapsed(df: DataFrame, y: str, probs: Sequence[str]) -> DataFrame:
+    """(p0, p1, p2, pos, neg, n): the distinct predictions with their classes."""
+    hit = F.col(y) == 1
+    keys = [F.col(c).cast("double").alias(f"p{i}") for i, c in enumerate(probs)]
+    return cut_lineage(df.groupBy(*keys).agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"), F.count(F.lit(1)).alias("n")))
+
+
+def _blends(rows: DataFrame, grid: Sequence[tuple[float, float, float]], only: Sequence[int] | None = None) -> DataFrame:
+    """(w, b, pos, neg, r, step): each row with all weights (or those of the numbers ``only``), its range and the number of fixed thresholds reached."""
+    numbers = range(len(grid)) if only is None else only
+    every = F.array(*[F.struct(F.lit(i).alias("w"), *[F.lit(x).alias(f"g{k}") for k, x in enumerate(grid[i])]) for i in numbers])  # one literal
+    b = F.col("p0") * F.col("g0") + F.col("p1") * F.col("g1") + F.col("p2") * F.col("g2")
+    g = rows.select("p0", "p1", "p2", "pos", "neg", F.inline(every)).select("w", b.alias("b"), "pos", "neg").where("b is not null")
+    return g.withColumns({"r": F.floor(F.col("b") * RANGES), "step": _reached([F.lit(t) for t in _fixed()])})
+
+
+def _fixed() -> list[float]:
+    return sorted([*np_arange(*COARSE_GRID), *FIXED_EXTRA])
+
+
+def _reached(thresholds: Sequence[Column]) -> Column:
+    """How many of the ascending thresholds ``b`` reaches; null ones are never reached."""
+    return reduce(add, [F.when(F.col("b") >= t, 1).otherwise(0) for t in thresholds])
+
+
+def _values(blends: DataFrame, cells: DataFrame) -> DataFrame:
+    """(w, b, pos, neg, above, over): the distinct values in ``cells`` (few: they are broadcast), the positives above each and all above."""
+    g = blends.join(F.broadcast(cells.select("w", "r", "step", "up", "un")), ["w", "r", "step"])
+    g = g.groupBy("w", "r", "step", "b").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.first("up").alias("up"), F.first("un").alias("un"))
+    inner = Window.partitionBy("w", "r", "step").orderBy(F.desc("b")).rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda c, u: F.col(u) + F.coalesce(F.sum(c).over(inner), F.lit(0))
+    return g.select("w", "b", "pos", "neg", at("pos", "up").alias("above"), (at("pos", "up") + at("neg", "un")).alias("over"))
+
+
+def _sweep(counts: DataFrame, thresholds: Sequence[Column]) -> DataFrame:
+    """(w, t, tp, pp): counts at each weight's ascending thresholds, from rows (w, step, pos, neg) by number of thresholds reached."""
+    at = lambda c, k: F.sum(F.when(F.col("step") > k, c).otherwise(0))
+    rows = counts.groupBy("w").agg(*[a for k, t in enumerate(thresholds) for a in (
+        at(F.col("pos"), k).alias(f"tp{k}"), at(F.col("pos") + F.col("neg"), k).alias(f"pp{k}"), F.first(t).alias(f"t{k}"))])
+    each = F.array(*[F.struct(F.col(f"t{k}").alias("t"), F.col(f"tp{k}").alias("tp"), F.col(f"pp{k}").alias("pp")) for k in range(len(thresholds))])
+    return rows.select("w", F.inline(each))
+
+
+def _rated(c: DataFrame, whole: dict, stage: int) -> DataFrame:
+    """The metrics and the threshold's score of rows (w, t, tp, pp); null thresholds are left out."""
+    c = c.where("t is not null").withColumns(metrics_from_counts(F.col("tp"), F.col("pp"), F.lit(whole["P"]), F.lit(whole["n"])))
+    return c.withColumns({"stage": F.lit(stage), "s": 0.56 * F.col("f1") + 0.22 * F.col("recall") + 0.12 * F.col("acc") + 0.10 * F.col("precision")
+                          - 0.10 * F.abs(F.col("pred_positive_rate") - whole["target"]) - 0.04 * F.greatest(F.col("t") - 0.62, F.lit(0.0))})
 
 
 def _best_threshold(c: DataFrame) -> DataFrame:
@@ -75,36 +100,66 @@ def _best_threshold(c: DataFrame) -> DataFrame:
     return c.withColumn("top", F.row_number().over(first)).where("top = 1").drop("top")
 
 
-def _scored(df: DataFrame, y: str, probs: Sequence[str], grid: Sequence[tuple[float, float, float]], stage: int) -> DataFrame:
-    """One row for each weight: its threshold, metrics and composite score."""
-    g = _counts(df, y, probs, grid)
-    totals = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(y) == 1).alias("P"))
-    totals = totals.withColumn("target", F.least(F.greatest(F.col("P") / F.col("n") * 1.10, F.lit(0.12)), F.lit(0.30)))
-    whole = with_scalars(g, totals)
-    h = (1.0 - F.col("target")) * (F.col("n") - 1)
-    below = F.col("n") - F.col("over") - F.col("pos") - F.col("neg")  # values ranked under b
-    holds = lambda i: F.max(F.when((below <= i) & (i < below + F.col("pos") + F.col("neg")), F.col("b")))
-    per = whole.groupBy("w").agg(
-        F.sum(F.col("neg") * (F.col("above") + 0.5 * F.col("pos"))).alias("u"), holds(F.floor(h)).alias("x0"), holds(F.ceil(h)).alias("x1"),
-        F.first(h - F.floor(h)).alias("part"), F.first("P").alias("P"), F.first("n").alias("n"))
-    per = per.select("w", F.when((F.col("P") > 0) & (F.col("n") > F.col("P")), F.col("u") / (F.col("P").cast("double") * (F.col("n") - F.col("P")))).alias("auc"),
-                     (F.col("x0") + F.col("part") * (F.col("x1") - F.col("x0"))).alias("prev"))
-    small = cut_lineage(per)  # a row for each weight
-    coarse = [F.lit(t) for t in np_arange(*COARSE_GRID)] + [F.col("prev")] + [F.lit(t) for t in FIXED_EXTRA]
-    one = _best_threshold(_sweep(g.join(F.broadcast(small), "w"), coarse, totals).withColumn("stage", F.lit(0)))
-    one = cut_lineage(one)
+def _score(auc: Column, whole: dict) -> Column:
+    """The composite score of a weight with the given AUC; it never falls when the AUC rises."""
+    (ca, la), (cb, lb), (cc, lc) = PENALTIES
+    zero = F.lit(0.0)
+    penalty = ca * F.greatest(F.col("w_a") - la, zero) + cc * F.greatest(F.col("w_c") - lc, zero) + cb * F.greatest(lb - F.col("w_b"), zero)
+    parts = (auc if k == "auc" else F.col(k) for k in SCORE)
+    return sum((part * v for part, v in zip(parts, SCORE.values())), zero) - RATE_GAP * F.abs(F.col("pred_positive_rate") - F.lit(whole["P"]) / F.lit(whole["n"])) - penalty
+
+
+def _quantile(blends: DataFrame, cells: DataFrame, whole: dict) -> DataFrame:
+    """(w, t, tp, pp): each weight's quantile at 1 - target, between two ranks, and the counts at it."""
+    h = (1.0 - whole["target"]) * (whole["n"] - 1)
+    first, second = F.floor(F.lit(h)), F.ceil(F.lit(h))
+
+    def holds(i: Column, above: str) -> Column:
+        below = F.lit(whole["n"]) - F.col(above) - F.col("pos") - F.col("neg")
+        return (below <= i) & (i < below + F.col("pos") + F.col("neg"))
+
+    marked = cells.withColumn("over", F.col("up") + F.col("un")).where(holds(first, "over") | holds(second, "over"))  # two a weight at most
+    at = lambda i, c: F.max(F.when(holds(i, "over"), c))
+    tp, pp = F.col("above") + F.col("pos"), F.col("over") + F.col("pos") + F.col("neg")
+    per = _values(blends, marked).groupBy("w").agg(*[at(i, c).alias(f"{name}{k}") for k, i in enumerate((first, second)) for name, c in (("x", F.col("b")), ("tp", tp), ("pp", pp))])
+    per = per.withColumn("t", F.col("x0") + (F.lit(h) - first) * (F.col("x1") - F.col("x0")))
+    # no value lies between the two ranks
+    return per.select("w", "t", *[F.when(F.col("t") <= F.col("x0"), F.col(f"{c}0")).otherwise(F.col(f"{c}1")).alias(c) for c in ("tp", "pp")])
+
+
+def _scored(rows: DataFrame, whole: dict, grid: Sequence[tuple[float, float, float]], stage: int, best: float = -math.inf) -> DataFrame:
+    """One row for each weight that can be the first or within TIE of it, ``best`` being a score reached before: its threshold, metrics and score."""
+    blends = _blends(rows, grid)
+    up = Window.partitionBy("w").orderBy(F.desc("r"), F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    cells = blends.groupBy("w", "r", "step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    cells = cut_lineage(cells.withColumns({"up": F.coalesce(F.sum("pos").over(up), F.lit(0)), "un": F.coalesce(F.sum("neg").over(up), F.lit(0))}))
+    coarse = _sweep(cells, [F.lit(t) for t in _fixed()]).unionByName(_quantile(blends, cells, whole))
+    one = cut_lineage(_best_threshold(_rated(coarse, whole, 0)))
     start, stop = F.greatest(F.col("t") - 0.05, F.lit(0.10)), F.least(F.col("t") + 0.05, F.lit(0.75)) + 0.0001
     near = one.select("w", start.alias("fs"), F.ceil((stop - start) / 0.005).alias("steps"))
     fine = [F.when(F.lit(i) < F.col("steps"), F.col("fs") + i * ((F.col("fs") + 0.005) - F.col("fs"))) for i in range(21)]
-    two = _sweep(g.join(F.broadcast(near), "w"), fine, totals).withColumn("stage", F.lit(1))
-    best = _best_threshold(one.unionByName(two)).join(F.broadcast(small), "w")
-    spark = df.sparkSession
+    counts = blends.drop("step").join(F.broadcast(near), "w").groupBy("w", "fs", "steps", _reached(fine).alias("step")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    two = _rated(_sweep(counts, fine), whole, 1)
+    pairs = F.lit(float(whole["P"])) * F.lit(whole["n"] - whole["P"])
+    auc = lambda u: u / pairs
+    bounds = cells.groupBy("w").agg(F.sum(F.col("neg") * F.col("up").cast("double")).alias("least"), F.sum(F.col("neg") * (F.col("up") + F.col("pos")).cast("double")).alias("most"))
+    spark = rows.sparkSession
     names = spark.createDataFrame([(i, *t, stage * 1000 + i) for i, t in enumerate(grid)], "w int, w_a double, w_b double, w_c double, ord int")
-    (ca, la), (cb, lb), (cc, lc) = PENALTIES
-    zero = F.lit(0.0)
-    penalty = ca * F.greatest(F.col("w_a") - la, zero) + cc * F.greatest(F.col("w_c") - lc, zero) + cb * F.greatest(lb - F.col("w_b"), zero)
-    score = (sum((F.col(k) * v for k, v in SCORE.items()), zero) - RATE_GAP * F.abs(F.col("pred_positive_rate") - F.col("P") / F.col("n")) - penalty)
-    return best.join(F.broadcast(names), "w").select("ord", "w_a", "w_b", "w_c", F.col("t").alias("threshold"), "auc", "acc", "precision", "recall", "f1", "pred_positive_rate", score.alias("score"))
+    # a row for each weight
+    each = cut_lineage(_best_threshold(one.unionByName(two)).join(F.broadcast(bounds), "w").join(F.broadcast(names), "w"))
+    left = [(r.most, r.least, r.w) for r in each.select("w", _score(auc(F.col("least")), whole).alias("least"), _score(auc(F.col("most")), whole).alias("most")).collect()]
+    left.sort(reverse=True)
+    best = max([best, *(least for _, least, _ in left)])
+    exact = []
+    while left and left[0][0] >= best - TIE:
+        batch, left = [w for most, _, w in left[:BATCH] if most >= best - TIE], left[BATCH:]
+        ranked = _values(_blends(rows, grid, batch), cells.where(F.col("w").isin(batch)))
+        u = ranked.groupBy("w").agg(F.sum(F.col("neg") * (F.col("above") + 0.5 * F.col("pos"))).alias("u"))
+        got = each.join(F.broadcast(u.select("w", auc(F.col("u")).alias("auc"))), "w").withColumn("score", _score(F.col("auc"), whole)).select("w", "auc", "score").collect()
+        exact += [(r.w, r.auc) for r in got]
+        best = max([best, *(r.score for r in got)])
+    known = spark.createDataFrame(exact, "w int, auc double")
+    return each.join(F.broadcast(known), "w").withColumn("score", _score(F.col("auc"), whole)).select("ord", "w_a", "w_b", "w_c", F.col("t").alias("threshold"), "auc", "acc", "precision", "recall", "f1", "pred_positive_rate", "score")
 
 
 def _first_best(c: DataFrame) -> DataFrame:
@@ -116,11 +171,17 @@ def blend_grid(df: DataFrame, y: str = "y", probs: Sequence[str] = ("p_a", "p_b"
     """The best weights, their threshold, metrics and score: one row.
 
     The whole grid in steps of STEPS[0], then the neighbourhood of its best weights in steps of STEPS[1].  The first
-    stage's one row comes to the driver to set the second grid.
+    stage's one row comes to the driver to set the second grid.  Without both classes there is no row; a null prediction
+    counts in the totals only.
     """
-    first = cut_lineage(_first_best(_scored(df, y, probs, weight_grid(STEPS[0]), 0)))
+    rows = _collapsed(df, y, probs)
+    totals = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("pos"), F.lit(0)).alias("P"))
+    whole = totals.withColumn("target", F.least(F.greatest(F.col("P") / F.nullif("n", F.lit(0)) * 1.10, F.lit(0.12)), F.lit(0.30))).first().asDict()
+    if not 0 < whole["P"] < whole["n"]:
+        return df.sparkSession.createDataFrame([], ", ".join(f"{c} double" for c in ("w_a", "w_b", "w_c", "threshold", "auc", "acc", "precision", "recall", "f1", "pred_positive_rate", "score")))
+    first = cut_lineage(_first_best(_scored(rows, whole, weight_grid(STEPS[0]), 0)))
     row = first.first()
     if row is None:
         return first.drop("ord")
-    second = _scored(df, y, probs, weight_grid(STEPS[1], (row["w_a"], row["w_b"])), 1)
+    second = _scored(rows, whole, weight_grid(STEPS[1], (row["w_a"], row["w_b"])), 1, row["score"])
     return _first_best(first.unionByName(second)).drop("ord")

@@ -41,3 +41,22 @@ def test_blend_grid_equals_plain_scan(spark, monkeypatch):
     best = int(np.argmax(every))
     assert got.score == pytest.approx(every[best], abs=1e-9)
     assert (got.w_a, got.w_b, got.w_c) == pytest.approx(grid[best])
+
+
+@pytest.mark.parametrize("ranges, batch", [(4, 1), (64, 3)])
+def test_blend_grid_with_wide_ranges_and_small_batches(spark, monkeypatch, ranges, batch):
+    """Bounds and batches leave out no weight, whatever their width."""
+    monkeypatch.setattr(B, "STEPS", (0.25, 0.1))
+    rnd = random.Random(11)
+    rows = [(int(rnd.random() < 0.3), *(round(rnd.random() ** 2, 2) for _ in range(3))) for _ in range(200)]
+    df = spark.createDataFrame(rows * 2, "y int, p_a double, p_b double, p_c double")
+    want = B.blend_grid(df).first()
+    monkeypatch.setattr(B, "RANGES", ranges)
+    monkeypatch.setattr(B, "BATCH", batch)
+    assert B.blend_grid(df).first() == want
+
+
+def test_blend_grid_without_both_classes(spark):
+    schema = "y int, p_a double, p_b double, p_c double"
+    assert B.blend_grid(spark.createDataFrame([(1, 0.2, 0.4, 0.9)], schema)).collect() == []
+    assert B.blend_grid(spark.createDataFrame([], schema)).collect() == []
