@@ -1,5 +1,6 @@
 """The n-gram vocabulary against plain counting."""
 
+import math
 from collections import Counter
 
 from churnscope.operators import tfidf as T
@@ -17,3 +18,52 @@ def test_vocabulary_equals_plain_counting(spark):
     want = sorted(tf, key=lambda t: (-tf[t], t.encode()))[:40]
     got = T.vocabulary(counts, 40).orderBy("rank").collect()
     assert [(r.term, r.tf, r.df, r["rank"]) for r in got] == [(t, tf[t], df[t], k) for k, t in enumerate(want, 1)]
+
+
+def _rows(spark):
+    """Repeated and null ids, a null text, characters beyond 16 bits, a literal question mark."""
+    rows = [(1, "Banana bandana", 1), (1, "banana", 1), (2, "a😀b ?b 😀", 1), (None, "an", 1), (None, "anan", 1), (3, None, 1), (4, "", 1), (5, "x", 1),
+            (6, "日本語日本" * 40, 3)]
+    return spark.createDataFrame(rows, "id long, text string, mult int")
+
+
+def test_totals_equal_counts_by_id(spark):
+    texts = _rows(spark)
+    want = T.vocabulary(T.ngram_counts(texts, "id", "text", "mult"), 10**6).collect()
+    assert T.vocabulary(T.term_totals(texts, "id", "text", "mult"), 10**6).collect() == want and len(want) > 50
+
+
+def test_totals_are_handed_on_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(T, "TOGETHER", 5)
+    monkeypatch.setattr(T, "HELD", 10)
+    texts = _rows(spark).coalesce(1)
+    want = T.vocabulary(T.ngram_counts(texts, "id", "text"), 10**6).collect()
+    assert T.vocabulary(T.term_totals(texts, "id", "text"), 10**6).collect() == want
+
+
+def test_vectors_hold_the_vocabulary_only(spark):
+    texts = _rows(spark)
+    vocab = T.held(T.vocabulary(T.term_totals(texts, "id", "text"), 30))
+    counts = T.ngram_counts(texts, "id", "text").join(vocab, "term").select("id", "rank", "cnt").collect()
+    got = T.term_vectors(texts, vocab, "id", "text")
+    assert sorted(((r.id, x.rank, x.cnt) for r in got.collect() for x in r.v), key=repr) == sorted(map(tuple, counts), key=repr)
+    df = {r.term: r.df for r in vocab.collect()}
+    raw = {}
+    for r in T.ngram_counts(texts, "id", "text").collect():
+        if r.term in df:
+            raw.setdefault(r.id, {})[r.term] = r.cnt * (math.log(7 / (1 + df[r.term])) + 1)
+    for r in T.tfidf_vectors(got, vocab, 6).collect():
+        norm = math.sqrt(sum(w * w for w in raw.get(r.id, {}).values()))
+        assert {x.term: round(x.w, 12) for x in r.v} == {t: round(w / norm, 12) for t, w in raw.get(r.id, {}).items()}
+        assert [x.rank for x in r.v] == sorted(x.rank for x in r.v)
+
+
+def test_one_vocabulary_for_texts_of_any_alphabet(spark):
+    """A task's characters may outnumber what a key tells apart."""
+    texts = spark.createDataFrame([(i, "".join(map(chr, range(0x4E00 + 300 * i, 0x4E00 + 300 * i + 300)))) for i in (0, 1, 1, 2)], "id long, text string").coalesce(1)
+    bits, T.BITS = T.BITS, 9
+    try:
+        got = T.vocabulary(T.term_totals(texts, "id", "text"), 10**6).collect()
+    finally:
+        T.BITS = bits
+    assert got == T.vocabulary(T.ngram_counts(texts, "id", "text"), 10**6).collect()
