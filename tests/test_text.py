@@ -28,3 +28,13 @@ def test_char_ngrams_whole_text(spark):
     got = _one(spark, lambda c: T.char_ngrams(c, 2, 3), "abcd")
     assert got == ["ab", "bc", "cd", "abc", "bcd"]
     assert _one(spark, lambda c: T.char_ngrams(c, 2, 4), "a") == []
+
+
+def test_normalize_identifier_over_all_characters(spark):
+    from pyspark.sql import functions as F
+    rows = [(k, "".join(map(chr, [c for c in range(k, k + 4096) if not 0xD800 <= c < 0xE000]))) for k in range(0, 0x30000, 4096)]
+    d = spark.createDataFrame(rows, "k int, t string")
+    plain = F.lower(F.regexp_replace(T.clean_text("t"), T.NON_IDENT_JAVA, ""))
+    assert d.where(T.normalize_identifier("t") != plain).count() == 0
+    pattern = "".join(T.NON_IDENT_PARTS)
+    assert "[^" not in pattern  # negated classes cost about ten times as much
