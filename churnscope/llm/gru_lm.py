@@ -6,8 +6,8 @@ so the model gives every word, seen or not, a probability:
 
     P(token | state) = P(class | state) * P(token | class, state),   P(word) = P(tail | state) * (c + 0.1) / tail mass.
 
-The shortlist holds the most frequent words until they cover COVERAGE of the training texts' words, so it grows with the
-vocabulary (up to MOST, what a number of two bytes tells apart).  It is cut by frequency into classes of about the square root of
+The shortlist holds every training word, or the MOST most frequent ones where there are more (what a number of two bytes
+tells apart); a caller may stop it at a share of the training texts' words.  It is cut by frequency into classes of about the square root of
 its size; ``tail`` is a class by itself.  The state is that of a
 gated recurrent unit that starts at zero with each document and is carried across all of its windows, so a
 document's likelihood is that of the whole text.
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import crc32_mod, materialise, table, tree_sum
 
 HIDDEN = 16
-#: Share of the training texts' words that the shortlist covers, and its most entries.
+#: A share of the training texts' words for callers that want a smaller shortlist, and its most entries.
 COVERAGE, MOST = 0.55, 2**15 - 1
 #: Bytes of text that are coded together, and tokens that are scored together, about.
 BLOCK, TOGETHER = 24_000_000, 4_000_000
@@ -58,9 +58,9 @@ SMOOTH = 0.1
 # ---------------------------------------------------------------- the model
 
 
-def shortlist_size(uses: np.ndarray, words: int) -> int:
-    """How many of the most frequent words (their uses, descending) cover COVERAGE of all ``words`` uses."""
-    return int(min(np.searchsorted(np.cumsum(uses), COVERAGE * words) + 1, len(uses), MOST))
+def shortlist_size(uses: np.ndarray, words: int, coverage: float = COVERAGE) -> int:
+    """How many of the most frequent words (their uses, descending) cover ``coverage`` of all ``words`` uses."""
+    return int(min(np.searchsorted(np.cumsum(uses), coverage * words) + 1, len(uses), MOST))
 
 
 def shape(w: dict[str, np.ndarray]) -> tuple[int, int, int]:
@@ -434,14 +434,14 @@ def train(docs: DataFrame, weights: dict[str, np.ndarray], tokens: int) -> dict[
     return weights
 
 
-def score(docs: DataFrame, learned: Column) -> DataFrame:
+def score(docs: DataFrame, learned: Column, coverage: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of (doc_id, text)."""
     coded = materialise(_coded(docs, learned), "coded", "zstd")
     counts = materialise(coded.filter("word is not null").groupBy("word").agg(F.sum("uses").alias("c")).filter("c > 0"), "counts", "zstd")
     stats = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     end = coded.filter("word is null and learned").count()
     top = counts.orderBy(F.desc("c"), "word").limit(MOST).collect()  # MOST rows of a word and a number
-    top = top[: shortlist_size(np.array([r["c"] for r in top], np.int64), stats["n"])] if top else []
+    top = top[: shortlist_size(np.array([r["c"] for r in top], np.int64), stats["n"], coverage)] if top else []
     train_tokens, kinds = stats["n"] + end, stats["v"] + (end > 0)
     total = train_tokens + SMOOTH * (kinds + 1)
     frequency = np.array([end] + [r["c"] for r in top], float)

@@ -134,3 +134,12 @@ def test_odd_rows(spark, monkeypatch):
     none = G.score(spark.createDataFrame(rows[:3], SCHEMA), F.lit(False)).collect()
     assert all(r.score == r.base_score == 0 for r in none)
     assert G.score(spark.createDataFrame([], SCHEMA), learned).collect() == []
+
+
+def test_every_training_word_is_a_target(spark, monkeypatch):
+    """The model learns all words, not only those that cover a share of the texts."""
+    seen, plain = [], G.initial
+    monkeypatch.setattr(G, "initial", lambda frequency, tail: seen.append(list(frequency)) or plain(frequency, tail))
+    docs = spark.createDataFrame([(i, "the the the the rare" + str(i)) for i in range(5)] + [(9, "other words")], "doc_id long, text string")
+    G.score(docs, F.col("doc_id") < 9).collect()
+    assert seen == [[5.0, 20.0, 1.0, 1.0, 1.0, 1.0, 1.0]]
