@@ -85,11 +85,12 @@ def crc32_mod(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def tree_sum(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray | None]) -> np.ndarray | None:
+def tree_sum(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarray | None], piece: int | None = None) -> np.ndarray | None:
     """The sum of float64 arrays of equal shape that ``partial`` makes, one for each partition of ``df``.
 
     Partial sums meet in rounds of FAN_IN arrays, so neither a task nor the driver gets more than FAN_IN
-    of them, however many partitions there are.  None if no partition gives an array.
+    of them, however many partitions there are.  With ``piece``, large arrays travel in pieces of so many entries, and the
+    driver gets each piece's whole sum only.  None if no partition gives an array.
     """
 
     def first(batches):
@@ -97,19 +98,23 @@ def tree_sum(df: DataFrame, partial: Callable[[Iterator[pd.DataFrame]], np.ndarr
 
         made = partial(batches)
         if made is not None:
-            yield pd.DataFrame({"slot": [TaskContext.get().partitionId()], "shape": [list(made.shape)], "blob": [made.astype(np.float64).tobytes()]})
+            flat, step = made.astype(np.float64).ravel(), piece or max(made.size, 1)
+            for part, at in enumerate(range(0, max(len(flat), 1), step)):
+                yield pd.DataFrame({"slot": [TaskContext.get().partitionId()], "part": [part], "shape": [list(made.shape)], "blob": [flat[at : at + step].tobytes()]})
 
     def add(pdf):
         total = sum(np.frombuffer(b, np.float64) for b in pdf["blob"])
-        return pd.DataFrame({"slot": pdf["slot"][:1], "shape": pdf["shape"][:1], "blob": [total.tobytes()]})
+        return pd.DataFrame({"slot": pdf["slot"][:1], "part": pdf["part"][:1], "shape": pdf["shape"][:1], "blob": [total.tobytes()]})
 
-    schema, n = "slot long, shape array<long>, blob binary", max(1, df.rdd.getNumPartitions())
+    schema, n = "slot long, part long, shape array<long>, blob binary", max(1, df.rdd.getNumPartitions())
     sums = df.mapInPandas(first, schema)
     while n > FAN_IN:
         n = math.ceil(n / FAN_IN)
-        sums = sums.withColumn("slot", F.col("slot") % n).groupBy("slot").applyInPandas(add, schema)
-    total, shape = None, None
-    for row in sums.collect():  # FAN_IN rows at most
-        one = np.frombuffer(bytes(row["blob"]), np.float64)
-        total, shape = one if total is None else total + one, row["shape"]
-    return None if total is None else total.reshape([int(x) for x in shape])
+        sums = sums.withColumn("slot", F.col("slot") % n).groupBy("slot", "part").applyInPandas(add, schema)
+    if piece and n > 1:
+        sums = sums.groupBy("part").applyInPandas(add, schema)
+    total, shape = {}, None
+    for row in sums.collect():  # FAN_IN rows a piece at most
+        one, shape = np.frombuffer(bytes(row["blob"]), np.float64), row["shape"]
+        total[row["part"]] = total[row["part"]] + one if row["part"] in total else one
+    return np.concatenate([total[k] for k in sorted(total)]).reshape([int(x) for x in shape]) if total else None

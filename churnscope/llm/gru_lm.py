@@ -36,6 +36,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ WINDOW, EVERY, SEGMENT = 32, 1, 1024
 STREAMS, TRAIN_STREAMS = 512, 512
 ROUNDS = (0.25, 1.0)  # upper ends of the documents' shares by hash
 RATE, START, TASK_TOKENS = 0.2, 1e-5, 2_000_000
+#: Weights that travel together when tasks' models are averaged.
+PIECE = 1 << 16
 END = 0  # the end token leads the shortlist
 SMOOTH = 0.1
 
@@ -333,7 +336,6 @@ def _coded(docs: DataFrame, learned: Column) -> DataFrame:
     schema = "block long, doc_id long, learned boolean, ids binary, number int, word binary, uses long"
 
     def run(batches):
-        import pyarrow as pa
         from pyspark import TaskContext
 
         kinds = pa.schema([("block", pa.int64()), ("doc_id", pa.int64()), ("learned", pa.bool_()), ("ids", pa.binary()), ("number", pa.int32()), ("word", pa.binary()), ("uses", pa.int64())])
@@ -374,7 +376,8 @@ def _coded(docs: DataFrame, learned: Column) -> DataFrame:
 
 def _counted(coded: DataFrame, counts: DataFrame, known: dict) -> DataFrame:
     """Documents with shortlist numbers, baseline and the tail's part."""
-    share = F.broadcast(coded.sparkSession.createDataFrame([(bytearray(w), n + 1) for n, w in enumerate(known["shortlist"])], "word binary, short int"))  # at most MOST rows
+    short = pa.table({"word": pa.array(known["shortlist"], pa.binary()), "short": pa.array(np.arange(1, len(known["shortlist"]) + 1), pa.int32())})
+    share = F.broadcast(coded.sparkSession.createDataFrame(short))  # at most MOST rows
     words = coded.filter("word is not null").select("block", "number", "word")
     none = known["none"]
     # a word has one row for each block; without a row in counts no training text holds it
@@ -427,7 +430,7 @@ def train(docs: DataFrame, weights: dict[str, np.ndarray], tokens: int) -> dict[
 
         own = docs.filter(F.col("learned") & (place >= low) & (place < high)).select("ids")
         own = own.coalesce(max(1, math.ceil(tokens * (high - low) / TASK_TOKENS)))
-        summed = tree_sum(own, run)
+        summed = tree_sum(own, run, PIECE)
         if summed is not None:
             weights = unpack(summed[:-1] / summed[-1], weights)
         low = high

@@ -143,3 +143,11 @@ def test_every_training_word_is_a_target(spark, monkeypatch):
     docs = spark.createDataFrame([(i, "the the the the rare" + str(i)) for i in range(5)] + [(9, "other words")], "doc_id long, text string")
     G.score(docs, F.col("doc_id") < 9).collect()
     assert seen == [[5.0, 20.0, 1.0, 1.0, 1.0, 1.0, 1.0]]
+
+
+def test_large_sums_reach_the_driver_once_a_piece(spark):
+    from churnscope.llm.common import tree_sum
+    rows = spark.range(0, 40, 1, 5)
+    make = lambda batches: np.full((7, 3), float(sum(b["id"].sum() for b in batches)))
+    assert (tree_sum(rows, make, 4) == 780).all() and (tree_sum(rows, make) == 780).all()
+    assert tree_sum(rows.limit(0), lambda batches: None, 4) is None
