@@ -38,3 +38,13 @@ def test_normalize_identifier_over_all_characters(spark):
     assert d.where(T.normalize_identifier("t") != plain).count() == 0
     pattern = "".join(T.NON_IDENT_PARTS)
     assert "[^" not in pattern  # negated classes cost about ten times as much
+
+
+def test_clean_text_over_all_characters(spark):
+    """Two quick steps for whitespace give what one class of all whitespace gives."""
+    rows = [(k, "".join(f" {chr(c)}x{chr(c)}{chr(c)} " for c in range(k, k + 4096) if not 0xD800 <= c < 0xE000)) for k in range(0, 0x20000, 4096)]
+    got = spark.createDataFrame(rows, "k int, t string").select("t", T.clean_text("t").alias("c"), T.normalize_identifier("t").alias("n"),
+                                                                T.normalize_cleaned(T.clean_text("t")).alias("m")).collect()
+    assert all(r.c == " ".join(r.t.split()) and r.n == r.m for r in got)
+    pattern = T.WS_NARROW_RUN_JAVA
+    assert "x{" not in pattern  # only characters of 8 bits: a plain bit set in the regex engine

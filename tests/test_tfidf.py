@@ -67,3 +67,41 @@ def test_one_vocabulary_for_texts_of_any_alphabet(spark):
     finally:
         T.BITS = bits
     assert got == T.vocabulary(T.ngram_counts(texts, "id", "text"), 10**6).collect()
+
+
+def test_one_pass_gives_sums_and_first_vectors(spark):
+    texts = _rows(spark)
+    vocab = T.held(T.vocabulary(T.term_totals(texts, "id", "text"), 30))
+    counts = T.term_vectors(texts, vocab, "id", "text")
+    sums = {r.id: r.s for r in T.row_sums(T.tfidf_vectors(counts, vocab, 6)).collect()}
+    first = {r.id: [(x.rank, x.term, round(x.w, 12)) for x in r.v] for r in T.tfidf_vectors(counts, vocab.where("rank <= 7"), 6).collect()}
+    got = T.sums_and_vectors(texts, vocab, 6, 7, "id", "text").collect()
+    assert {r.id: round(r.s, 12) for r in got} == {k: round(s, 12) for k, s in sums.items()} and len(got) == len(sums)
+    assert {r.id: [(x.rank, x.term, round(x.w, 12)) for x in r.v] for r in got} == first
+
+
+def test_centroid_similarity_equals_plain_cosine(spark):
+    rows = {1: {1: 0.6, 3: 0.8}, 2: {2: 1.0}, 3: {}, None: {1: 1.0}}
+    vectors = spark.createDataFrame([(k, [(r, f"t{r}", w) for r, w in v.items()]) for k, v in rows.items()], "id long, v array<struct<rank: int, term: string, w: double>>")
+    ids = spark.createDataFrame([(1,), (2,), (2,), (3,), (4,), (None,)], "id long")
+    mean = {r: sum(v.get(r, 0.0) for v in rows.values()) / 6 for r in (1, 2, 3)}
+    cn = math.sqrt(sum(c * c for c in mean.values()))
+
+    def score(v):
+        return (sum(w * mean[r] for r, w in v.items()) / ((math.sqrt(sum(w * w for w in v.values())) + 1e-8) * (cn + 1e-8)) + 1) / 2
+
+    want = sorted((str(k), round(score(rows.get(k, {}) if k else {}), 12)) for k in (1, 2, 2, 3, 4, None))
+    assert sorted((str(r.id), round(r.semantic_score, 12)) for r in T.centroid_similarity(ids, vectors).collect()) == want
+    assert T.centroid_similarity(ids.limit(1), vectors).first().semantic_score == 1.0
+
+
+def test_policy_texts_joined_of_clean_parts_are_clean(spark):
+    from churnscope.operators import policy as PO
+
+    rows = [(1, "  a title", "Some\n text  here", "", ""), (2, "nan", "none", "x", ""), (3, None, "null", "", "b  c"), (4, "t", None, "Manager", None)]
+    df = spark.createDataFrame(rows, "policy_id long, title string, content string, roles string, source string")
+    columns = {"title": "title", "content": "content", "role": "roles", "source": "source"}
+    base = PO.policy_base(df, columns)
+    got = {r.policy_id: (r.full_text, r.semantic_text.split()[: len(r.full_text.split())]) for r in base.collect()}
+    assert {k: v[0] for k, v in got.items()} == {1: "a title Some text here", 2: "", 3: "", 4: "t"}
+    assert {k: " ".join(v[1]) for k, v in got.items() if v[0]} == {1: "a title a title Some", 4: "t"}
