@@ -78,6 +78,19 @@ def run_jobs(spark: SparkSession, jobs: Mapping[K, Callable[[], T]], parallel: i
         return {k: f.result() for k, f in started.items()}
 
 
+#: Rows of a training table's part, at most, and those a core must get for the table to be dealt anew.
+PART_ROWS, SPREAD_ROWS = 200_000, 10_000
+
+
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """A large training table in equal parts, as many as all cores take in whole rounds: a fit makes hundreds of passes over it, and
+    each lasts as long as its slowest core.  Small tables are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if rows < cores * SPREAD_ROWS:
+        return df
+    return df.repartition(cores * -(-rows // (cores * PART_ROWS)))
+
+
 def column_kinds(df: DataFrame, label: str = LABEL, exclude: Sequence[str] = ()) -> tuple[list[str], list[str]]:
     """L1: numeric and string columns from the schema (plan time), label and ids excluded."""
     skip = set(EXCLUDE) | {label} | set(exclude)
@@ -230,14 +243,16 @@ def _weights(st: dict) -> float:
     return st["n"] / 2.0 * ((st["pos"] > 0) + (st["n"] > st["pos"]))
 
 
-def encoded(train: DataFrame, test: DataFrame, num, cat, label: str = LABEL, statistics: dict | None = None) -> tuple[DataFrame, DataFrame, dict]:
+def encoded(train: DataFrame, test: DataFrame, num, cat, label: str = LABEL, statistics: dict | None = None,
+            dealt: bool = False) -> tuple[DataFrame, DataFrame, dict]:
     """``train`` (with class weights) and ``test``, encoded with what ``train`` has (and ``statistics``, unless those come from it
-    too), and the training rows' statistics.  The training table is persisted: fits pass over it many times."""
+    too), and the training rows' statistics.  The training table is persisted, in equal parts (unless it is ``dealt`` already): fits pass
+    over it many times."""
     own = fit_statistics(train, num, cat, label) if statistics is None else train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")).first().asDict()
     st = statistics or own
     train = with_class_weights(apply_statistics(train, st, num, cat), own, label)
     enc = encoder(num, cat).fit(train)
-    return enc.transform(train).persist(), enc.transform(apply_statistics(test, st, num, cat)), own
+    return enc.transform(train if dealt else spread(train, own["n"])).persist(), enc.transform(apply_statistics(test, st, num, cat)), own
 
 
 def _estimator(name: str, st: dict, label: str, gbt_params: dict | None, num_trees: int):
@@ -294,9 +309,9 @@ def oof_predictions(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNum
     """
     spark = pool.sparkSession
     d, num, cat = training_columns(pool, label, key)
-    d = cut_lineage(EV.stratified_folds(d, label, key, k, seed).drop("class_rank"))
+    d = cut_lineage(spread(EV.stratified_folds(d, label, key, k, seed).drop("class_rank"), pool.count()))
     st = None if per_fold else fit_statistics(d, num, cat, label)
-    folds = run_jobs(spark, {f: lambda f=f: encoded(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, label, st) for f in range(k)}, parallel)
+    folds = run_jobs(spark, {f: lambda f=f: encoded(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, label, st, True) for f in range(k)}, parallel)
     try:
         fits = {(f, n): lambda f=f, n=n: _estimator(n, folds[f][2], label, gbt_params, num_trees).fit(folds[f][0]) for n in learners for f in range(k)}
         models = run_jobs(spark, fits, parallel)

@@ -95,3 +95,18 @@ def test_jobs_raise_their_error(spark):
     assert L.run_jobs(spark, {i: lambda i=i: i * i for i in range(5)}) == {i: i * i for i in range(5)}
     with pytest.raises(ZeroDivisionError):
         L.run_jobs(spark, {i: lambda i=i: 1 // i for i in range(3)})
+
+
+def test_large_training_tables_are_dealt_in_equal_parts(spark, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.range(100 * cores + 1).withColumn("y", F.col("id") % 2).coalesce(3)
+    assert L.spread(df, 100 * cores + 1).rdd.getNumPartitions() == 3  # small
+    monkeypatch.setattr(L, "SPREAD_ROWS", 10)
+    monkeypatch.setattr(L, "PART_ROWS", 60)
+    got = L.spread(df, 100 * cores + 1)
+    sizes = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 2 * cores and max(r["count"] for r in sizes) < 70 and sum(r["count"] for r in sizes) == 100 * cores + 1
+    wide = df.withColumn("x", F.rand(1))
+    tr, _, _ = L.encoded(wide, wide.limit(1), ["x"], [], "y")
+    assert tr.rdd.getNumPartitions() == 2 * cores
+    tr.unpersist()
