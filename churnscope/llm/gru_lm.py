@@ -49,6 +49,8 @@ COVERAGE, MOST = 0.55, 2**15 - 1
 BLOCK, TOGETHER = 24_000_000, 4_000_000
 #: The loss is taken in one of EVERY windows: 1 is all of them.
 WINDOW, EVERY, SEGMENT = 32, 1, 1024
+#: Logits that are held at once, and tokens whose states wait for their probabilities together when texts are scored.
+CACHED, SETTLED = 1 << 16, 1 << 16
 STREAMS, TRAIN_STREAMS = 512, 512
 ROUNDS = (0.25, 1.0)  # upper ends of the documents' shares by hash
 RATE, START, TASK_TOKENS = 0.2, 1e-5, 2_000_000
@@ -131,26 +133,58 @@ def run_window(w: dict, tokens: np.ndarray, keep: np.ndarray, h: np.ndarray, tra
     return states, h, kept
 
 
-def _softmax(logits: np.ndarray, at: np.ndarray):
-    """Exponentials of each row's logits, their sum, and the log probability of each row's entry ``at``."""
-    if max(logits.max(initial=0), -logits.min(initial=0)) > 60:  # else no exponential leaves the range
-        logits = logits - logits.max(axis=1, keepdims=True)
-    raised = np.exp(logits)
-    total = raised @ np.ones(logits.shape[1], logits.dtype)
-    return raised, total, logits[np.arange(len(at)), at] - np.log(total)
+def _with_one(h: np.ndarray) -> np.ndarray:
+    """States with a last entry of 1, which brings in the bias."""
+    out = np.ones((len(h), HIDDEN + 1), h.dtype)
+    out[:, :HIDDEN] = h
+    return out
+
+
+def _rows(w: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the classes, and of each class's words, their biases last."""
+    return np.concatenate([w["class"], w["class_bias"][:, None]], axis=1), np.concatenate([w["word"], w["word_bias"][:, :, None]], axis=2)
+
+
+def _small(h: np.ndarray, rows: np.ndarray) -> bool:
+    """Whether no exponential of these states' logits can leave the range."""
+    return float(np.abs(rows).sum(axis=-1).max(initial=0)) * max(1.0, float(np.abs(h).max(initial=0))) <= 60
+
+
+def _parts(low: int, high: int, width: int):
+    """Slices of so many rows that their logits stay in the processor's cache."""
+    step = max(1, CACHED // width)
+    for at in range(low, high, step):
+        yield slice(at, min(high, at + step))
+
+
+def _softmax(h: np.ndarray, rows: np.ndarray, at: np.ndarray, small: bool):
+    """Exponentials of each state's logits, their sum, and the log probability of each state's entry ``at``."""
+    logits = h @ rows.T
+    if not small and max(logits.max(initial=0), -logits.min(initial=0)) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    picked = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits @ np.ones(logits.shape[1], logits.dtype)
+    return logits, total, picked - np.log(total)
 
 
 def log_probabilities(w: dict, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probability of each target token given its state."""
     classes, size, _ = shape(w)
-    cls = target // size
-    _, _, out = _softmax(h @ w["class"].T + w["class_bias"], cls)
+    cls = (target // size).astype(np.uint16)
+    h, (tops, words) = _with_one(h), _rows(w)
+    out = np.empty(len(h), np.result_type(h, tops))
+    small = _small(h, tops)
+    for part in _parts(0, len(h), len(tops)):
+        out[part] = _softmax(h[part], tops, cls[part], small)[2]
     order = np.argsort(cls, kind="stable")
     ends = np.searchsorted(cls[order], np.arange(classes + 1))
+    h, at, inner = h[order], (target % size)[order], np.zeros_like(out)
+    small = _small(h, words)
     for c in range(classes):
-        own = order[ends[c] : ends[c + 1]]
-        if len(own):
-            out[own] += _softmax(h[own] @ w["word"][c].T + w["word_bias"][c], target[own] % size)[2]
+        for part in _parts(ends[c], ends[c + 1], size):
+            inner[part] = _softmax(h[part], words[c], at[part], small)[2]
+    out[order] += inner
     return out
 
 
@@ -162,7 +196,7 @@ class Trainer:
         self.sq = {k: np.full(v.shape, START, np.float32) for k, v in weights.items()}
 
     def _step(self, name, grad, at=...):
-        grad = np.clip(grad, -1, 1)
+        grad = np.minimum(np.maximum(grad, np.float32(-1)), np.float32(1))
         self.sq[name][at] += grad * grad
         self.w[name][at] -= RATE * grad / np.sqrt(self.sq[name][at])
 
@@ -175,28 +209,35 @@ class Trainer:
         # a full window's mean: windows where few streams are left weigh less
         scale = np.float32(1 / max(len(flat), WINDOW * TRAIN_STREAMS // EVERY))
         classes, size, _ = shape(w)
-        cls = goal // size
-        rows = np.arange(len(flat))
-        p, total, logp = _softmax(h @ w["class"].T + w["class_bias"], cls)
-        loss = logp.sum()
-        p *= (scale / total)[:, None]
-        p[rows, cls] -= scale
-        grads = {"class": p.T @ h, "class_bias": p.sum(0), "word": [], "input": None}
-        dh = p @ w["class"]
+        cls = (goal // size).astype(np.uint16)
         order = np.argsort(cls, kind="stable")
         ends = np.searchsorted(cls[order], np.arange(classes + 1))
+        h, cls, goal = _with_one(h[order]), cls[order], goal[order] % size
+        tops, words = _rows(w)
+        top, word = np.zeros_like(tops), np.zeros_like(words)
+        dh, loss = np.zeros((len(flat), HIDDEN), np.result_type(h, tops)), 0.0
+
+        def add(part, rows, at, small, into):
+            """A part's loss; its gradients are added to those of the rows and of the states."""
+            raised, total, logp = _softmax(h[part], rows, at, small)
+            raised[np.arange(len(at)), at] -= total  # the rest is linear: each state's row counts scale / total
+            share = (scale / total)[:, None]
+            into += raised.T @ (h[part] * share)
+            dh[part] += (raised @ rows[:, :HIDDEN]) * share
+            return logp.sum()
+
+        small = _small(h, tops)
+        for part in _parts(0, len(flat), len(tops)):
+            loss += add(part, tops, cls[part], small, top)
+        small, found = _small(h, words), []
         for c in range(classes):
-            own = order[ends[c] : ends[c + 1]]
-            if len(own):
-                at = goal[own] % size
-                q, total, logp = _softmax(h[own] @ w["word"][c].T + w["word_bias"][c], at)
-                loss += logp.sum()
-                q *= (scale / total)[:, None]
-                q[rows[: len(own)], at] -= scale
-                grads["word"].append((c, q.T @ h[own], q.sum(0)))
-                dh[own] += q @ w["word"][c]
+            for part in _parts(ends[c], ends[c + 1], size):
+                loss += add(part, words[c], goal[part], small, word[c])
+            if ends[c] < ends[c + 1]:
+                found.append((c, word[c, :, :HIDDEN], word[c, :, HIDDEN]))
+        grads = {"class": top[:, :HIDDEN], "class_bias": top[:, HIDDEN], "word": found, "words": word, "input": None}
         dstates = np.zeros((steps * n, HIDDEN), np.float32)
-        dstates[flat] = dh
+        dstates[flat[order]] = dh
         dstates = dstates.reshape(steps, n, HIDDEN)
         dx, gates = np.empty((2, steps, n, 3 * HIDDEN), np.float32)
         back = np.zeros((n, HIDDEN), np.float32)
@@ -221,9 +262,8 @@ class Trainer:
         for name in ("class", "class_bias", "state", "bias"):
             self._step(name, g[name])
         self._step("input", g["input"][1], g["input"][0])
-        for c, word, bias in g["word"]:
-            self._step("word", word, c)
-            self._step("word_bias", bias, c)
+        self._step("word", g["words"][:, :, :HIDDEN])  # a class without a target has no gradient, and stays
+        self._step("word_bias", g["words"][:, :, HIDDEN])
         return loss
 
 
@@ -285,12 +325,25 @@ def score_documents(w: dict, docs: list[np.ndarray]) -> np.ndarray:
     target, source, keep, stream, start, size = lay_out(docs, STREAMS)
     h = np.zeros((target.shape[1], HIDDEN), np.float32)
     sums = np.zeros((len(target) + 1, target.shape[1]))
+    held, tokens = [], 0
+
+    def settle():
+        logs = log_probabilities(w, np.concatenate([states for states, _, _ in held]), np.concatenate([goal.ravel() for _, goal, _ in held]))
+        for _, goal, at in held:
+            sums[at + 1 : at + 1 + len(goal), : goal.shape[1]] = logs[: goal.size].reshape(goal.shape)
+            logs = logs[goal.size :]
+
     for at in range(0, len(target), WINDOW):
         n = int((size > at).sum())
         part = slice(at, at + WINDOW)
         states, h, _ = run_window(w, source[part, :n], keep[part, :n], h[:n])
-        logs = log_probabilities(w, states.reshape(-1, HIDDEN), target[part, :n].ravel())
-        sums[at + 1 : at + 1 + len(states), :n] = logs.reshape(-1, n)
+        held.append((states.reshape(-1, HIDDEN), target[part, :n], at))  # windows of a few long streams wait for others
+        tokens += target[part, :n].size
+        if tokens >= SETTLED:
+            settle()
+            held, tokens = [], 0
+    if held:
+        settle()
     np.cumsum(sums, axis=0, out=sums)
     end = start + np.array([len(d) + 1 for d in docs], np.int64)
     return sums[end, stream] - sums[start, stream]

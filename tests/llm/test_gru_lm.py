@@ -151,3 +151,26 @@ def test_large_sums_reach_the_driver_once_a_piece(spark):
     make = lambda batches: np.full((7, 3), float(sum(b["id"].sum() for b in batches)))
     assert (tree_sum(rows, make, 4) == 780).all() and (tree_sum(rows, make) == 780).all()
     assert tree_sum(rows.limit(0), lambda batches: None, 4) is None
+
+
+def test_windows_of_few_streams_are_settled_together(monkeypatch):
+    """A long document alone costs few passes over the classes, and any cut of the work gives the same scores."""
+    rng = np.random.default_rng(8)
+    w = {k: v.astype(np.float32) for k, v in weights(2).items()}
+    docs = [rng.integers(1, TAIL + 1, n).astype(np.uint16) for n in (5000, 40, 3)]
+    calls, plain = [], G.log_probabilities
+    monkeypatch.setattr(G, "log_probabilities", lambda *a: calls.append(1) or plain(*a))
+    want = G.score_documents(w, docs)
+    assert len(calls) == 1
+    for cached, settled in ((1, 1), (200, 100)):
+        monkeypatch.setattr(G, "CACHED", cached)
+        monkeypatch.setattr(G, "SETTLED", settled)
+        assert np.allclose(G.score_documents(w, docs), want, rtol=1e-5)
+
+
+def test_large_logits_stay_finite():
+    w = {k: v * 40 for k, v in weights(6).items()}
+    h = np.random.default_rng(1).normal(size=(50, G.HIDDEN))
+    every = np.arange(TAIL + 1)
+    assert np.isfinite(G.log_probabilities(w, h, np.resize(every, 50))).all()
+    assert abs(np.exp(G.log_probabilities(w, np.repeat(h[:1], len(every), 0), every)).sum() - 1) < 1e-6
