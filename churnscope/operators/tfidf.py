@@ -368,7 +368,7 @@ def vocabulary(counts: DataFrame, max_features: int) -> DataFrame:
 
 def held(vocab: DataFrame) -> DataFrame:
     """The vocabulary as a small local table (<= max_features rows): it is counted once."""
-    return vocab.sparkSession.createDataFrame(vocab.collect(), vocab.schema)
+    return vocab.sparkSession.createDataFrame(vocab.toArrow(), vocab.schema)  # from Arrow: no Python worker reads it
 
 
 _VECTOR = pa.list_(pa.struct([("rank", pa.int32()), ("term", pa.string()), ("w", pa.float64())]))

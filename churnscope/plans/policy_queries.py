@@ -19,6 +19,8 @@ from ..sources import fixtures as FX
 
 SPARK: dict = {}
 SQL: dict[str, str] = {}
+#: What the role statistics read of the prepared policies.
+ROLE_SCORES = ("target_role_labels", "target_role_keys", "policy_score")
 
 
 def q(name: str, sql: str | None = None):
@@ -44,8 +46,9 @@ def base_policies(spark, sf):
     return PO.policy_base(FX.policies(spark, sf), FX.POLICY_FIXTURE_COLUMNS, **_kw(spark, sf))
 
 
-def prepared(spark, sf):
-    return PO.prepare_policies(FX.policies(spark, sf), FX.POLICY_FIXTURE_COLUMNS, **_kw(spark, sf))
+def prepared(spark, sf, *keep):
+    """The prepared policies, those columns only that a query reads."""
+    return PO.prepare_policies(FX.policies(spark, sf), FX.POLICY_FIXTURE_COLUMNS, keep=keep or None, **_kw(spark, sf))
 
 
 def employees(spark, sf):
@@ -304,25 +307,24 @@ def tfidf_weights(spark, sf):
 
 @q("policy_hotness")
 def policy_hotness(spark, sf):
-    return prepared(spark, sf).select("policy_id", "policy_hotness")
+    return prepared(spark, sf, "policy_id", "policy_hotness")
 
 
 @q("centroid_similarity_policies")
 def centroid_similarity_policies(spark, sf):
-    return prepared(spark, sf).select("policy_id", "semantic_score")
+    return prepared(spark, sf, "policy_id", "semantic_score")
 
 
 @q("policy_score")
 def policy_score(spark, sf):
-    return prepared(spark, sf).select("policy_id", "policy_hotness", "semantic_score", "time_weight",
-                                      "topic_strength", "policy_sentiment", "policy_score")
+    return prepared(spark, sf, "policy_id", "policy_hotness", "semantic_score", "time_weight", "topic_strength", "policy_sentiment",
+                    "policy_score")
 
 
 @q("prepare_policies")
 def prepare_policies(spark, sf):
-    return prepared(spark, sf).select("policy_id", "full_text", "semantic_text", "time_weight", "target_role_keys",
-                                      "target_department_keys", "policy_tags", "policy_hotness", "semantic_score",
-                                      "policy_score")
+    return prepared(spark, sf, "policy_id", "full_text", "semantic_text", "time_weight", "target_role_keys", "target_department_keys",
+                    "policy_tags", "policy_hotness", "semantic_score", "policy_score")
 
 
 # ------------------------------------------------------------ embeddings
@@ -371,25 +373,25 @@ def centroid_similarity(spark, sf):
 
 @q("macro_index")
 def macro_index(spark, sf):
-    return PO.macro_index(prepared(spark, sf))
+    return PO.macro_index(prepared(spark, sf, *ROLE_SCORES))
 
 
 @q("policy_impact_by_role")
 def policy_impact_by_role(spark, sf):
-    return PO.policy_impact_by_role(prepared(spark, sf))
+    return PO.policy_impact_by_role(prepared(spark, sf, *ROLE_SCORES))
 
 
 @q("macro_index_join")
 def macro_index_join(spark, sf):
     ra, _ = _dicts(spark, sf)
-    e = PO.join_macro_index(employees(spark, sf), prepared(spark, sf), ra)
+    e = PO.join_macro_index(employees(spark, sf), prepared(spark, sf, *ROLE_SCORES), ra)
     return e.select("EmployeeNumber", "JobRoleKey", "macro_index")
 
 
 @q("policy_gap")
 def policy_gap(spark, sf):
     ra, _ = _dicts(spark, sf)
-    e = PO.join_macro_index(employees(spark, sf), prepared(spark, sf), ra)
+    e = PO.join_macro_index(employees(spark, sf), prepared(spark, sf, *ROLE_SCORES), ra)
     return PO.policy_gap(e)
 
 

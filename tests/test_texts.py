@@ -46,3 +46,32 @@ def test_many_documents_are_counted_together(spark, monkeypatch):
         counts = TF.ngram_counts(texts, "id", "text").join(vocab, "term").select("id", "rank", "cnt").collect()
         got = TF.term_vectors(texts, vocab, "id", "text")
         assert sorted(((r.id, x.rank, x.cnt) for r in got.collect() for x in r.v), key=repr) == sorted(map(tuple, counts), key=repr)
+
+
+def test_clean_and_norm_equal_plain_forms():
+    rng = random.Random(7)
+    chars = [chr(c) for c in range(0x110000) if chr(c).isspace()] + list("ab Z09_é^一龥A\x00​İ\U00020000\xad \n")
+    for text in ["".join(rng.choices(chars, k=rng.choice([0, 1, 3, 30]))) for _ in range(3000)] + [*filter(None, ODD), "a  b   c    d ", "\n\na \n b\n"]:
+        want = " ".join(text.split())
+        assert X._clean(text) == ("" if want.lower() in X._NULLS else want)
+        assert X._norm(text) == X._NON_IDENT.sub("", text).lower()
+
+
+def test_prepared_columns_that_are_kept_alone(spark):
+    """The prepared table holds what the caller reads, with the same values; texts that nobody reads are not even cached."""
+    from churnscope.plans import policy_queries as Q
+
+    every = ["policy_id", "title", "content", "full_text", "semantic_text", "policy_body", "policy_hotness", "semantic_score", "embedding", "policy_score", "target_role_labels"]
+    key = lambda r: repr([str(x) for x in r])
+    rows = Q.prepared(spark, "/root/testdata/sf0.001").select(*every).collect()
+    for keep in (["policy_id", "policy_hotness"], [*Q.ROLE_SCORES[:1], "policy_score"], ["semantic_text", "policy_id"], ["content", "embedding"]):
+        got = Q.prepared(spark, "/root/testdata/sf0.001", *keep)
+        assert got.columns == keep
+        short = lambda r: key([round(x, 9) if isinstance(x, float) else [(e.rank, e.term, round(e.w, 9)) for e in x] if c == "embedding" and x else x for c, x in zip(keep, r)])
+        assert sorted(map(short, got.collect())) == sorted(short([r[c] for c in keep]) for r in rows)
+
+
+def test_held_vocabulary_needs_no_worker(spark):
+    vocab = TF.held(spark.createDataFrame([("an", 3, 2, 1)], "term string, tf long, df long, rank int"))
+    assert vocab.collect() == [("an", 3, 2, 1)] and "LocalTableScan" in vocab._jdf.queryExecution().executedPlan().toString()
+    assert vocab.columns == ["term", "tf", "df", "rank"] and TF.held(vocab.limit(0)).collect() == []
