@@ -170,7 +170,8 @@ def forest(features: str = "features", label: str = LABEL, num_trees: int = FORE
 def boosted(features: str = "features", label: str = LABEL, seed: int = 42, **params) -> GBTClassifier:
     """Boosted trees with the positive-class weight (differences: SURVEY §7.5)."""
     p = dict(GBT_DEFAULTS, **params)
-    m = GBTClassifier(featuresCol=features, labelCol=label, weightCol="w_pos", seed=seed, cacheNodeIds=True, **p)
+    # no table of node ids: a row passes the few splits of its one small tree faster than a table is made anew for each level
+    m = GBTClassifier(featuresCol=features, labelCol=label, weightCol="w_pos", seed=seed, cacheNodeIds=False, **p)
     return m.setProbabilityCol("gbt_probability").setRawPredictionCol("gbt_raw").setPredictionCol("gbt_pred")
 
 
@@ -246,13 +247,14 @@ def _weights(st: dict) -> float:
 def encoded(train: DataFrame, test: DataFrame, num, cat, label: str = LABEL, statistics: dict | None = None,
             dealt: bool = False) -> tuple[DataFrame, DataFrame, dict]:
     """``train`` (with class weights) and ``test``, encoded with what ``train`` has (and ``statistics``, unless those come from it
-    too), and the training rows' statistics.  The training table is persisted, in equal parts (unless it is ``dealt`` already): fits pass
-    over it many times."""
+    too), and the training rows' statistics.  Of the training table, what fits read (label, weights, features) is persisted, in equal
+    parts (unless it is ``dealt`` already): they pass over it many times."""
     own = fit_statistics(train, num, cat, label) if statistics is None else train.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos")).first().asDict()
     st = statistics or own
     train = with_class_weights(apply_statistics(train, st, num, cat), own, label)
     enc = encoder(num, cat).fit(train)
-    return enc.transform(train if dealt else spread(train, own["n"])).persist(), enc.transform(apply_statistics(test, st, num, cat)), own
+    coded = enc.transform(train if dealt else spread(train, own["n"])).select(label, "w_balanced", "w_pos", "features")
+    return coded.persist(), enc.transform(apply_statistics(test, st, num, cat)), own
 
 
 def _estimator(name: str, st: dict, label: str, gbt_params: dict | None, num_trees: int):
@@ -305,19 +307,24 @@ def oof_predictions(pool: DataFrame, label: str = LABEL, key: str = "EmployeeNum
     from the pool (or, ``per_fold``, from each fold's training rows), class weights from each fold's training rows.
 
     The pool with its folds is materialised once.  The folds' encodings, and then all k x learners fits, run
-    ``parallel`` at a time.  One union of k scored folds; an empty fold has no rows.
+    ``parallel`` at a time.  Of a large pool (see ``spread``) one fold at a time is encoded, held and fitted: a pass of one fit
+    keeps all cores busy there, and k training tables and forests together don't fit the executors' memory.  One union of k scored
+    folds; an empty fold has no rows.
     """
     spark = pool.sparkSession
     d, num, cat = training_columns(pool, label, key)
-    d = cut_lineage(spread(EV.stratified_folds(d, label, key, k, seed).drop("class_rank"), pool.count()))
+    n_rows = pool.count()
+    d = cut_lineage(spread(EV.stratified_folds(d, label, key, k, seed).drop("class_rank"), n_rows))
     st = None if per_fold else fit_statistics(d, num, cat, label)
-    folds = run_jobs(spark, {f: lambda f=f: encoded(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, label, st, True) for f in range(k)}, parallel)
-    try:
-        fits = {(f, n): lambda f=f, n=n: _estimator(n, folds[f][2], label, gbt_params, num_trees).fit(folds[f][0]) for n in learners for f in range(k)}
-        models = run_jobs(spark, fits, parallel)
-    finally:
-        for tr, _, _ in folds.values():
-            tr.unpersist()
+    together = [range(k)] if n_rows < spark.sparkContext.defaultParallelism * SPREAD_ROWS else [[f] for f in range(k)]
+    folds, models = {}, {}
+    for some in together:
+        folds |= run_jobs(spark, {f: lambda f=f: encoded(d.where(F.col("fold") != f), d.where(F.col("fold") == f), num, cat, label, st, True) for f in some}, parallel)
+        try:
+            models |= run_jobs(spark, {(f, n): lambda f=f, n=n: _estimator(n, folds[f][2], label, gbt_params, num_trees).fit(folds[f][0]) for n in learners for f in some}, parallel)
+        finally:
+            for f in some:
+                folds[f][0].unpersist()
     out = None
     for f, (_, te, _) in folds.items():
         part = _scored(te, {n: models[f, n] for n in learners}).select(key, label, "fold", *[f"p_{n}" for n in learners])

@@ -110,3 +110,33 @@ def test_large_training_tables_are_dealt_in_equal_parts(spark, monkeypatch):
     tr, _, _ = L.encoded(wide, wide.limit(1), ["x"], [], "y")
     assert tr.rdd.getNumPartitions() == 2 * cores
     tr.unpersist()
+
+
+def test_large_pools_hold_one_fold_at_a_time(table, monkeypatch):
+    import threading
+
+    def plain(rows):
+        return {r.EmployeeNumber: (r.fold, round(r.p_lr, 12), round(r.p_rf, 12)) for r in rows}
+
+    options = dict(k=3, learners=("lr", "rf"), num_trees=3)
+    small = plain(L.oof_predictions(table, **options).collect())
+    told, held, most, lock, encoded, DataFrame = [], set(), [0], threading.Lock(), L.encoded, type(table)
+
+    def counted(*a, **b):
+        out = encoded(*a, **b)
+        with lock:
+            told.append(out[0].columns)
+            held.add(id(out[0]))
+            most[0] = max(most[0], len(held))
+        return out
+
+    def dropped(self, *a, unpersist=DataFrame.unpersist):
+        held.discard(id(self))
+        return unpersist(self, *a)
+
+    monkeypatch.setattr(L, "encoded", counted)
+    monkeypatch.setattr(DataFrame, "unpersist", dropped)
+    monkeypatch.setattr(L, "SPREAD_ROWS", 1)
+    monkeypatch.setattr(L, "spread", lambda df, rows: df)
+    assert plain(L.oof_predictions(table, **options).collect()) == small
+    assert most[0] == 1 and told == [[L.LABEL, "w_balanced", "w_pos", "features"]] * 3
